@@ -71,12 +71,12 @@ def neighbours(
     before: int = 0,
     after: int = 0,
     group_rows: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead."""
     if fits_one_task(df, by, group_rows):
         return df.withColumns(dict(exprs(window(by, order))))
-    size = max(block_rows, before, after, 1)
+    size = max(block_rows or BLOCK_ROWS, before, after, 1)
     placed = _sorted_position(df, by, order, "_pos")
     block = F.floor((F.col("_pos") - 1) / F.lit(size))
     offset = (F.col("_pos") - 1) % F.lit(size)
@@ -105,7 +105,7 @@ def running(
     order: Order,
     measures: Mapping[str, tuple[str, str | Column]],
     group_rows: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Running sum, count, min or max up to and including each row.
 
@@ -114,20 +114,17 @@ def running(
     if fits_one_task(df, by, group_rows):
         spec = window(by, order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: _FIRST[f](c).over(spec) for n, (f, c) in measures.items()})
-    placed = _sorted_position(df, by, order, "_pos").withColumn(
-        "_block", F.floor((F.col("_pos") - 1) / F.lit(block_rows))
-    )
+    size = block_rows or BLOCK_ROWS
+    placed = _sorted_position(df, by, order, "_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / F.lit(size)))
     spec = window([*by, "_block"], ["_pos"]).rowsBetween(W.unboundedPreceding, 0)
     local = placed.withColumns({n: _FIRST[f](c).over(spec) for n, (f, c) in measures.items()})
     totals = placed.groupBy(*by, "_block").agg(*[_FIRST[f](c).alias(f"_t_{n}") for n, (f, c) in measures.items()])
-    # The block totals are `block_rows` times fewer and are run through the same function.
+    # The block totals are far fewer rows and are run through the same function.
     carried = running(
         totals,
         by,
         ["_block"],
         {f"_c_{n}": ("sum" if f == "count" else f, f"_t_{n}") for n, (f, _) in measures.items()},
-        group_rows,
-        block_rows if group_rows is None else max(block_rows, 1000),
     ).drop(*[f"_t_{n}" for n in measures])
     carried = carried.withColumn("_block", F.col("_block") + 1)
     both = join_groups(local, carried, [*by, "_block"], "left")

@@ -11,13 +11,13 @@ def _(spark, sf):
 
 @query(
     "p02_derive",
-    f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, {R('l_extendedprice * (1 - l_discount)', 2)} as net,
+    f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, {R('l_extendedprice * (1 - l_discount)')} as net,
     {R('l_quantity * l_quantity')} as quantity2 from lineitem""",
 )
 def _(spark, sf):
     df = rel.derive(
         table(spark, sf, "lineitem"),
-        net=rnd(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2),
+        net=rnd(F.col("l_extendedprice") * (1 - F.col("l_discount"))),
         quantity2=rnd(F.col("l_quantity") * F.col("l_quantity")),
     )
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net", "quantity2")
