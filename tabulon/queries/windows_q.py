@@ -77,12 +77,12 @@ def _(spark, sf, hot):
 
 @_both(
     "w06_rolling_mean_shifted",
-    DAILY + f"""select day, case when count(total) over w = 2 then {R('avg(total) over w', 2)} end as mean2
+    DAILY + f"""select day, case when count(total) over w = 2 then {R('avg(total) over w', 4)} end as mean2
     from d window w as (order by day rows between 2 preceding and 1 preceding)""",
 )
 def _(spark, sf, hot):
     df = wn.rolling(_daily(spark, sf), "total", 2, ["day"], fns=["avg"], shift=1, group_rows=hot)
-    return df.select("day", rnd("total_avg2", 2).alias("mean2"))
+    return df.select("day", rnd("total_avg2", 4).alias("mean2"))
 
 
 @_both(
