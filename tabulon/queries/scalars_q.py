@@ -157,8 +157,8 @@ def _(spark, sf):
 
 
 SOFT = f"""with v as (select {KEY_SQL}, [l_discount * 10, l_tax * 10, l_quantity / 50] as z from lineitem),
-e as (select *, list_transform(z, x -> exp(x - list_max(z))) as e from v),
-p as (select *, list_transform(e, x -> x / list_sum(e)) as p from e)
+e as (select *, list_transform(z, lambda x: exp(x - list_max(z))) as e from v),
+p as (select *, list_transform(e, lambda x: x / list_sum(e)) as p from e)
 select {KEY_SQL}, {R('p[1]')} as p0, {R('p[2]')} as p1, {R('p[3]')} as p2, {R('1 / (1 + exp(-z[1]))')} as sig,
 greatest(z[3] - 0.5, 0e0) as relu, {R('-ln(p[3])')} as loss from p"""
 
@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query(
     "f20_one_hot",
-    "select vec_id, array_to_string(list_transform(range(10), i -> case when i = label then 1 else 0 end), ',') as code from embeddings",
+    "select vec_id, array_to_string(list_transform(range(10), lambda i: case when i = label then 1 else 0 end), ',') as code from embeddings",
 )
 def _(spark, sf):
     code = sc.one_hot("label", 10).cast("array<string>")
@@ -199,7 +199,7 @@ def _(spark, sf):
 
 @query(
     "f23_map_filter_reduce",
-    f"""select vec_id, {R('list_sum(list_filter(list_transform(embedding::double[], x -> x * x), x -> x > 0.01))')} as energy from embeddings""",
+    f"""select vec_id, {R('list_sum(list_filter(list_transform(embedding::double[], lambda x: x * x), lambda x: x > 0.01))')} as energy from embeddings""",
 )
 def _(spark, sf):
     squares = sc.arr_map(F.col("embedding").cast("array<double>"), lambda x: x * x)

@@ -47,7 +47,7 @@ def _(spark, sf):
 @query(
     "x04_binning_closure",
     """with e as (select quantile_cont(c_acctbal, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) as q from customer)
-    select s_suppkey, greatest(1, least(5, cast(list_sum(list_transform(q, x -> cast(s_acctbal >= x as integer))) as integer))) as band from supplier, e""",
+    select s_suppkey, greatest(1, least(5, cast(list_sum(list_transform(q, lambda x: cast(s_acctbal >= x as integer))) as integer))) as band from supplier, e""",
 )
 def _(spark, sf):
     binner = udfs.make_binner(table(spark, sf, "customer"), "c_acctbal", 5)
