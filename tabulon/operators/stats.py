@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.functions.tails import p_chi2, p_f, p_t, studentized_range_sf
-from tabulon.plans.sizes import small_rows
+from tabulon.plans.sizes import small_rows, with_scalars
 
 
 def _matrix(df: DataFrame, cols: Sequence[str], fn, name: str) -> DataFrame:
@@ -52,15 +52,14 @@ def _group_stats(df: DataFrame, c: str, by: str) -> DataFrame:
 
 def anova(df: DataFrame, c: str, by: str) -> DataFrame:
     """One-way analysis of variance from group counts, means and variances."""
-    g = _group_stats(df, c, by)
-    # The grand mean is taken off through a second sum, so the group table is used once.
+    g = with_scalars(_group_stats(df, c, by), df.agg(F.avg(c).alias("_grand")))
     t = g.agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s1"),
-        F.collect_list(F.struct("n", "m")).alias("g"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("ssw"),
+        F.sum("n").alias("n"), F.count("*").alias("k"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("_grand"), F.lit(2.0))).alias("ssb"),
+        F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("ssw"),
     )
-    ssb = F.aggregate("g", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["m"] - F.col("s1") / F.col("n"), F.lit(2.0)))
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
-    out = t.select(((ssb / d1) / (F.col("ssw") / d2)).alias("f"), d1.alias("dof_between"), d2.alias("dof_within"))
+    out = t.select(((F.col("ssb") / d1) / (F.col("ssw") / d2)).alias("f"), d1.alias("dof_between"), d2.alias("dof_within"))
     return out.withColumn("p", p_f(F.col("f"), F.col("dof_between"), F.col("dof_within")))
 
 
