@@ -199,19 +199,23 @@ def effect_vs_spend(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def ridge_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str], alpha: float = 0.01) -> DataFrame:
+def ridge_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str] | str, alpha: float = 0.01, dims: int | None = None) -> DataFrame:
     """A ridge model per group, intercept not penalised: (by, intercept, weights).
 
-    Sums of products are aggregated per group by Spark, so a group of any length is one row when
-    its small system is solved.
+    ``xs`` are number columns, or the name of one array column of ``dims`` numbers. Sums of
+    products are aggregated per group by Spark, so a group of any length is one row when its
+    small system is solved.
     """
-    k = len(xs)
+    k = dims if isinstance(xs, str) else len(xs)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    g = df.select(by, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]).dropna()
+    x = F.col(xs).cast("array<double>") if isinstance(xs, str) else F.array(*[F.col(c).cast("double") for c in xs])
+    g = df.select(by, F.col(y).cast("double").alias("_y"), x.alias("_x"))
+    g = g.filter(F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull()))
+    at = [F.col("_x")[i] for i in range(k)]
     sums = g.groupBy(by).agg(
-        F.count("*").alias("n"), F.sum("_y").alias("sy"), F.array(*[F.sum(f"_x{i}") for i in range(k)]).alias("sx"),
-        F.array(*[F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(k)]).alias("sxy"),
-        F.array(*[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i, j in pairs]).alias("sxx"),
+        F.count("*").alias("n"), F.sum("_y").alias("sy"), F.array(*[F.sum(a) for a in at]).alias("sx"),
+        F.array(*[F.sum(a * F.col("_y")) for a in at]).alias("sxy"),
+        F.array(*[F.sum(at[i] * at[j]) for i, j in pairs]).alias("sxx"),
     )
     upper = tuple(np.array([p[a] for p in pairs]) for a in (0, 1))
 

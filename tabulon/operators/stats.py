@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.tails import p_chi2, p_f, p_t, studentized_range_sf
 from tabulon.plans.sizes import small_rows, with_scalars
@@ -18,13 +18,19 @@ def _matrix(df: DataFrame, cols: Sequence[str], fn, name: str) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over the rows that have both values; NULL when either does not vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def cov(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sample covariance matrix in long form, all pairs of columns in one pass."""
     return _matrix(df, cols, F.covar_samp, "cov")
 
 
 def corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _matrix(df, cols, F.corr, "corr")
+    return _matrix(df, cols, pearson, "corr")
 
 
 def mean_interval(df: DataFrame, c: str, k: float = 2.0) -> DataFrame:
