@@ -36,18 +36,17 @@ def gcn_norm(sym: DataFrame) -> DataFrame:
 def propagate(weighted: DataFrame, emb: DataFrame, layers: int, dims: int, key: str = "id", vec: str = "vec") -> DataFrame:
     """Weighted neighbour sums over ``layers`` steps, and the mean of layers 0..layers.
 
-    A step is a join on the source and a partially aggregated sum per target, one column per
+    A step is a join on the source and a partially aggregated sum per target, one sum per
     dimension. Each layer is checkpointed, so neither plan nor recovery grows with the steps.
     """
-    names = [f"_{i}" for i in range(dims)]
-    layer = emb.select(key, *[F.col(vec)[i].cast("double").alias(n) for i, n in enumerate(names)])
-    total = layer
-    zero = layer.select(key)
+    at = lambda i: F.col(vec)[i]
+    layer = emb.select(key, F.col(vec).cast("array<double>").alias(vec))
+    total, zero = layer, layer.select(key)
+    nothing = F.array_repeat(F.lit(0.0), dims)
     for _ in range(layers):
         sums = weighted.join(layer.withColumnRenamed(key, "src"), "src").groupBy(F.col("dst").alias(key)).agg(
-            *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]
+            F.array(*[F.sum(F.col("w") * at(i)) for i in range(dims)]).alias(vec)
         )
-        layer = cut(zero.join(sums, key, "left").fillna(0.0, names))
+        layer = cut(zero.join(sums, key, "left").withColumn(vec, F.coalesce(vec, nothing)))
         total = total.unionByName(layer)
-    mean = total.groupBy(key).agg(*[(F.sum(n) / F.lit(layers + 1.0)).alias(n) for n in names])
-    return mean.select(key, F.array(*names).alias(vec))
+    return total.groupBy(key).agg(F.array(*[F.sum(at(i)) / F.lit(layers + 1.0) for i in range(dims)]).alias(vec))
