@@ -41,15 +41,18 @@ def popular(df: DataFrame, item: str, n: int) -> DataFrame:
 
 def frequent_itemsets(df: DataFrame, by: str, item: str, support: float) -> DataFrame:
     """(items sorted, freq, support) of every itemset at or above the support."""
-    pairs = df.select(by, item).distinct()
+    # Read four times below (counts, and twice by the miner), so written once.
+    pairs = cut(df.select(by, item).distinct())
     total = pairs.select(F.count_distinct(by)).first()[0]
     least = max(1, math.ceil(support * total - 1e-9))
     often = pairs.groupBy(item).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    baskets = pairs.join(often, item, "left_semi").groupBy(by).agg(F.collect_set(item).alias("items"))
+    baskets = cut(pairs.join(often, item, "left_semi").groupBy(by).agg(F.collect_set(item).alias("items")).select("items"))
     rows = baskets.count()
     if not rows:
         return baskets.select("items", F.lit(0).cast("long").alias("freq"), F.lit(0.0).alias("support"))
-    mined = FPGrowth(minSupport=min(1.0, (least - 0.5) / rows), minConfidence=1.0).fit(baskets.select("items")).freqItemsets
+    tasks = max(baskets.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    miner = FPGrowth(minSupport=min(1.0, (least - 0.5) / rows), minConfidence=1.0, numPartitions=tasks)
+    mined = miner.fit(baskets).freqItemsets
     # Mining is lazy and the itemsets are read several times by the rules, so they are written once.
     return cut(mined.select(F.sort_array("items").alias("items"), "freq", (F.col("freq") / F.lit(float(total))).alias("support")))
 

@@ -31,8 +31,8 @@ def did(df: DataFrame, y: str, treated: Column, post: Column) -> DataFrame:
     )
 
 
-def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> tuple[DataFrame, dict[str, Column], int, int]:
-    """Demeaned design; returns it, its terms, the number of entities and of time effects."""
+def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> tuple[DataFrame, dict[str, Column], int]:
+    """Demeaned design; returns it, its terms and the number of time effects."""
     cols = as_terms(xs)
     base = df.select(
         entity, *([time] if time else []), *[c.alias(f"_x{i}") for i, c in enumerate(cols.values())],
@@ -40,16 +40,15 @@ def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> t
     ).dropna()
     names = [f"_x{i}" for i in range(len(cols))]
     terms = {n: F.col(x) for n, x in zip(cols, names)}
-    entities = base.select(F.count_distinct(entity)).first()[0]
     if time is None:
-        return demean(base, [entity], [*names, "_y"]), terms, entities, 0
+        return demean(base, [entity], [*names, "_y"]), terms, 0
     times = base.select(F.count_distinct(time)).first()[0]
     if times <= TIME_DUMMIES:
         # Entity means come off by subtraction, time effects by dummies: exact for any panel.
         dummies = [f"_d{i}" for i in range(1, times)]
         base = base.withColumns({d: (F.col(time) == F.lit(v)).cast("double") for d, v in zip(dummies, levels(base, time)[1:])})
         flat = demean(base, [entity], [*names, "_y", *dummies])
-        return flat, {**terms, **{d: F.col(d) for d in dummies}}, entities, times - 1
+        return flat, {**terms, **{d: F.col(d) for d in dummies}}, times - 1
     flat = base
     for _ in range(200):
         step = demean(demean(flat, [entity], [*names, "_y"]), [time], [*names, "_y"])
@@ -59,15 +58,16 @@ def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> t
         flat = step
         if worst < 1e-10:
             break
-    return flat, terms, entities, times - 1
+    return flat, terms, times - 1
 
 
 def fixed_effects(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None = None) -> Fit:
     """Within estimator with entity effects, and time effects if a time column is named."""
-    flat, terms, entities, times = _panel(df, y, xs, entity, time)
+    flat, terms, times = _panel(df, y, xs, entity, time)
     hidden = 0 if len(terms) > len(as_terms(xs)) else times
     names = [*as_terms(xs), *list(terms)[len(as_terms(xs)):]]
-    return fit_moments(moments(complete(flat, "_y", terms), len(terms)), names, False, lost=entities + hidden)
+    m = moments(complete(flat, "_y", terms, [entity]), len(terms), centred=True, entity=entity)
+    return fit_moments(m, names, False, lost=m.entities + hidden)
 
 
 def clustered(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None = None) -> DataFrame:
@@ -76,11 +76,11 @@ def clustered(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None =
     Score sums are taken per cluster on the cluster; only k x k products come back. Errors are
     scaled by n / (n - k).
     """
-    flat, terms, _, _ = _panel(df, y, xs, entity, time)
+    flat, terms, _ = _panel(df, y, xs, entity, time)
     keys = [entity, *([time] if time else [])]
     design = complete(flat, "_y", terms, keys)
     k = len(terms)
-    fit = fit_moments(moments(design.drop(*keys), k), list(terms), False)
+    fit = fit_moments(moments(design, k, centred=True), list(terms), False)
     resid = F.col("_y") - reduce(add, [F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(fit.coef)])
     scores = design.select(*keys, *[(F.col(f"_x{i}") * resid).alias(f"_s{i}") for i in range(k)])
 

@@ -37,10 +37,11 @@ def propagate(weighted: DataFrame, emb: DataFrame, layers: int, dims: int, key:
     """Weighted neighbour sums over ``layers`` steps, and the mean of layers 0..layers.
 
     A step is a join on the source and a partially aggregated sum per target, one sum per
-    dimension. Each layer is checkpointed, so neither plan nor recovery grows with the steps.
+    dimension. Edges and layers are checkpointed, so neither plan nor recovery grows with the steps.
     """
     at = lambda i: F.col(vec)[i]
-    layer = emb.select(key, F.col(vec).cast("array<double>").alias(vec))
+    weighted = cut(weighted)
+    layer = cut(emb.select(key, F.col(vec).cast("array<double>").alias(vec)))
     total, zero = layer, layer.select(key)
     nothing = F.array_repeat(F.lit(0.0), dims)
     for _ in range(layers):

@@ -33,6 +33,7 @@ class Moments:
     n: float
     mean: np.ndarray
     cross: np.ndarray
+    entities: int = 0
 
     def __sub__(self, other: "Moments") -> "Moments":
         n = self.n - other.n
@@ -45,19 +46,28 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def moments(design: DataFrame, k: int, by: str | None = None) -> Moments | dict:
-    """One pass for the means, one for the products about them (so large means lose no digits).
+def moments(
+    design: DataFrame, k: int, by: str | None = None, centred: bool = False, entity: str | None = None
+) -> Moments | dict:
+    """Cross products in one pass over the data.
 
-    With ``by`` (a few groups, such as folds) a dict of moments per group.
+    Products are taken about a rough centre, so large means lose no digits; any centre gives the
+    same result, and a few rows are enough to find one. ``centred`` says the columns already have
+    mean zero. With ``by`` (a few groups, such as folds) a dict of moments per group; with
+    ``entity`` the distinct entities are counted along (as ``entities``).
     """
     cols = [f"_x{i}" for i in range(k)] + ["_y"]
-    first = design.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
-    if not first["n"]:
-        raise ValueError("no complete rows")
-    centre = np.array([first[c] for c in cols])
+    centre = np.zeros(len(cols))
+    if not centred:
+        some = design.select(*cols).head(200)
+        if not some:
+            raise ValueError("no complete rows")
+        centre = np.array([list(r) for r in some], dtype=float).mean(axis=0)
     d = {c: F.col(c) - F.lit(float(m)) for c, m in zip(cols, centre)}
     sums = [F.count("*").alias("n"), *[F.sum(d[c]).alias(f"s{i}") for i, c in enumerate(cols)]]
     sums += [F.sum(d[cols[i]] * d[cols[j]]).alias(f"p{i}_{j}") for i, j in _pairs(len(cols))]
+    if entity:
+        sums.append(F.count_distinct(entity).alias("entities"))
     rows = design.groupBy(*([by] if by else [])).agg(*sums).collect()
 
     def unpack(r) -> Moments:
@@ -65,7 +75,7 @@ def moments(design: DataFrame, k: int, by: str | None = None) -> Moments | dict:
         cross = np.zeros((len(cols), len(cols)))
         for i, j in _pairs(len(cols)):
             cross[i, j] = cross[j, i] = r[f"p{i}_{j}"] - r["n"] * shift[i] * shift[j]
-        return Moments(r["n"], centre + shift, cross)
+        return Moments(r["n"], centre + shift, cross, r["entities"] if entity else 0)
 
     return {r[by]: unpack(r) for r in rows} if by else unpack(rows[0])
 

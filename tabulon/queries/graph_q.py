@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tabulon.operators import graph as gr
+from tabulon.plans.shared import cut
 from tabulon.queries.recommend_q import ratings
 from tabulon.queries.registry import R, query, rnd
 
@@ -45,7 +46,7 @@ def _(spark, sf):
     select id, {R('(e0.x + e1.x + e2.x) / 3')} as x, {R('(e0.y + e1.y + e2.y) / 3')} as y from e0 join e1 using (id) join e2 using (id)""",
 )
 def _(spark, sf):
-    sym = gr.symmetrize(edges(spark, sf))
+    sym = cut(gr.symmetrize(edges(spark, sf)))
     emb = sym.select(F.col("src").alias("id")).distinct().select("id", F.array((F.col("id") % 10) / 10, (F.col("id") % 7) / 7).alias("vec"))
     out = gr.propagate(gr.gcn_norm(sym), emb, 2, 2)
     return out.select("id", rnd(F.col("vec")[0]).alias("x"), rnd(F.col("vec")[1]).alias("y"))
