@@ -30,6 +30,7 @@ def quantile_table(
         wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), grid).alias(c) for c in cols])
         named = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("q")) for c in cols]))
         long = wide.select(*by, named.alias("_v")).select(*by, "_v.variable", "_v.q")
+        long = long.withColumn("q", F.coalesce("q", F.array_repeat(F.lit(None).cast("double"), len(probs))))
         return long.select(*by, "variable", F.explode(F.arrays_zip(grid.alias("prob"), F.col("q").alias("value"))).alias("_q")).select(
             *by, "variable", "_q.prob", "_q.value"
         )
@@ -37,11 +38,12 @@ def quantile_table(
         list(by), list(cols), "variable", "value"
     )
     keys = [*by, "variable"]
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    ranked = running(counts, keys, ["value"], {"_upto": ("sum", "_n")}, group_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = join_groups(ranked, totals, keys)
-    wanted = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    present = counts.filter(F.col("value").isNotNull())
+    grid = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    ranked = running(present, keys, ["value"], {"_upto": ("sum", "_n")}, group_rows)
+    totals = counts.groupBy(*keys).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))).alias("_total"))
+    wanted = join_groups(ranked, totals, keys).select("*", grid)
     h = F.col("prob") * (F.col("_total") - 1)
     lo, hi = F.floor(h), F.ceil(h)
     holds = lambda i: (i >= F.col("_upto") - F.col("_n")) & (i < F.col("_upto"))
@@ -54,7 +56,9 @@ def quantile_table(
             F.max(h - lo).alias("_f"),
         )
     )
-    return picked.select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
+    value = (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value")
+    # A group without any value keeps its rows, with NULL quantiles.
+    return join_groups(totals.select(*keys, grid), picked.select(*keys, "prob", value), [*keys, "prob"], "left")
 
 
 def quantiles_wide(df: DataFrame, col: str, named: dict[str, float], by: Sequence[str] = (), **limits) -> DataFrame:
