@@ -18,7 +18,7 @@ from tabulon.functions.scalars import digitize, pct_error
 from tabulon.operators.rows import split, split_by_time, uniform
 from tabulon.operators.windows import adstock
 from tabulon.plans.gram import Fit, as_terms, complete, fit_moments, moments
-from tabulon.plans.ordered import Order
+from tabulon.plans.ordered import Order, neighbours
 from tabulon.plans.quantiles import quantile_edges
 
 
@@ -160,12 +160,8 @@ def permutation_importance(model, df: DataFrame, y: str, xs: Sequence[str], key:
 
     The other row is the neighbour in a hashed order, found once for all features by position.
     """
-    from tabulon.operators.windows import shift
-
     base = df.select(*key, y, *xs).withColumn("_u", uniform(key, seed))
-    moved = base
-    for x in xs:
-        moved = shift(moved, x, 1, ["_u", *key], name=f"_o_{x}")
+    moved = neighbours(base, [], ["_u", *key], lambda w: {f"_o_{x}": F.lag(x).over(w) for x in xs}, before=1)
     moved = moved.dropna(subset=[f"_o_{x}" for x in xs])
     mse = F.avg(F.pow(F.col(y) - F.col("prediction"), F.lit(2.0)))
     start = model.transform(assemble(moved, xs)).select(mse).first()[0]

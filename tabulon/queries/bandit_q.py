@@ -99,3 +99,19 @@ def _(spark, sf):
         {"random": best, "greedy": winner, "epsilon_greedy": bd.epsilon_choice(df, winner, [0, 1], 0.05, 5, ["event_id"]), "ucb1": F.col("choice").cast("long")},
         "arm", "click",
     )
+
+
+@query(
+    "b06_replay_fixed_policies",
+    STEPS.replace("select event_id, step, " + R("least(s0, 1e6)"), "select * from (with o as (select event_id, step, " + R("least(s0, 1e6)"), 1)
+    + f""" ), w as (select arm, avg(click) as r from l group by 1), win as (select arm from (select * from l order by event_id limit 100) group by 1 order by avg(click) desc, 1 limit 1),
+    c as (select 'ucb1' as policy, l.*, o.choice from l join o using (event_id) union all select 'greedy', l.*, (select arm from win) from l)
+    select policy, count(*) as matched, cast(sum(click) as bigint) as reward, {R('avg((select max(r) from w) - w.r)')} as regret, {R('sum(click) / count(*)')} as reward_rate
+    from c join w using (arm) where choice = arm group by 1)""",
+)
+def _(spark, sf):
+    df = log(spark, sf)
+    steps = bd.ucb1_steps(df, "arm", "click", ["event_id"], [0, 1])
+    winner = bd.greedy_arm(df, "arm", "click", ["event_id"], 100).select("arm").scalar()
+    out = bd.replay(steps, {"greedy": winner, "ucb1": F.col("choice").cast("long")}, "arm", "click")
+    return out.select("policy", "matched", "reward", rnd("regret").alias("regret"), rnd("reward_rate").alias("reward_rate"))

@@ -35,6 +35,32 @@ def _(spark, sf):
     return sets.select(F.array_join("items", " + ").alias("items"), "freq", rnd("support").alias("support"))
 
 
+TRIPLES = ITEMS + """, q as (select x.i as a, y.i as b, z.i as z, count(*) as c from t x join t y on x.b = y.b and x.i < y.i join t z on y.b = z.b and y.i < z.i group by 1, 2, 3),
+f as (select i as items, c from s union all select a || ' + ' || z, c from p where a < z union all select a || ' + ' || b || ' + ' || z, c from q),
+k as (select items, c from f, n where c >= ceil(0.002 * n.n)) """
+
+
+@query("c01_frequent_itemsets_to_three", TRIPLES + "select items, cast(c as bigint) as freq from k")
+def _(spark, sf):
+    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002).filter("size(items) <= 3")
+    return sets.select(F.array_join("items", " + ").alias("items"), "freq")
+
+
+SIDES = [("a", "b + z"), ("b", "a + z"), ("z", "a + b"), ("b + z", "a"), ("a + z", "b"), ("a + b", "z")]
+THREES = TRIPLES + ", v as (" + " union all ".join(
+    "select {} as x, {} as y, c from q".format(*[side.replace(" + ", " || ' + ' || ") for side in pair]) for pair in SIDES
+) + f""")
+select v.x as antecedents, v.y as consequents, case when contains(v.x, ' + ') then '2 - 1' else '1 - 2' end as combo, {R('v.c / n.n')} as support, {R('v.c / l.c')} as confidence,
+{R('(v.c / l.c) / (r.c / n.n)')} as lift from v join k l on l.items = v.x join k r on r.items = v.y, n where v.c >= ceil(0.002 * n.n) and v.c / l.c >= 0.05"""
+
+
+@query("c02_association_rules_of_three", THREES)
+def _(spark, sf):
+    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
+    r = bk.label_rules(bk.rules(sets, 0.05, 3)).filter("combo <> '1 - 1'")
+    return r.select("antecedents", "consequents", "combo", *[rnd(c).alias(c) for c in ("support", "confidence", "lift")])
+
+
 @query("c01_frequent_itemsets_any_size")
 def _(spark, sf):
     sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)

@@ -50,7 +50,20 @@ def _(spark, sf):
     return fit.table(spark).select("term", rnd("coef").alias("coef"))
 
 
-@query("t19_clustered_errors")
+CLUSTERED = PANEL.replace("d as (select y", "d as (select o_custkey, y") + f""", b as (select *, (c * p - b * q) / (a * c - b * b) as b1, (a * q - b * p) / (a * c - b * b) as b2, a * c - b * b as det from s),
+g as (select o_custkey, sum(x1 * (y - b1 * x1 - b2 * x2)) as s1, sum(x2 * (y - b1 * x1 - b2 * x2)) as s2 from d, b group by 1),
+m as (select sum(s1 * s1) as m11, sum(s1 * s2) as m12, sum(s2 * s2) as m22 from g), n as (select count(*) as n from d)
+select 'n_orders' as term, {R('b1')} as coef, {R('sqrt((c * c * m11 - 2 * b * c * m12 + b * b * m22) / (det * det) * n / (n - 2))')} as se from b, m, n
+union all select 'urgent', {R('b2')}, {R('sqrt((b * b * m11 - 2 * a * b * m12 + a * a * m22) / (det * det) * n / (n - 2))')} from b, m, n"""
+
+
+@query("t19_clustered_errors", CLUSTERED.replace("n / (n - 2)", "n.n / (n.n - 2)"))
+def _(spark, sf):
+    df = cs.clustered(_panel(spark, sf), "y", ["n_orders", "urgent"], "o_custkey")
+    return df.select("term", rnd("coef").alias("coef"), rnd("se").alias("se"))
+
+
+@query("t19_clustered_errors_p_value")
 def _(spark, sf):
     return cs.clustered(_panel(spark, sf), "y", ["n_orders", "urgent"], "o_custkey")
 
@@ -71,6 +84,17 @@ def _(spark, sf):
     return df.select(rnd("o_totalprice", 2).alias("o_totalprice"), rnd("c_acctbal", 2).alias("c_acctbal"))
 
 
+@query(
+    "t23_pretest_models",
+    f"""with s as (select l_suppkey, covar_pop(l_quantity, l_quantity) as dd, covar_pop(l_discount, l_discount) as xx, covar_pop(l_quantity, l_discount) as dx,
+    covar_pop(l_quantity, l_extendedprice) as dy, covar_pop(l_discount, l_extendedprice) as xy from lineitem group by 1)
+    select l_suppkey, {R('(xx * dy - dx * xy) / (dd * xx - dx * dx)', 4)} as long, {R('dy / dd', 4)} as short from s""",
+)
+def _(spark, sf):
+    df = cs.pretest(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", "l_discount", ["l_suppkey"])
+    return df.select("l_suppkey", rnd("long", 4).alias("long"), rnd("short", 4).alias("short"))
+
+
 @query("t23_pretest")
 def _(spark, sf):
     return cs.pretest(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", "l_discount", ["l_suppkey"])

@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tabulon.operators import charts as ch
@@ -68,15 +70,32 @@ def _(spark, sf):
     return df.select("c_mktsegment", "point", rnd("x", 4).alias("x"), rnd("density", 9).alias("density"))
 
 
-@query("v07_normal_qq")
+PROBS = [(i - 0.5) / 50 for i in range(1, 51)]
+QQ = "with p(prob, theoretical) as (values " + ", ".join(f"({p!r}::double, {NormalDist().inv_cdf(p)!r}::double)" for p in PROBS) + ") "
+
+
+@query(
+    "v07_normal_qq",
+    QQ + f", q as (select unnest({PROBS}::double[]) as prob, unnest(quantile_cont(c_acctbal, {PROBS})) as sample from customer) "
+    + f"select {R('prob', 3)} as prob, {R('theoretical', 8)} as theoretical, {R('sample')} as sample from p join q using (prob)",
+)
 def _(spark, sf):
-    return ch.qq(table(spark, sf, "customer"), "c_acctbal", 50)
+    df = ch.qq(table(spark, sf, "customer"), "c_acctbal", 50)
+    return df.select(rnd("prob", 3).alias("prob"), rnd("theoretical", 8).alias("theoretical"), rnd("sample").alias("sample"))
+
+
+SMOOTH = f"""with r as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem),
+b as (select greatest(0, least(39, floor((l_quantity - lo) / ((hi - lo) / 40)))) as bin, avg(l_quantity) as x, avg(l_extendedprice) as y, count(*) as n from lineitem, r group by 1),
+g as (select point, lo + (point + 0.5) * (hi - lo) / 40 as mid, 0.3 * (hi - lo) as span from r, range(40) t(point)),
+w as (select point, mid, x - mid as d, y, power(1 - power(abs(x - mid) / span, 3), 3) * n as w from g, b where abs(x - mid) < span),
+s as (select point, mid, sum(w) as s0, sum(w * d) as s1, sum(w * d * d) as s2, sum(w * y) as t0, sum(w * d * y) as t1 from w group by 1, 2)
+select point, {R('mid')} as x, {R('(s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)', 4)} as trend from s"""
 
 
-@query("v08_smooth_trend")
+@query("v08_smooth_trend", SMOOTH)
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    return ch.smooth(li, "l_quantity", "l_extendedprice", 40, 0.3)
+    return ch.smooth(li, "l_quantity", "l_extendedprice", 40, 0.3).select("point", rnd("x").alias("x"), rnd("trend", 4).alias("trend"))
 
 
 @query(

@@ -154,7 +154,14 @@ def _rated(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(orders, "l_orderkey").join(part, "l_partkey")
 
 
-@query("m16_ridge_per_user")
+RIDGE = f"""with r as (select o_custkey, l_quantity as y, p_size / 50 as x1, p_retailprice / 1000 as x2 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+s as (select o_custkey, avg(y) as my, avg(x1) as m1, avg(x2) as m2, var_pop(x1) * count(*) + 0.01 as a, covar_pop(x1, x2) * count(*) as b, var_pop(x2) * count(*) + 0.01 as c,
+ covar_pop(x1, y) * count(*) as p, covar_pop(x2, y) * count(*) as q from r group by 1),
+w as (select *, (c * p - b * q) / (a * c - b * b) as w0, (a * q - b * p) / (a * c - b * b) as w1 from s)
+select o_custkey, {R('my - w0 * m1 - w1 * m2')} as intercept, {R('w0')} as w0, {R('w1')} as w1 from w"""
+
+
+@query("m16_ridge_per_user", RIDGE)
 def _(spark, sf):
     out = md.ridge_per_group(_rated(spark, sf), "o_custkey", "l_quantity", ["size", "price"], 0.01)
     return out.select("o_custkey", rnd("intercept").alias("intercept"), *[rnd(F.col("weights")[i]).alias(f"w{i}") for i in range(2)])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import ranking as rk, recommend as rc
 from tabulon.operators.joins import context_pairs
+from tabulon.operators.reshape import levels
 from tabulon.queries.features_q import part_terms
 from tabulon.queries.registry import R, query, rnd, table
 
@@ -72,8 +73,7 @@ def _(spark, sf):
 
 def _content(spark, sf):
     terms = part_terms(spark, sf).withColumnRenamed("p_partkey", "item")
-    names = [r[0] for r in terms.select("term").distinct().orderBy("term").collect()]
-    return rc.content_weights(ratings(spark, sf), terms, names)
+    return rc.content_weights(ratings(spark, sf), terms, levels(terms, "term"))
 
 
 @query("c14_recommend_by_content")

@@ -215,7 +215,17 @@ def _(spark, sf, hot):
     return df.select("lag", rnd("acf").alias("acf"))
 
 
-@query("w18_partial_autocorrelation")
+PACF = DAILY + """, c as (select day, n - avg(n) over () as d from d), l as (select d, lag(d, 1) over (order by day) as l1, lag(d, 2) over (order by day) as l2,
+ lag(d, 3) over (order by day) as l3 from c), r as (select sum(d * l1) / sum(d * d) as r1, sum(d * l2) / sum(d * d) as r2, sum(d * l3) / sum(d * d) as r3 from l),
+p as (select *, (r2 - r1 * r1) / (1 - r1 * r1) as p2 from r), q as (select *, r1 - p2 * r1 as f from p) """
+
+
+@query(
+    "w18_partial_autocorrelation",
+    PACF + "select cast(0 as bigint) as lag, 1e0 as pacf union all " + " union all ".join(
+        f"select cast({k} as bigint), {R(e)} from q" for k, e in ((1, "r1"), (2, "p2"), (3, "(r3 - f * r2 - p2 * r1) / (1 - f * r1 - p2 * r2)"))
+    ),
+)
 def _(spark, sf):
-    df = wn.pacf(_daily(spark, sf), "n", 5, ["day"])
+    df = wn.pacf(_daily(spark, sf), "n", 3, ["day"])
     return df.select("lag", rnd("pacf").alias("pacf"))
