@@ -125,33 +125,48 @@ def adstock(
 
     Inside a block of L rows y_t = a^t * sum(a^-s * x_s), a running sum. L keeps a^-L inside the
     range of a double, so two blocks back the weight a^L is far below rounding: one block of carry
-    is exact in double precision. a = 1 is a plain running sum and a = 0 the series itself.
+    is exact in double precision. Rates that can share a block length share one window and one
+    join. a = 1 is a plain running sum and a = 0 the series itself.
     """
     if any(not 0 <= a <= 1 for a in alphas.values()):
         raise ValueError("decay rates lie between 0 and 1")
     keep = df.columns
     out = with_position(df, by, order, "_t", group_rows)
-    for c, a in alphas.items():
-        name = f"{c}_adstock"
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        if a == 0:
-            out = out.withColumn(name, x)
-        elif a == 1:
-            out = running(out, by, ["_t"], {name: ("sum", x)}, group_rows)
-        else:
-            length = max(2, min(100_000, int(250 / -math.log10(a))))
-            t = F.col("_t") - 1
-            out = out.withColumn("_b", F.floor(t / F.lit(length))).withColumn("_p", (t % F.lit(length)).cast("double"))
-            w = W.partitionBy(*by, "_b").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
-            up, down = F.pow(F.lit(a), -F.col("_p")), F.pow(F.lit(a), F.col("_p"))
-            out = out.withColumn("_y", F.sum(x * up).over(w) * down)
-            carry = out.groupBy(*by, "_b").agg(F.max_by("_y", "_t").alias("_last")).withColumn("_b", F.col("_b") + 1)
-            out = join_groups(out, carry, [*by, "_b"], "left")
-            out = out.withColumn(name, F.col("_y") + F.coalesce(F.col("_last"), F.lit(0.0)) * F.pow(F.lit(a), F.col("_p") + 1))
-            out = out.drop("_b", "_p", "_y", "_last")
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in alphas}
+    out = out.withColumns({f"{c}_adstock": x[c] for c, a in alphas.items() if a == 0})
+    whole = [c for c, a in alphas.items() if a == 1]
+    if whole:
+        out = running(out, by, ["_t"], {f"{c}_adstock": ("sum", x[c]) for c in whole}, group_rows)
+    for length, rates in _block_lengths({c: a for c, a in alphas.items() if 0 < a < 1}):
+        t = F.col("_t") - 1
+        out = out.withColumn("_b", F.floor(t / F.lit(length))).withColumn("_p", (t % F.lit(length)).cast("double"))
+        w = W.partitionBy(*by, "_b").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
+        local = {
+            f"_y_{c}": F.sum(x[c] * F.pow(F.lit(a), -F.col("_p"))).over(w) * F.pow(F.lit(a), F.col("_p")) for c, a in rates.items()
+        }
+        out = out.withColumns(local)
+        carry = out.groupBy(*by, "_b").agg(*[F.max_by(f"_y_{c}", "_t").alias(f"_last_{c}") for c in rates])
+        out = join_groups(out, carry.withColumn("_b", F.col("_b") + 1), [*by, "_b"], "left")
+        out = out.withColumns(
+            {
+                f"{c}_adstock": F.col(f"_y_{c}") + F.coalesce(F.col(f"_last_{c}"), F.lit(0.0)) * F.pow(F.lit(a), F.col("_p") + 1)
+                for c, a in rates.items()
+            }
+        ).drop("_b", "_p", *[f"_{n}_{c}" for n in ("y", "last") for c in rates])
     return out.select(*keep, *[f"{c}_adstock" for c in alphas])
 
 
+def _block_lengths(alphas: Mapping[str, float]) -> list[tuple[int, dict[str, float]]]:
+    """Sets of rates with a common block length: a^-L below 1e250 for all, a^L below 1e-20 for all."""
+    groups: list[tuple[int, dict[str, float]]] = []
+    for c, a in sorted(alphas.items(), key=lambda x: x[1]):
+        digits = -math.log10(a)
+        if not groups or groups[-1][0] * digits < 20:
+            groups.append((max(2, int(250 / digits)), {}))
+        groups[-1][1][c] = a
+    return groups
+
+
 def peaks(df: DataFrame, c: str, order: Order, by: Sequence[str] = (), group_rows: int | None = None) -> DataFrame:
     """Local maxima and minima: rows strictly above, or strictly below, both neighbours."""
 

@@ -40,7 +40,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
-    return ag.size(df, ["lang"]).join(ag.agg(df, ["lang"], {"labelled": ("count", "quality")}), "lang")
+    return ag.agg(df, ["lang"], {"n": ("count", "doc_id"), "labelled": ("count", "quality")})
 
 
 @query(

@@ -30,7 +30,8 @@ def _(spark, sf):
 def _(spark, sf):
     src = table(spark, sf, "orders").withColumn("o_orderdate", day("o_orderdate"))
     path = files.write_csv(src, scratch_path(spark, "csv"))
-    df = files.read_csv(spark, path, dates=["o_orderdate"])
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    df = files.read_csv(spark, path, schema=schema, header=True, dates=["o_orderdate"])
     return df.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total")
     )

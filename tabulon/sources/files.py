@@ -14,17 +14,19 @@ def read_csv(
     columns: Sequence[str] | None = None,
     drop_first: bool = False,
     encoding: str = "UTF-8",
+    header: bool | None = None,
 ) -> DataFrame:
-    """Delimited text. With ``schema`` the file has no header line and no inference pass is made.
+    """Delimited text. Types are inferred by an extra pass over the file unless ``schema`` is given.
 
-    Python date columns are parsed to timestamps, ``columns`` keeps a subset (pruned at the scan)
+    A file read with a schema has no header line unless ``header`` says so.
+    The date columns are parsed to timestamps, ``columns`` keeps a subset (pruned at the scan)
     and ``drop_first`` discards a stored row index.
     """
     reader = spark.read.option("sep", sep).option("encoding", encoding)
     if schema is None:
         df = reader.csv(path, header=True, inferSchema=True)
     else:
-        df = reader.schema(schema).csv(path, header=False)
+        df = reader.schema(schema).csv(path, header=bool(header))
     if drop_first:
         df = df.drop(df.columns[0])
     if columns is not None:

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tabulon.plans.shared import scratch_path
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream; ``path`` may be a folder, a pattern or one file."""
     # Written as a pattern, since the source takes a plain path for a folder.
     pattern = path if any(ch in path for ch in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(pattern)
 
 
 def _timed(sdf: DataFrame, ts: str, late: str) -> DataFrame:
