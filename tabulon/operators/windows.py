@@ -15,6 +15,9 @@ from tabulon.plans import ordered
 from tabulon.plans.ordered import Order, neighbours, running, with_position
 from tabulon.plans.sizes import join_groups, with_scalars
 
+# A weight below this cannot change a double.
+NEGLIGIBLE = 1e-20
+
 
 def group_total(df: DataFrame, by: Sequence[str], c: str, share: bool = True) -> DataFrame:
     """Group total on every row and the row's share of it."""
@@ -123,10 +126,11 @@ def adstock(
 ) -> DataFrame:
     """Geometric carry-over y_t = x_t + a * y_(t-1), one output column ``<c>_adstock`` per channel.
 
-    Inside a block of L rows y_t = a^t * sum(a^-s * x_s), a running sum. L keeps a^-L inside the
-    range of a double, so two blocks back the weight a^L is far below rounding: one block of carry
-    is exact in double precision. Rates that can share a block length share one window and one
-    join. a = 1 is a plain running sum and a = 0 the series itself.
+    Inside a block of L rows y_t = a^t * sum(a^-s * x_s), a running sum; L keeps a^-L inside the
+    range of a double. What a block hands on is a carry-over again, of the block ends and with the
+    rate a^L: mostly a^L is far below rounding and one block of carry is exact, otherwise the much
+    shorter series of block ends goes through the same function. Rates that can share a block
+    length share one window and one join. a = 1 is a plain running sum, a = 0 the series itself.
     """
     if any(not 0 <= a <= 1 for a in alphas.values()):
         raise ValueError("decay rates lie between 0 and 1")
@@ -146,6 +150,10 @@ def adstock(
         }
         out = out.withColumns(local)
         carry = out.groupBy(*by, "_b").agg(*[F.max_by(f"_y_{c}", "_t").alias(f"_last_{c}") for c in rates])
+        slow = {f"_last_{c}": a**length for c, a in rates.items() if a**length > NEGLIGIBLE}
+        if slow:
+            carry = adstock(carry.withColumnRenamed("_b", "_k"), slow, ["_k"], by)
+            carry = carry.drop(*slow).withColumnsRenamed({"_k": "_b", **{f"{n}_adstock": n for n in slow}})
         out = join_groups(out, carry.withColumn("_b", F.col("_b") + 1), [*by, "_b"], "left")
         out = out.withColumns(
             {
@@ -157,12 +165,11 @@ def adstock(
 
 
 def _block_lengths(alphas: Mapping[str, float]) -> list[tuple[int, dict[str, float]]]:
-    """Sets of rates with a common block length: a^-L below 1e250 for all, a^L below 1e-20 for all."""
+    """Sets of rates with a common block length, for which a^-L stays below 1e250 and a^L is negligible."""
     groups: list[tuple[int, dict[str, float]]] = []
     for c, a in sorted(alphas.items(), key=lambda x: x[1]):
-        digits = -math.log10(a)
-        if not groups or groups[-1][0] * digits < 20:
-            groups.append((max(2, int(250 / digits)), {}))
+        if not groups or a ** groups[-1][0] > NEGLIGIBLE:
+            groups.append((max(2, min(ordered.BLOCK_ROWS, int(250 / -math.log10(a)))), {}))
         groups[-1][1][c] = a
     return groups
 

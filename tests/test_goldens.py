@@ -155,3 +155,11 @@ def test_audit_finds_each_breach(spark):
     df = spark.createDataFrame(rows, "worker string, day string, slot string")
     out = {(r["rule"], r["where"]): (r["found"], r["wanted"]) for r in ag.audit_assignment(df, "worker", "day", "slot", {"early": 2, "late": 1}, 2).collect()}
     assert out == {("cover", "tue/early"): (0, 2), ("load", "w2"): (1, 2), ("one_slot", "w1/mon"): (2, 1)}
+
+
+def test_settings_grow_with_the_input():
+    from tabulon.plans.settings import settings_for
+
+    assert settings_for(10**6, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert settings_for(10**13, 8)["spark.sql.shuffle.partitions"] == "37253"
+    assert settings_for(10**15, 8000)["spark.sql.shuffle.partitions"] == "100000"

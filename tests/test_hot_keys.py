@@ -80,10 +80,10 @@ def test_running_minimum_starts_with_gap(spark):
 
 
 def test_adstock_over_many_carry_blocks(spark):
-    """A decay of 1e-60 makes the carry blocks four rows long."""
+    """Blocks are at most seven rows long, so slow decay passes through several levels of blocks."""
     rows = [(i, float(i % 5)) for i in range(50)]
     df = spark.createDataFrame(rows, "t int, x double")
-    for a in (1e-60, 0.05, 0.5, 0.99):
+    for a in (1e-60, 0.05, 0.5, 0.99, 0.9999):
         want, y = [], 0.0
         for _, x in rows:
             y = x + a * y
