@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from tabulon.operators.relational import backfill
 from tabulon.plans import ordered
 from tabulon.plans.ordered import Order, neighbours, running, with_position
+from tabulon.plans.shared import cut
 from tabulon.plans.sizes import join_groups, with_scalars
 
 # A weight below this cannot change a double.
@@ -141,7 +142,11 @@ def adstock(
     whole = [c for c, a in alphas.items() if a == 1]
     if whole:
         out = running(out, by, ["_t"], {f"{c}_adstock": ("sum", x[c]) for c in whole}, group_rows)
-    for length, rates in _block_lengths({c: a for c, a in alphas.items() if 0 < a < 1}):
+    groups = _block_lengths({c: a for c, a in alphas.items() if 0 < a < 1})
+    for length, rates in groups:
+        if len(groups) > 1:
+            # Each set of rates reads the table twice; written here, the plan does not double per set.
+            out = cut(out)
         t = F.col("_t") - 1
         out = out.withColumn("_b", F.floor(t / F.lit(length))).withColumn("_p", (t % F.lit(length)).cast("double"))
         w = W.partitionBy(*by, "_b").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
@@ -152,7 +157,7 @@ def adstock(
         carry = out.groupBy(*by, "_b").agg(*[F.max_by(f"_y_{c}", "_t").alias(f"_last_{c}") for c in rates])
         slow = {f"_last_{c}": a**length for c, a in rates.items() if a**length > NEGLIGIBLE}
         if slow:
-            carry = adstock(carry.withColumnRenamed("_b", "_k"), slow, ["_k"], by)
+            carry = adstock(cut(carry.withColumnRenamed("_b", "_k")), slow, ["_k"], by)
             carry = carry.drop(*slow).withColumnsRenamed({"_k": "_b", **{f"{n}_adstock": n for n in slow}})
         out = join_groups(out, carry.withColumn("_b", F.col("_b") + 1), [*by, "_b"], "left")
         out = out.withColumns(

@@ -81,12 +81,13 @@ def test_running_minimum_starts_with_gap(spark):
 
 def test_adstock_over_many_carry_blocks(spark):
     """Blocks are at most seven rows long, so slow decay passes through several levels of blocks."""
-    rows = [(i, float(i % 5)) for i in range(50)]
-    df = spark.createDataFrame(rows, "t int, x double")
-    for a in (1e-60, 0.05, 0.5, 0.99, 0.9999):
+    rates = {"a": 1e-60, "b": 0.05, "c": 0.5, "d": 0.99, "e": 0.9999}
+    rows = [(i, *[float(i % 5)] * 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "t int, a double, b double, c double, d double, e double")
+    got = wn.adstock(df, rates, ["t"]).orderBy("t").collect()
+    for n, rate in rates.items():
         want, y = [], 0.0
-        for _, x in rows:
-            y = x + a * y
+        for r in rows:
+            y = r[1] + rate * y
             want.append(y)
-        got = [r["x_adstock"] for r in wn.adstock(df, {"x": a}, ["t"]).orderBy("t").collect()]
-        assert got == pytest.approx(want, rel=1e-12)
+        assert [r[f"{n}_adstock"] for r in got] == pytest.approx(want, rel=1e-12)
