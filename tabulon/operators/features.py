@@ -47,9 +47,11 @@ def label_encode(df: DataFrame, c: str, name: str | None = None, group_rows: int
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Codes for several columns; every dictionary is built from the table as it came."""
+    out = df
     for c in cols:
-        df = label_encode(df, c)
-    return df
+        out = join_groups(out, index_items(df, c, f"{c}_code"), [c], "left")
+    return out
 
 
 def target_encode(train: DataFrame, df: DataFrame, c: str, y: str, name: str | None = None) -> DataFrame:
