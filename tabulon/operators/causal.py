@@ -12,7 +12,7 @@ from tabulon.functions.tails import normal_sf, p_t
 from tabulon.operators.reshape import levels
 from tabulon.operators.rows import uniform
 from tabulon.operators.windows import avg_rank, demean
-from tabulon.plans.gram import Fit, Terms, as_terms, complete, fit_moments, moments
+from tabulon.plans.gram import Fit, Terms, all_present, as_terms, complete, fit_moments, moments
 from tabulon.plans.ordered import Order
 from tabulon.plans.shared import cut
 from tabulon.plans.sizes import join_groups
@@ -37,8 +37,9 @@ def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> t
     base = df.select(
         entity, *([time] if time else []), *[c.alias(f"_x{i}") for i, c in enumerate(cols.values())],
         F.col(y).cast("double").alias("_y"),
-    ).dropna()
+    ).dropna(subset=[entity, *([time] if time else [])])
     names = [f"_x{i}" for i in range(len(cols))]
+    base = base.filter(all_present([*names, "_y"]))
     terms = {n: F.col(x) for n, x in zip(cols, names)}
     if time is None:
         return demean(base, [entity], [*names, "_y"]), terms, 0

@@ -22,8 +22,13 @@ def complete(df: DataFrame, y: str | None, terms: dict[str, Column], keep: Seque
     cols = [c.alias(f"_x{i}") for i, c in enumerate(terms.values())]
     if y is not None:
         cols.append(F.col(y).cast("double").alias("_y"))
-    out = df.select(*keep, *cols)
-    return out.dropna(subset=[c for c in out.columns if c.startswith("_")])
+    names = [f"_x{i}" for i in range(len(terms))] + (["_y"] if y is not None else [])
+    return df.select(*keep, *cols).filter(all_present(names))
+
+
+def all_present(names: Sequence[str]) -> Column:
+    """No value missing, as one test: a test per column makes the optimizer's work grow with 2^columns."""
+    return F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: v.isNotNull())
 
 
 @dataclass
