@@ -4,6 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm.exact_dedup import exact_groups
+from tabulon.llm.secret_scan import scan_secrets
+from tabulon.llm.simhash import simhash_components
 from tabulon.llm.token_counts import token_counts
 from tabulon.llm.url_filter import judge_urls
 from tabulon.queries.registry import table
@@ -31,6 +33,16 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query("op3_simhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_components(table(spark, sf, "documents"), size=3, max_bits=3)
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_secrets(table(spark, sf, "documents"))
+
+
 @query(
     "op7_exact_dedup",
     f"""with n as (select doc_id, {AZ} as t from documents),
