@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabulon.llm.decontamination import contamination
 from tabulon.llm.exact_dedup import exact_groups
+from tabulon.llm.packing import pack
 from tabulon.llm.secret_scan import scan_secrets
 from tabulon.llm.simhash import simhash_components
 from tabulon.llm.token_counts import token_counts
@@ -43,6 +45,28 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(table(spark, sf, "documents"))
 
 
+WORDS = f"regexp_extract_all({AZ}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op6_decontamination",
+    f"""with b as (select cast(item_id as varchar) as item, {WORDS} as ws from benchmark),
+    wins as (select distinct item, least(len(ws), 13) as n, array_to_string(ws[i:i + 12], ' ') as win
+      from (select item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as i from b where len(ws) > 0)),
+    d as (select doc_id, {WORDS} as ws from documents),
+    places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d),
+    occ as (select doc_id, i, n, item from (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as win
+      from places, (select distinct n from wins) as lens where i + n - 1 <= len(ws)) as c join wins using (n, win)),
+    hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) as o group by doc_id),
+    its as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from occ group by doc_id)
+    select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+    from d left join hit using (doc_id) left join its using (doc_id)""",
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_mark")
+
+
 @query(
     "op7_exact_dedup",
     f"""with n as (select doc_id, {AZ} as t from documents),
@@ -54,6 +78,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
 
 
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 # The rules of the contract, as (host, path, verdict).
 RULES = [
     ("org", "/", "allow"),
