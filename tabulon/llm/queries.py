@@ -9,6 +9,7 @@ from tabulon.llm.packing import pack
 from tabulon.llm.secret_scan import scan_secrets
 from tabulon.llm.simhash import simhash_components
 from tabulon.llm.token_counts import token_counts
+from tabulon.llm.toxicity import fit_chain, label_categories, score_toxicity
 from tabulon.llm.url_filter import judge_urls
 from tabulon.queries.registry import table
 
@@ -35,6 +36,13 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    chain = fit_chain(docs, table(spark, sf, "labels"), label_categories())
+    return score_toxicity(docs, chain, "toxic").withColumnRenamed("rejected", "toxic")
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"), size=3, max_bits=3)
