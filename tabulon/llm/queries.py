@@ -8,6 +8,7 @@ from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.packing import pack
 from tabulon.llm.secret_scan import scan_secrets
 from tabulon.llm.simhash import simhash_components
+from tabulon.llm.suffix_dedup import repeated_passages
 from tabulon.llm.token_counts import token_counts
 from tabulon.llm.toxicity import fit_chain, label_categories, score_toxicity
 from tabulon.llm.url_filter import judge_urls
@@ -91,6 +92,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(table(spark, sf, "documents"))
+
+
 # The rules of the contract, as (host, path, verdict).
 RULES = [
     ("org", "/", "allow"),
