@@ -5,6 +5,10 @@ length has exactly one place that is least in it, and equal passages have it at
 kept suffixes carry the words around them that passages of that place can reach, are sorted by
 range over the whole table, and each is compared with its neighbours: matches are extended word by
 word to the right and to the left, and what they cover together is joined into passages.
+
+The neighbour that shares most to the right need not share most to the left. So where more
+suffixes begin alike than a suffix is compared with, those of its passages that no neighbour has
+covered are looked up by the hash of their words.
 """
 
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ _SENT = 4_000
 NO_ID = -(1 << 63)
 
 _ROWS = "id long, right binary, left binary, at binary"
-_FOUND = "id long, at binary, before int, after int, least_other long, edge int, right binary, left binary"
+_FOUND = "id long, at binary, before int, after int, least_other long, edge int, right binary, left binary, passage long"
 
 
 def _suffixes(least_words: int, kmer: int):
@@ -125,40 +129,80 @@ def _found(rows: _Rows, least_words: int, kmer: int) -> dict:
     return {"id": rows.id[hit], "at": [rows.at[i] for i in hit], "before": before[hit], "after": after[hit], "least_other": other[hit]}
 
 
+def _open(rows: _Rows, kmer: int, first: bool, last: bool) -> np.ndarray:
+    """Rows that begin like the row farthest compared on either side, or like the border of the task."""
+    head, n = rows.right[:, :kmer], len(rows)
+    i = np.arange(n)
+    back = (head == head[np.maximum(i - NEIGHBOURS, 0)]).all(axis=1) & (first | (i >= NEIGHBOURS))
+    ahead = (head == head[np.minimum(i + NEIGHBOURS, n - 1)]).all(axis=1) & (last | (i + NEIGHBOURS < n))
+    return back | ahead
+
+
+def _uncovered(rows: _Rows, chosen: np.ndarray, least_words: int, kmer: int) -> dict:
+    """Passages of the chosen rows that lie outside what their neighbours have matched, by hash."""
+    before, after, _ = _compare(rows, least_words, kmer)
+    own, back, hashes = [], [], []
+    for o in range(int(rows.lefts[chosen].max(initial=0)) + 1):
+        ahead = least_words - o
+        fits = (rows.lefts[chosen] >= o) & (rows.rights[chosen] >= ahead)
+        i = chosen[fits & ((before[chosen] < o) | (after[chosen] < ahead))]
+        if len(i):
+            words = np.concatenate([rows.left[i, :o][:, ::-1], rows.right[i, :ahead]], axis=1).astype(np.uint64)
+            own.append(i)
+            back.append(np.full(len(i), o))
+            hashes.append(kmer_hashes(words.T, least_words)[0])
+    if not own:
+        return {"id": []}
+    i, back, hashes = map(np.concatenate, (own, back, hashes))
+    return {"id": rows.id[i], "at": [rows.at[k] for k in i], "before": back, "after": least_words - back, "least_other": rows.id[i], "passage": hashes.view(np.int64)}
+
+
 def _neighbours(least_words: int, kmer: int):
-    """Matches among the sorted rows of a task, and its first and last rows for the tasks beside it."""
+    """Matches among the sorted rows of a task, its first and last rows for the tasks beside it, and open passages."""
+    keep = 2 * NEIGHBOURS
 
-    def batch_of(columns: dict, edge: int | None = None, contexts: tuple | None = None) -> pa.RecordBatch:
+    def batch_of(columns: dict, edge: int | None = None) -> pa.RecordBatch:
         n = len(columns["id"])
-        right, left = contexts or ([None] * n, [None] * n)
+        empty = [None] * n
         return pa.record_batch([
-            pa.array(columns["id"], pa.int64()), pa.array(columns["at"], pa.binary()), pa.array(columns["before"], pa.int32()),
-            pa.array(columns["after"], pa.int32()), pa.array(columns["least_other"], pa.int64()), pa.array([edge] * n, pa.int32()),
-            pa.array(right, pa.binary()), pa.array(left, pa.binary()),
-        ], ["id", "at", "before", "after", "least_other", "edge", "right", "left"])
+            pa.array(columns["id"], pa.int64()), pa.array(columns.get("at", empty), pa.binary()),
+            pa.array(columns.get("before", empty), pa.int32()), pa.array(columns.get("after", empty), pa.int32()),
+            pa.array(columns.get("least_other", empty), pa.int64()), pa.array([edge] * n, pa.int32()),
+            pa.array(columns.get("right", empty), pa.binary()), pa.array(columns.get("left", empty), pa.binary()),
+            pa.array(columns.get("passage", empty), pa.int64()),
+        ], ["id", "at", "before", "after", "least_other", "edge", "right", "left", "passage"])
 
     def edge_rows(rows: list[tuple], edge: int) -> pa.RecordBatch:
-        ids, right, left, at = (list(c) for c in zip(*rows))
-        zero = np.zeros(len(ids), np.int64)
-        return batch_of({"id": ids, "at": at, "before": zero, "after": zero, "least_other": zero}, edge, (right, left))
+        return batch_of(dict(zip(("id", "right", "left", "at"), (list(c) for c in zip(*rows)))), edge)
+
+    def open_rows(rows: _Rows, first: bool, last: bool) -> pa.RecordBatch:
+        i = np.flatnonzero(_open(rows, kmer, first, last))
+        # The first and last rows held are seen with all their neighbours in the batch before or after.
+        inside = (first | (i >= NEIGHBOURS)) & (last | (i < len(rows) - NEIGHBOURS))
+        return batch_of(_uncovered(rows, i[inside], least_words, kmer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[tuple] = []
-        part = None
+        first, part = True, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             columns = [batch.column(i).to_pylist() for i in range(4)]
-            if part is None:
+            if part is None and batch.num_rows:
                 part = batch.column(4)[0].as_py()
                 yield edge_rows(list(zip(*columns))[:NEIGHBOURS], part)
             held = [list(c) for c in zip(*tail)] or [[], [], [], []]
             rows = _Rows(*[a + b for a, b in zip(held, columns)], least_words)
-            yield batch_of(_found(rows, least_words, kmer))
-            tail = list(zip(rows.id.tolist()[-NEIGHBOURS:], *[r[-NEIGHBOURS:] for r in rows.raw], rows.at[-NEIGHBOURS:]))
+            if batch.num_rows:
+                yield batch_of(_found(rows, least_words, kmer))
+            if len(rows) > keep:
+                yield open_rows(rows, first, False)
+                first = False
+            tail = list(zip(rows.id.tolist(), *rows.raw, rows.at))
+            tail = tail if first else tail[-keep:]
         if tail:
+            rows = _Rows(*[list(c) for c in zip(*tail)], least_words)
+            yield open_rows(rows, first, True)
             # The rows after the end of this task are the first of the next.
-            yield edge_rows(tail, part + 1)
+            yield edge_rows(tail[-NEIGHBOURS:], part + 1)
 
     return run
 
@@ -175,9 +219,9 @@ def repeated_passages(
     not reported. Null, empty and short texts have no passage; an empty table gives no rows. Other
     columns are not read.
 
-    Suffixes with equal beginnings lie together however many documents share them, spread over
-    tasks by document. Each is compared with ``NEIGHBOURS`` others on either side, across the
-    borders of tasks too, so a group of that many or fewer is compared in full.
+    Suffixes with equal beginnings lie together, spread over
+    tasks by document, each compared with ``NEIGHBOURS`` others on either side, across the borders
+    of tasks too. Words are compared by 24 bits of their hashes.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).cast("binary").alias("text"))
     kept = texts.mapInArrow(_suffixes(least_words, kmer), _ROWS)
@@ -191,7 +235,15 @@ def repeated_passages(
 
     # At most NEIGHBOURS rows from either side of each border.
     borders = found.filter("edge is not null").groupBy("edge").applyInPandas(across, "id long, at binary, before int, after int, least_other long")
-    matches = found.filter("edge is null").select("id", "at", "before", "after", "least_other").unionByName(borders)
+    fields = ["id", "at", "before", "after", "least_other"]
+    matches = found.filter("edge is null and passage is null").select(*fields).unionByName(borders)
+    # Open passages that two documents have: an aggregate that is partial in each task, then a look-up.
+    open_ = found.filter("passage is not null")
+    shared = open_.groupBy("passage").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    shared = stored(shared, "shared")
+    other = F.when(F.col("low") < F.col("id"), F.col("low")).otherwise(F.col("high"))
+    looked_up = open_.drop("least_other").join(shared, "passage").withColumn("least_other", other)
+    matches = matches.unionByName(looked_up.select(*fields))
 
     def places(at: pd.Series) -> pd.Series:
         return at.map(lambda b: np.frombuffer(b, "<i4").tolist())

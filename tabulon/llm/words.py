@@ -37,11 +37,14 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def kmer_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k words in a row, well mixed, so that its order is as good as random."""
+    """Hash of every k words in a row, well mixed, so that its order is as good as random.
+
+    Of a table, one text per column.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, *h.shape[1:]), np.uint64)
     for i in range(k):
         out = out * _STEP + h[i : i + n]
     out ^= out >> np.uint64(32)
