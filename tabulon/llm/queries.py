@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.llm.decontamination import contamination
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.packing import pack
+from tabulon.llm.passage_dedup import fuzzy_passages
 from tabulon.llm.secret_scan import scan_secrets
 from tabulon.llm.simhash import simhash_components
 from tabulon.llm.suffix_dedup import repeated_passages
@@ -54,6 +55,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(table(spark, sf, "documents"))
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return fuzzy_passages(table(spark, sf, "documents"))
+
+
 WORDS = f"regexp_extract_all({AZ}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
