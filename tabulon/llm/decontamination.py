@@ -6,7 +6,6 @@ documents. Documents are joined on these prefix shingles alone; where the window
 whether it fits, follows from the place of the shingle, and the words are compared last.
 """
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -16,17 +15,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.shared import lower_az, null_safe, stored, text_of
+from tabulon.llm.shared import null_safe, stored, text_of
 
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+# In UTF-8 every byte of a character beyond ASCII lies above 0x7f, so bytes can stand for characters:
+# A-Z become a-z, and whatever is neither digit, letter nor beyond ASCII becomes a blank.
+_WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 32 for b in range(256))
 SHINGLE = 3
 # Windows held by a task at a time; a larger benchmark is taken in parts of about this many.
 PART_WINDOWS = 60_000
 _CODE_BITS = 21
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(lower_az(text))
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8."""
+    return text.translate(_WORD_BYTES).split()
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -39,10 +41,10 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, size: int) -
                 if words:
                     last = max(len(words) - size, 0)
                     for at in range(0, last + 1, 10_000):
-                        some = [" ".join(words[i : i + size]) for i in range(at, min(at + 10_000, last + 1))]
+                        some = [b" ".join(words[i : i + size]).decode() for i in range(at, min(at + 10_000, last + 1))]
                         yield pd.DataFrame({"item": [item] * len(some), "window": some})
 
-    rows = items.select(F.col(id_col).cast("string").alias("item"), text_of(text_col).alias("text"))
+    rows = items.select(F.col(id_col).cast("string").alias("item"), text_of(text_col).cast("binary").alias("text"))
     return rows.mapInPandas(cut, "item string, window string").distinct()
 
 
@@ -50,7 +52,7 @@ class Windows:
     """The windows of one part: their words as numbers, and their shingles as codes."""
 
     def __init__(self, windows: list[str]):
-        words = {w: w.split(" ") for w in windows}
+        words = {w: w.encode().split(b" ") for w in windows}
         self.number = {w: i for i, w in enumerate(sorted({x for ws in words.values() for x in ws}), 1)}
         if len(self.number) >> _CODE_BITS:
             raise ValueError("too many words in one part")
@@ -74,7 +76,7 @@ def shingle_codes(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, code
 
 
-def _numbers(text: str, number: dict[str, int]) -> np.ndarray:
+def _numbers(text: bytes, number: dict[bytes, int]) -> np.ndarray:
     words = words_of(text)
     return np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
 
@@ -102,7 +104,7 @@ def shingle_counts(docs: DataFrame, part) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.record_batch({"code": index.codes[seen], "n": total[seen]})
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("binary")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Prefixes:
@@ -154,7 +156,7 @@ def _search(docs: DataFrame, prefixes) -> DataFrame:
                 rows.append((len(ids), starts, ends, sorted({w for _, _, w in found})))
             yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "windows"])
 
-    return docs.withColumn("s", search("text")).select("id", "mark", "s.*")
+    return docs.withColumn("s", search(F.col("text").cast("binary"))).select("id", "mark", "s.*")
 
 
 def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
