@@ -117,9 +117,10 @@ def cut(c: Column | str, edges: Sequence[float], labels: Sequence | None = None,
 
 
 def digitize(c: Column | str, edges: Sequence[float], clip: bool = True) -> Column:
-    """Index of the interval [a, b), counted from 1; clipped to 1..n of n intervals if asked."""
+    """Index of the interval [a, b), counted from 1; clipped to 1..n of n intervals if asked. NULL stays NULL."""
     i = reduce(add, [(_c(c) >= F.lit(e)).cast("int") for e in edges])
-    return F.greatest(F.lit(1), F.least(i, F.lit(len(edges) - 1))) if clip else i
+    # least and greatest pass over NULL, so it is kept out of them.
+    return F.when(_c(c).isNotNull(), F.greatest(F.lit(1), F.least(i, F.lit(len(edges) - 1)))) if clip else i
 
 
 def qcut(df: DataFrame, c: str, q: int, name: str = "bin") -> tuple[DataFrame, list[float]]:
@@ -210,12 +211,10 @@ def to_map(df: DataFrame, k: str, v: str, limit: int = DRIVER_ROWS) -> Column |
     return df.agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias("m")).scalar()
 
 
-def map_lookup(df: DataFrame, dim: DataFrame, key: str, k: str, v: str, limit: int = DRIVER_ROWS) -> DataFrame:
-    """Add ``v`` by key: through a map while the dictionary is small, else by a left join."""
-    found = to_map(dim, k, v, limit)
-    if found is not None:
-        return df.withColumn(v, F.try_element_at(found, F.col(key)))
-    return df.join(dim.select(F.col(k).alias(key), v), key, "left")
+def map_lookup(df: DataFrame, dim: DataFrame, key: str, k: str, v: str) -> DataFrame:
+    """Add ``v`` by key, NULL for an unknown key. Of entries that repeat a key the smallest value counts."""
+    entries = dim.groupBy(F.col(k).alias(key)).agg(F.min(v).alias(v))
+    return df.join(entries, key, "left")
 
 
 def expand_struct(df: DataFrame, c: str) -> DataFrame:

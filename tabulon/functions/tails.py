@@ -42,18 +42,31 @@ def betainc(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+# Beyond so many degrees of freedom log-gamma differences lose digits, and the limits are exact to more of them.
+MANY = 1e6
+
+
 def t_sf(t: float, dof: float) -> float:
     """P(T > t)."""
+    if dof > MANY:
+        return normal_sf(t)
     half = 0.5 * betainc(dof / 2, 0.5, dof / (dof + t * t))
     return half if t >= 0 else 1.0 - half
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
+    if f > 0 and d2 > MANY:
+        return chi2_sf(f * d1, d1)
+    if f > 0 and d1 > MANY:
+        return 1.0 - chi2_sf(d2 / f, d2)
     return 1.0 if f <= 0 else betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
 def chi2_sf(x: float, dof: float) -> float:
     """Upper regularised incomplete gamma: a series below the mean, a continued fraction above."""
+    if dof > MANY and x > 0:
+        # The cube root of x / dof is as good as normal.
+        return normal_sf((math.cbrt(x / dof) - 1 + 2 / (9 * dof)) / math.sqrt(2 / (9 * dof)))
     a, x = dof / 2, x / 2
     if x <= 0:
         return 1.0

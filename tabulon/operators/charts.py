@@ -13,8 +13,9 @@ from tabulon.plans.sizes import join_groups, with_scalars
 def _binned(df: DataFrame, c: str, bins: int) -> DataFrame:
     ranged = with_scalars(df.filter(F.col(c).isNotNull()), df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.floor(F.try_divide(F.col(c) - F.col("_lo"), width))
-    return ranged.withColumn("bin", F.coalesce(F.greatest(F.lit(0), F.least(at, F.lit(bins - 1))), F.lit(0)).cast("long")).withColumn("_w", width)
+    at = F.greatest(F.lit(0), F.least(F.floor(F.try_divide(F.col(c) - F.col("_lo"), width)), F.lit(bins - 1)))
+    # A column of one value has no width; all of it is in the first bin.
+    return ranged.withColumn("bin", F.when(width > 0, at).otherwise(0).cast("long")).withColumn("_w", width)
 
 
 def histogram(df: DataFrame, c: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -57,25 +58,29 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     )
 
 
-def kde(df: DataFrame, c: str, points: int, bins: int = 256, by: Sequence[str] = (), bandwidth: float | None = None) -> DataFrame:
-    """Gaussian kernel density on an even grid.
+def kde(
+    df: DataFrame, c: str, points: int, by: Sequence[str] = (), bandwidth: float | None = None, per_width: int | None = 8
+) -> DataFrame:
+    """Gaussian kernel density on an even grid over the whole range.
 
-    Rows are counted into narrow bins first; only bin counts meet the grid, which is a fixed list.
-    The bandwidth defaults to Scott's rule, s * n^(-1/5), per group.
+    Rows are counted into bins of ``bandwidth / per_width`` first, so bins stay narrow beside the
+    kernel however far an outlier lies; None counts equal values only and is exact. Counts meet the
+    grid, a fixed list, inside their tasks. The bandwidth defaults to Scott's rule, s * n^(-1/5),
+    per group. A group without spread has no density (NULL).
     """
-    b = _binned(df, c, bins)
-    mid = F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w")
-    counts = b.groupBy(*by, "bin").agg(
-        F.min(mid).alias("_mid"), F.count("*").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
-    )
-    size = df.groupBy(*by).agg(F.count(c).alias("_all"), F.stddev_samp(c).alias("_s"))
-    counts = join_groups(counts, size, by)
+    present = df.filter(F.col(c).isNotNull()).select(*by, F.col(c).cast("double").alias("_v"))
+    ranged = with_scalars(present, present.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    size = present.groupBy(*by).agg(F.count("_v").alias("_all"), F.stddev_samp("_v").alias("_s"))
     h = F.lit(float(bandwidth)) if bandwidth else F.col("_s") * F.pow(F.col("_all"), F.lit(-0.2))
-    grid = F.explode(F.array(*[F.lit(i) for i in range(points)])).alias("point")
-    spread = counts.withColumn("_h", h).select("*", grid)
+    rows = join_groups(ranged, size, by).withColumn("_h", h)
+    step = F.col("_h") / F.lit(float(per_width or 1))
+    binned = F.col("_lo") + (F.floor((F.col("_v") - F.col("_lo")) / step) + 0.5) * step
+    mid = F.when(step > 0, binned).otherwise(F.col("_v")) if per_width else F.col("_v")
+    counts = rows.groupBy(*by, mid.alias("_mid"), "_lo", "_hi", "_all", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    spread = counts.select("*", F.explode(F.array(*[F.lit(i) for i in range(points)])).alias("point"))
     at = F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    z = (at - F.col("_mid")) / F.col("_h")
-    weight = F.col("_n") * F.exp(-0.5 * z * z) / (F.col("_all") * F.col("_h") * F.sqrt(2 * F.pi()))
+    z = F.try_divide(at - F.col("_mid"), F.col("_h"))
+    weight = F.try_divide(F.col("_n") * F.exp(-0.5 * z * z), F.col("_all") * F.col("_h") * F.sqrt(2 * F.pi()))
     return spread.groupBy(*by, F.col("point").cast("long").alias("point")).agg(F.min(at).alias("x"), F.sum(weight).alias("density"))
 
 

@@ -113,8 +113,9 @@ def tukey(df: DataFrame, c: str, by: str) -> DataFrame:
 
 
 def kl(df: DataFrame, p: str, q: str) -> DataFrame:
-    """Sum of p * ln(p / q) over paired rows; rows with p = 0 add nothing."""
-    term = F.when(F.col(p) > 0, F.col(p) * F.log(F.try_divide(F.col(p), F.col(q)))).otherwise(0.0)
+    """Sum of p * ln(p / q) over paired rows; rows with p = 0 add nothing, and q = 0 beside p > 0 makes it infinite."""
+    ratio = F.when(F.col(q) == 0, F.lit(float("inf"))).otherwise(F.log(F.try_divide(F.col(p), F.col(q))))
+    term = F.when(F.col(p) > 0, F.col(p) * ratio).otherwise(0.0)
     return df.agg(F.sum(term).alias("kl"))
 
 

@@ -59,14 +59,14 @@ def _(spark, sf):
 
 @query(
     "v06_kernel_density",
-    BINNED.format(n=256) + f""", c as (select c_mktsegment, bin, min(lo + (bin + 0.5) * w) as mid, count(*) as n, min(lo) as lo, max(hi) as hi from b group by 1, 2),
+    f"""with r as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer),
     s as (select c_mktsegment, count(*) as total, stddev_samp(c_acctbal) * power(count(*), -0.2) as h from customer group by 1),
-    g as (select c.*, total, h, unnest(range(30)) as point from c join s using (c_mktsegment))
+    g as (select c_mktsegment, c_acctbal, total, h, lo, hi, unnest(range(30)) as point from customer join s using (c_mktsegment), r)
     select c_mktsegment, point, {R('min(lo + point * (hi - lo) / 29)', 4)} as x,
-    {R('sum(n * exp(-0.5 * power((lo + point * (hi - lo) / 29 - mid) / h, 2)) / (total * h * sqrt(2 * pi())))', 9)} as density from g group by 1, 2""",
+    {R('sum(exp(-0.5 * power((lo + point * (hi - lo) / 29 - c_acctbal) / h, 2))) / (any_value(total) * any_value(h) * sqrt(2 * pi()))', 9)} as density from g group by 1, 2""",
 )
 def _(spark, sf):
-    df = ch.kde(table(spark, sf, "customer"), "c_acctbal", 30, 256, ["c_mktsegment"])
+    df = ch.kde(table(spark, sf, "customer"), "c_acctbal", 30, ["c_mktsegment"], per_width=None)
     return df.select("c_mktsegment", "point", rnd("x", 4).alias("x"), rnd("density", 9).alias("density"))
 
 
