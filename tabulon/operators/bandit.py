@@ -12,6 +12,10 @@ from tabulon.plans.ordered import running
 from tabulon.plans.sizes import join_groups, small_rows
 
 
+# Posterior draws made at a time.
+DRAW_BLOCK = 10_000
+
+
 def arm_stats(df: DataFrame, arm: str, click: str) -> DataFrame:
     """Impressions, clicks, click rate and share of all impressions per arm."""
     g = df.groupBy(arm).agg(F.count("*").alias("shown"), F.sum(click).cast("long").alias("clicks"))
@@ -32,7 +36,8 @@ def ucb1(stats: DataFrame, arm: str, t: Column | None = None) -> DataFrame:
     t = t if t is not None else stats.select(F.sum("shown")).scalar()
     bound = F.col("clicks") / F.col("shown") + F.sqrt(2 * F.log(t.cast("double")) / F.col("shown"))
     scored = stats.withColumn("score", F.when(F.col("shown") > 0, bound).otherwise(F.lit(float("inf"))))
-    best = scored.select(F.max_by(arm, F.struct("score", -F.col(arm)))).scalar()
+    # Highest score, then the first arm by name or number.
+    best = scored.select(F.min(F.struct((-F.col("score")).alias("s"), F.col(arm).alias("arm"))).getField("arm")).scalar()
     return scored.withColumn("chosen", F.col(arm) == best)
 
 
@@ -80,7 +85,8 @@ def greedy_arm(df: DataFrame, arm: str, click: str, order: Sequence[str], warmup
     """The arm of highest click rate over the first ``warmup`` impressions."""
     first = df.orderBy(*order).limit(warmup)
     rates = first.groupBy(arm).agg(F.avg(F.col(click).cast("double")).alias("ctr"))
-    return rates.agg(F.max_by(arm, F.struct("ctr", -F.col(arm))).alias(arm), F.max("ctr").alias("ctr"))
+    top = rates.agg(F.min(F.struct((-F.col("ctr")).alias("s"), F.col(arm).alias("arm"))).alias("top"))
+    return top.select(F.col("top.arm").alias(arm), (-F.col("top.s")).alias("ctr"))
 
 
 def epsilon_choice(df: DataFrame, winner: Column, arms: Sequence, e: float, seed: int, key: Sequence[str]) -> Column:
@@ -108,12 +114,15 @@ def thompson_draws(posterior: DataFrame, arm: str, draws: int, seed: int) -> Dat
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             wins = np.zeros(len(names))
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                wins[rng.beta(a, b).argmax()] += 1
+            for block in batch["id"]:
+                # One generator per block of draws, seeded by its number, wherever it runs.
+                n = min(DRAW_BLOCK, draws - int(block) * DRAW_BLOCK)
+                best = np.random.default_rng([seed, int(block)]).beta(a, b, (n, len(names))).argmax(axis=1)
+                wins += np.bincount(best, minlength=len(names))
             yield pd.DataFrame({arm: names, "wins": wins})
 
-    drawn = posterior.sparkSession.range(draws).mapInPandas(sample, f"{arm} {kind}, wins double")
+    blocks = posterior.sparkSession.range(-(-draws // DRAW_BLOCK))
+    drawn = blocks.mapInPandas(sample, f"{arm} {kind}, wins double")
     return drawn.groupBy(arm).agg((F.sum("wins") / F.lit(float(draws))).alias("win_share"))
 
 

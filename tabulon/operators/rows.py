@@ -21,14 +21,27 @@ def topn(df: DataFrame, c: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.col(c).desc(), *tie).limit(n)
 
 
-def uniform(keys: Sequence[str], seed: int) -> Column:
+def hashed(keys: Sequence[str | Column], seed: int) -> Column:
+    """40-bit number from the md5 of the keys and the seed, which any engine can make."""
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 10), 16, 10).cast("long")
+
+
+def uniform(keys: Sequence[str | Column], seed: int) -> Column:
     """Number in [0, 1) that depends on the row's key and the seed alone, not on the partitioning."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return hashed(keys, seed) / F.lit(float(1 << 40))
+
+
+# A sample up to this size is merged in one place; a larger one is numbered by a distributed sort.
+SMALL_SAMPLE = 100_000
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Exactly n rows, reproducible: the n smallest hashes of the key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    ordered = [hashed(key, seed), *key]
+    if n <= SMALL_SAMPLE:
+        return df.orderBy(*ordered).limit(n)
+    return with_position(df, [], ordered, "_pos").filter(F.col("_pos") <= n).drop("_pos")
 
 
 def split(df: DataFrame, fracs: Mapping[str, float], seed: int, key: Sequence[str], name: str = "part") -> DataFrame:
@@ -53,7 +66,7 @@ def sample_with_replacement(df: DataFrame, n: int, seed: int, order: Order, grou
     placed = with_position(df, [], order, "_pos", group_rows)
     rows = placed.count()
     draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(rows, 1))) + 1).alias("_pos")
+        F.col("id").alias("draw"), (F.pmod(hashed(["id"], seed), F.lit(max(rows, 1))) + 1).alias("_pos")
     )
     return draws.join(placed, "_pos").drop("_pos")
 

@@ -138,7 +138,13 @@ def running(
     return both.withColumns(merged).drop("_block", "_pos", *[f"_c_{n}" for n in measures])
 
 
+# Up to this k Spark cuts each group down in the map tasks already.
+MAP_SIDE_RANK = 1000
+
+
 def first_per_group(df: DataFrame, by: Sequence[str], order: Order, k: int = 1) -> DataFrame:
     """First k rows of each group. The rank filter is applied on the map side before the shuffle."""
+    if k > MAP_SIDE_RANK:
+        return with_position(df, by, order, "_rn").filter(F.col("_rn") <= k).drop("_rn")
     ranked = df.withColumn("_rn", F.row_number().over(window(by, order)))
     return ranked.filter(F.col("_rn") <= k).drop("_rn")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tabulon.operators import bandit as bd
-from tabulon.queries.registry import R, query, rnd, table
+from tabulon.queries.registry import R, U, query, rnd, table
 
 LOG = "with l as (select event_id, user_id % 2 as arm, case when event_type = 'click' then 1 else 0 end as click from events) "
 
@@ -68,7 +68,11 @@ def _(spark, sf):
     return df.select("arm", rnd("ctr").alias("ctr"))
 
 
-@query("b04_epsilon_choices")
+GREEDY = "(select arm from (select * from l order by event_id limit 100) group by 1 order by avg(click) desc, 1 limit 1)"
+EPSILON = f"case when {U('l.event_id', seed=5)} < 0.95 then {GREEDY} else 1 - {GREEDY} end"
+
+
+@query("b04_epsilon_choices", LOG + f"select event_id, {EPSILON} as choice from l")
 def _(spark, sf):
     df = log(spark, sf)
     winner = bd.greedy_arm(df, "arm", "click", ["event_id"], 100).select("arm").scalar()
@@ -88,30 +92,42 @@ def _(spark, sf):
     return bd.thompson_draws(bd.thompson(bd.arm_stats(log(spark, sf), "arm", "click"), "arm"), "arm", 2000, 42)
 
 
-@query("b06_replay_policies")
-def _(spark, sf):
-    df = log(spark, sf)
-    steps = bd.ucb1_steps(df, "arm", "click", ["event_id"], [0, 1])
-    winner = bd.greedy_arm(df, "arm", "click", ["event_id"], 100).select("arm").scalar()
-    best = F.floor(bd.uniform(["event_id"], 9) * 2).cast("long")
-    return bd.replay(
-        steps,
-        {"random": best, "greedy": winner, "epsilon_greedy": bd.epsilon_choice(df, winner, [0, 1], 0.05, 5, ["event_id"]), "ucb1": F.col("choice").cast("long")},
-        "arm", "click",
-    )
-
-
-@query(
-    "b06_replay_fixed_policies",
+FIXED = (
     STEPS.replace("select event_id, step, " + R("least(s0, 1e6)"), "select * from (with o as (select event_id, step, " + R("least(s0, 1e6)"), 1)
     + f""" ), w as (select arm, avg(click) as r from l group by 1), win as (select arm from (select * from l order by event_id limit 100) group by 1 order by avg(click) desc, 1 limit 1),
     c as (select 'ucb1' as policy, l.*, o.choice from l join o using (event_id) union all select 'greedy', l.*, (select arm from win) from l)
     select policy, count(*) as matched, cast(sum(click) as bigint) as reward, {R('avg((select max(r) from w) - w.r)')} as regret, {R('sum(click) / count(*)')} as reward_rate
-    from c join w using (arm) where choice = arm group by 1)""",
+    from c join w using (arm) where choice = arm group by 1)"""
+)
+# The random policies draw by hash of the row, which SQL can say, too.
+FOUR = (
+    STEPS.replace("select event_id, step, " + R("least(s0, 1e6)"), "select * from (with o as (select event_id, step, " + R("least(s0, 1e6)"), 1)
+    + f""" ), w as (select arm, avg(click) as r from l group by 1), win as (select arm from (select * from l order by event_id limit 100) group by 1 order by avg(click) desc, 1 limit 1),
+    c as (select 'ucb1' as policy, l.*, o.choice from l join o using (event_id) union all select 'greedy', l.*, (select arm from win) from l
+    union all select 'random', l.*, cast(floor({U('l.event_id', seed=9)} * 2) as bigint) from l union all select 'epsilon_greedy', l.*, {EPSILON} from l)
+    select policy, count(*) as matched, cast(sum(click) as bigint) as reward, {R('avg((select max(r) from w) - w.r)')} as regret, {R('sum(click) / count(*)')} as reward_rate
+    from c join w using (arm) where choice = arm group by 1)"""
 )
+
+
+@query("b06_replay_fixed_policies", FIXED)
 def _(spark, sf):
     df = log(spark, sf)
     steps = bd.ucb1_steps(df, "arm", "click", ["event_id"], [0, 1])
     winner = bd.greedy_arm(df, "arm", "click", ["event_id"], 100).select("arm").scalar()
     out = bd.replay(steps, {"greedy": winner, "ucb1": F.col("choice").cast("long")}, "arm", "click")
     return out.select("policy", "matched", "reward", rnd("regret").alias("regret"), rnd("reward_rate").alias("reward_rate"))
+
+
+@query("b06_replay_policies", FOUR)
+def _(spark, sf):
+    df = log(spark, sf)
+    steps = bd.ucb1_steps(df, "arm", "click", ["event_id"], [0, 1])
+    winner = bd.greedy_arm(df, "arm", "click", ["event_id"], 100).select("arm").scalar()
+    best = F.floor(bd.uniform(["event_id"], 9) * 2).cast("long")
+    out = bd.replay(
+        steps,
+        {"random": best, "greedy": winner, "epsilon_greedy": bd.epsilon_choice(df, winner, [0, 1], 0.05, 5, ["event_id"]), "ucb1": F.col("choice").cast("long")},
+        "arm", "click",
+    )
+    return out.select("policy", "matched", "reward", rnd("regret").alias("regret"), rnd("reward_rate").alias("reward_rate"))

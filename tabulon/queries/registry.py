@@ -47,5 +47,16 @@ def R(sql: str, d: int = 6) -> str:
     return f"(round(cast({sql} as double), {d}) + 0e0)"
 
 
+def H(*cols: str, seed: int) -> str:
+    """SQL text of the 40-bit number that ``rows.hashed`` makes of the same keys."""
+    keys = ", ".join(f"cast({c} as varchar)" for c in cols)
+    return f"cast('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 10) as bigint)"
+
+
+def U(*cols: str, seed: int) -> str:
+    """SQL text of ``rows.uniform``."""
+    return f"({H(*cols, seed=seed)} / {float(1 << 40)!r}::double)"
+
+
 def day(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")

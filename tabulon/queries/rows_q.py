@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tabulon.operators import rows as rw
-from tabulon.queries.registry import query, table
+from tabulon.queries.registry import H, U, query, table
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -31,14 +31,23 @@ def _(spark, sf):
     return rw.topn(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 25, ["c_custkey"])
 
 
-@query("l04_sample_n")
+@query("l04_sample_n", f"select o_orderkey, o_totalprice from orders order by {H('o_orderkey', seed=7)}, o_orderkey limit 200")
 def _(spark, sf):
     return rw.sample_n(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 200, 7, ["o_orderkey"])
 
 
-@query("l05_split")
+PARTS = {"train": 0.7, "valid": 0.1, "test": 0.2}
+WHOLE = sum(PARTS.values())
+
+
+@query(
+    "l05_split",
+    f"""with u as (select {U('o_orderkey', seed=42)} as u from orders)
+    select case when u < {PARTS['train'] / WHOLE!r} then 'train' when u < {PARTS['train'] / WHOLE + PARTS['valid'] / WHOLE!r} then 'valid' else 'test' end as part,
+    count(*) as n from u group by 1""",
+)
 def _(spark, sf):
-    df = rw.split(table(spark, sf, "orders"), {"train": 0.7, "valid": 0.1, "test": 0.2}, 42, ["o_orderkey"])
+    df = rw.split(table(spark, sf, "orders"), PARTS, 42, ["o_orderkey"])
     return df.groupBy("part").agg(F.count("*").alias("n"))
 
 
@@ -52,7 +61,12 @@ def _(spark, sf):
     return df.groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("l07_sample_with_replacement")
+@query(
+    "l07_sample_with_replacement",
+    f"""with o as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) as pos from orders),
+    d as (select id as draw, {H('id', seed=11)} % (select count(*) from orders) + 1 as pos from range(500) t(id))
+    select draw, o_orderkey, o_totalprice from d join o using (pos)""",
+)
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return rw.sample_with_replacement(df, 500, 11, ["o_orderkey"])
