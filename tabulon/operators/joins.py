@@ -31,8 +31,8 @@ def anti(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys, list(on), "left_anti")
 
 
-def zip_rows(a: DataFrame, b: DataFrame, order_a: Order, order_b: Order, how: str = "inner") -> DataFrame:
-    """Put two tables side by side by row position under an explicit order."""
+def zip_rows(a: DataFrame, b: DataFrame, order_a: Order, order_b: Order, how: str = "full") -> DataFrame:
+    """Put two tables side by side by row position under an explicit order; the shorter one is filled with NULL."""
     left = with_position(a, [], order_a, "row_id")
     return left.join(with_position(b, [], order_b, "row_id"), "row_id", how)
 

@@ -109,13 +109,18 @@ def daily_channels(spark, sf):
     )
 
 
+# Carry-over per day of each channel.
+DECAY = {"view": 0.3, "click": 0.8, "signup": 0.5, "error": 0.1, "purchase": 0.6}
+
+
 @query(
     "e11_adstock_features",
-    """with d as (select strftime(ts, '%Y-%m-%d') as day, coalesce(sum(value) filter (event_type = 'view'), 0) as v, coalesce(sum(value) filter (event_type = 'click'), 0) as c from events group by 1),
-    r as (select *, row_number() over (order by day) as t from d)
-    select a.day, (round(sum(b.v * power(0.3e0, a.t - b.t)), 4) + 0e0) as view_adstock, (round(sum(b.c * power(0.8e0, a.t - b.t)), 4) + 0e0) as click_adstock
-    from r a join r b on b.t <= a.t group by 1""",
+    "with d as (select strftime(ts, '%Y-%m-%d') as day, "
+    + ", ".join(f"coalesce(sum(value) filter (event_type = '{c}'), 0) as {c}" for c in DECAY)
+    + " from events group by 1), r as (select *, row_number() over (order by day) as t from d) select a.day, "
+    + ", ".join(f"(round(sum(b.{c} * power({a}::double, a.t - b.t)), 4) + 0e0) as {c}_adstock" for c, a in DECAY.items())
+    + " from r a join r b on b.t <= a.t group by 1",
 )
 def _(spark, sf):
-    df = ft.adstock_features(daily_channels(spark, sf), {"view": 0.3, "click": 0.8}, ["day"])
-    return df.select("day", rnd("view_adstock", 4).alias("view_adstock"), rnd("click_adstock", 4).alias("click_adstock"))
+    df = ft.adstock_features(daily_channels(spark, sf), DECAY, ["day"])
+    return df.select("day", *[rnd(f"{c}_adstock", 4).alias(f"{c}_adstock") for c in DECAY])

@@ -81,7 +81,7 @@ def _(spark, sf):
 
 ZIP = """with a as (select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) as row_id from customer),
 b as (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as row_id from orders)
-select row_id, c_custkey, o_orderkey from a join b using (row_id)"""
+select row_id, coalesce(c_custkey, -1) as c_custkey, coalesce(o_orderkey, -1) as o_orderkey from a full join b using (row_id)"""
 
 
 @query("j08_zip_rows", ZIP)
@@ -89,7 +89,8 @@ def _(spark, sf):
     a = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     b = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     df = jn.zip_rows(a, b, [F.col("c_acctbal").desc(), "c_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"])
-    return df.select("row_id", "c_custkey", "o_orderkey")
+    # -1 stands for no row on that side.
+    return df.select("row_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("c_custkey", "o_orderkey")])
 
 
 @query(

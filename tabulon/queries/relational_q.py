@@ -167,12 +167,12 @@ def _(spark, sf):
 
 @query(
     "p18_row_sum",
-    f"""select user_id, {R("coalesce(sum(case when event_type = 'view' then value end), 0) + coalesce(sum(case when event_type = 'click' then value end), 0)", 4)} as total
-    from events group by user_id""",
+    f"""select user_id, {R("coalesce(sum(value), 0)", 4)} as total from events group by user_id""",
 )
 def _(spark, sf):
-    wide = table(spark, sf, "events").groupBy("user_id").pivot("event_type", ["view", "click"]).sum("value")
-    return wide.select("user_id", rnd(rel.row_sum(["view", "click"]), 4).alias("total"))
+    kinds = ["view", "click", "signup", "error", "purchase"]
+    wide = table(spark, sf, "events").groupBy("user_id").pivot("event_type", kinds).sum("value")
+    return wide.select("user_id", rnd(rel.row_sum(kinds), 4).alias("total"))
 
 
 @query(

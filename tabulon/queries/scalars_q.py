@@ -9,10 +9,10 @@ KEY_SQL = ", ".join(KEY)
 
 @query(
     "f01_normalize_text",
-    "select doc_id, lower(trim(lang)) as lang, lower(trim(source)) as source, md5(lower(trim(text))) as digest from documents where lang = 'en'",
+    "select doc_id, lower(trim(lang)) as lang, lower(trim(source)) as source, md5(lower(trim(text))) as digest from documents",
 )
 def _(spark, sf):
-    df = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "lang", "source", "text")
+    df = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     out = sc.normalize_text(df, ["lang", "source", "text"])
     return out.select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -243,7 +243,7 @@ def _(spark, sf):
 @query("f27_map_lookup_large", MAPPED)
 def _(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return sc.map_lookup(df, table(spark, sf, "nation"), "c_nationkey", "n_nationkey", "n_name", limit=3).drop("c_nationkey")
+    return sc.map_lookup(df, table(spark, sf, "nation"), "c_nationkey", "n_nationkey", "n_name").drop("c_nationkey")
 
 
 @query("f28_expand_struct", f"select {KEY_SQL}, l_discount as discount, l_tax as tax from lineitem")
