@@ -68,14 +68,17 @@ def fit_gbt(df: DataFrame, y: str, xs: Sequence[str], trees: int = 20, depth: in
     return GBTRegressor(labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(data), data
 
 
-def grid_search(est, data: DataFrame, grid: Mapping[str, Sequence], y: str, folds: int = 3, seed: int = 1, parallelism: int = 4) -> DataFrame:
-    """Cross-validated error of every parameter combination, best first."""
+def grid_search(
+    est, data: DataFrame, grid: Mapping[str, Sequence], y: str, key: Sequence[str], folds: int = 3, seed: int = 1, parallelism: int = 4
+) -> DataFrame:
+    """Cross-validated error of every parameter combination, best first. Folds go by hash of the row's key."""
+    data = data.withColumn("_fold", F.least(F.floor(uniform(key, seed) * folds), F.lit(folds - 1)).cast("int"))
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), list(values))
     maps = builder.build()
     cv = CrossValidator(
-        estimator=est, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=parallelism,
+        estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"),
     ).fit(data)
     rows = [(*[float(m[est.getParam(n)]) for n in grid], float(s)) for m, s in zip(maps, cv.avgMetrics)]
@@ -86,10 +89,10 @@ def grid_search(est, data: DataFrame, grid: Mapping[str, Sequence], y: str, fold
 def search_adstock(
     df: DataFrame, y: str, order: Order, grid: Mapping[str, Sequence[float]], controls: Sequence[str], ts: str, t1, t2
 ) -> DataFrame:
-    """Decay rates by test error: one row per combination, best first.
+    """Decay rates by validation error: one row per combination, best first, with its test error.
 
-    Every (channel, rate) series is built once. Train and test cross products of all of them are
-    taken in one pass each; a combination's fit and its test error are blocks of those products.
+    Every (channel, rate) series is built once. The cross products of all of them are taken in one
+    pass for the three parts; a combination's fit and its errors are blocks of those products.
     """
     wide, names = df, {}
     for c, rates in grid.items():
@@ -99,22 +102,28 @@ def search_adstock(
     wide = adstock(wide, {n: a for (c, a), n in names.items()}, order)
     cols = [*[f"{n}_adstock" for n in names.values()], *controls]
     parts = split_by_time(wide, ts, t1, t2)
-    both = moments(complete(parts.filter("part in ('train', 'test')"), y, as_terms(cols), ["part"]), len(cols), "part")
-    train, test = both["train"], both["test"]
+    each = moments(complete(parts, y, as_terms(cols), ["part"]), len(cols), "part")
     rows = []
     for combo in itertools.product(*grid.values()):
         use = [f"{names[c, a]}_adstock" for c, a in zip(grid, combo)] + list(controls)
         at = [cols.index(u) for u in use]
         pick = [*at, len(cols)]
         part = lambda m: type(m)(m.n, m.mean[pick], m.cross[np.ix_(pick, pick)])  # noqa: B023, E731
-        fit = fit_moments(part(train), use)
+        fit = fit_moments(part(each["train"]), use)
         b = np.append(-fit.coef[1:], 1.0)
-        t = part(test)
-        bias = float(b @ t.mean - fit.coef[0])
-        rmse = float(np.sqrt(b @ t.cross @ b / t.n + bias * bias))
-        rows.append((*[float(a) for a in combo], float(np.sqrt(fit.sse / fit.n)), rmse))
-    schema = ", ".join(f"{c}_rate double" for c in grid) + ", train_rmse double, test_rmse double"
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[-1]), schema)
+        errors = []
+        for name in ("valid", "test"):
+            if name not in each:
+                errors.append(None)
+                continue
+            t = part(each[name])
+            bias = float(b @ t.mean - fit.coef[0])
+            errors.append(float(np.sqrt(b @ t.cross @ b / t.n + bias * bias)))
+        rows.append((*[float(a) for a in combo], float(np.sqrt(fit.sse / fit.n)), *errors))
+    schema = ", ".join(f"{c}_rate double" for c in grid) + ", train_rmse double, valid_rmse double, test_rmse double"
+    # The test rows only report; they have no say in the choice. Without validation rows the fit itself decides.
+    judge = -2 if "valid" in each else -3
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[judge]), schema)
 
 
 def kmeans(df: DataFrame, features: str, k: int, seed: int = 1):
@@ -208,32 +217,38 @@ def ridge_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str] | str, alp
     g = df.select(by, F.col(y).cast("double").alias("_y"), x.alias("_x"))
     g = g.filter(F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull()))
     at = [F.col("_x")[i] for i in range(k)]
+    # Covariances are updated about the running mean, so a large mean costs no digits.
     sums = g.groupBy(by).agg(
-        F.count("*").alias("n"), F.sum("_y").alias("sy"), F.array(*[F.sum(a) for a in at]).alias("sx"),
-        F.array(*[F.sum(a * F.col("_y")) for a in at]).alias("sxy"),
-        F.array(*[F.sum(at[i] * at[j]) for i, j in pairs]).alias("sxx"),
+        F.count("*").alias("n"), F.avg("_y").alias("my"), F.array(*[F.avg(a) for a in at]).alias("mx"),
+        F.array(*[F.covar_pop(a, F.col("_y")) for a in at]).alias("cxy"),
+        F.array(*[F.covar_pop(at[i], at[j]) for i, j in pairs]).alias("cxx"),
     )
     upper = tuple(np.array([p[a] for p in pairs]) for a in (0, 1))
 
     def solve_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, my = b["n"].to_numpy(float), b["sy"].to_numpy(float) / b["n"].to_numpy(float)
-            mx = np.array(b["sx"].tolist()).reshape(-1, k) / n[:, None]
-            xx = np.zeros((len(b), k, k))
-            vals = np.array(b["sxx"].tolist()).reshape(-1, len(pairs))
-            xx[:, upper[0], upper[1]] = vals
-            xx[:, upper[1], upper[0]] = vals
-            a = xx - n[:, None, None] * mx[:, :, None] * mx[:, None, :] + alpha * np.eye(k)
-            r = np.array(b["sxy"].tolist()).reshape(-1, k) - n[:, None] * mx * my[:, None]
-            w = np.linalg.solve(a, r[:, :, None])[:, :, 0]
+            n, my = b["n"].to_numpy(float), b["my"].to_numpy(float)
+            mx = np.array(b["mx"].tolist()).reshape(-1, k)
+            a = np.zeros((len(b), k, k))
+            vals = np.array(b["cxx"].tolist()).reshape(-1, len(pairs)) * n[:, None]
+            a[:, upper[0], upper[1]] = vals
+            a[:, upper[1], upper[0]] = vals
+            r = np.array(b["cxy"].tolist()).reshape(-1, k) * n[:, None]
+            if alpha:
+                w = np.linalg.solve(a + alpha * np.eye(k), r[:, :, None])[:, :, 0]
+            else:
+                # Columns that say nothing new in a group get no weight beyond the shortest solution.
+                scale = np.sqrt(np.where((d := np.einsum("gii->gi", a)) > 0, d, 1.0))
+                inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+                w = (inverse @ (r / scale)[:, :, None])[:, :, 0] / scale
             yield pd.DataFrame({by: b[by], "intercept": my - (mx * w).sum(axis=1), "weights": list(w)})
 
     return sums.mapInPandas(solve_batch, f"{by} {dict(df.dtypes)[by]}, intercept double, weights array<double>")
 
 
 def fit_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """One least-squares model per group, by the same sums as the ridge."""
-    return ridge_per_group(df, by, y, xs, alpha=1e-9)
+    """One least-squares model per group, by the same sums as the ridge, without a penalty."""
+    return ridge_per_group(df, by, y, xs, alpha=0.0)
 
 
 def model_bands(train: DataFrame, test: DataFrame, y: str, xs: Sequence[str], n: int, **gbt) -> DataFrame:

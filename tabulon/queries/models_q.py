@@ -67,7 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     data = md.assemble(_li(spark, sf), XS)
     est = LinearRegression(labelCol="l_extendedprice", maxIter=20)
-    return md.grid_search(est, data, {"regParam": [0.0, 1.0], "elasticNetParam": [0.0, 0.5]}, "l_extendedprice")
+    return md.grid_search(est, data, {"regParam": [0.0, 1.0], "elasticNetParam": [0.0, 0.5]}, "l_extendedprice", KEY)
 
 
 def _series(spark, sf):

@@ -2,12 +2,13 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tabulon.operators.features import index_items
 from tabulon.operators import ranking as rk, recommend as rc
 from tabulon.operators.joins import context_pairs
 from tabulon.operators.reshape import levels
 from tabulon.plans.shared import cut
 from tabulon.queries.features_q import part_terms
-from tabulon.queries.registry import R, query, rnd, table
+from tabulon.queries.registry import H, R, U, query, rnd, table
 
 RATINGS = """with r as (select o_custkey as "user", l_partkey as item, avg(l_quantity) as rating from orders join lineitem on o_orderkey = l_orderkey group by 1, 2),
 picked as (select "user" from r group by 1 order by count(*) desc, "user" limit 1),
@@ -89,13 +90,28 @@ def _(spark, sf):
     return out.select("user", "item", "rating", rnd("predicted").alias("predicted"))
 
 
-@query("c19_negative_samples")
+RATED = 'select distinct o_custkey as "user", l_partkey as item from orders join lineitem on o_orderkey = l_orderkey'
+
+
+@query(
+    "c19_negative_samples",
+    f"""with seen as ({RATED}), items as (select distinct item from seen), n as (select count(*) as n from items),
+    open as (select u."user", list(i.item order by i.item) as free from (select distinct "user" from seen) u, items i
+      where not exists (select 1 from seen s where s."user" = u."user" and s.item = i.item) group by 1)
+    select seen."user", seen.item, free[cast({H('seen."user"', 'seen.item', seed=7)} % len(free) as bigint) + 1] as negative from seen join open using ("user")""",
+)
 def _(spark, sf):
     r = shared_ratings(spark, sf)
     return rc.sample_negatives(r.select("user", "item"), r.select("item").distinct(), 7)
 
 
-@query("c20_weighted_negative_samples")
+@query(
+    "c20_weighted_negative_samples",
+    f"""with c as (select l_partkey as item, sqrt(count(*)) as w from lineitem group by 1),
+    line as (select item, w, sum(w) over (order by item) as upto from c),
+    d as (select id as draw, {U('id', seed=3)} * (select sum(w) from c) as at from range(5000) t(id))
+    select draw, item from d asof join (select item, upto - w as begins from line) as l on d.at >= l.begins""",
+)
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("item"))
     return rc.sample_weighted(li, "item", 5000, 3)
@@ -123,9 +139,12 @@ seen as (select distinct o_custkey as "user", l_partkey as item from orders join
 
 @query(
     "c21_bpr_loss",
-    VECS + f""", t as (select u.a * p.a + u.b * p.b + u.c * p.c as pos, u.a * n.a + u.b * n.b + u.c * n.c as neg,
+    VECS.replace("u as (", "u as materialized (").replace("i as (", "i as materialized (").replace("seen as (", "seen as materialized (")
+    + f""", n as (select count(*) as n from part),
+     triple as (select "user", item, (item * 31 + "user") % n as negative from seen, n),
+     t as (select u.a * p.a + u.b * p.b + u.c * p.c as pos, u.a * n.a + u.b * n.b + u.c * n.c as neg,
      u.a * u.a + u.b * u.b + u.c * u.c + p.a * p.a + p.b * p.b + p.c * p.c + n.a * n.a + n.b * n.b + n.c * n.c as sq
-     from seen join u using ("user") join i p on p.item = seen.item join i n on n.item = (seen.item * 31 + seen."user") % (select count(*) from part))
+     from triple join u on u."user" = triple."user" join i p on p.item = triple.item join i n on n.item = triple.negative)
     select {R('avg(ln(1 + exp(neg - pos)))')} as bpr, {R('avg(sq) * 1e-6', 9)} as penalty, {R('avg(ln(1 + exp(neg - pos))) + avg(sq) * 1e-6')} as loss from t""",
 )
 def _(spark, sf):
@@ -143,10 +162,13 @@ def _(spark, sf):
 
 @query("c22_matrix_factors")
 def _(spark, sf):
-    r = ratings(spark, sf).withColumn("user", F.col("user").cast("int")).withColumn("item", F.col("item").cast("int"))
-    model = rc.fit_als(r, "user", "item", "rating", rank=8, iterations=3)
-    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("vec"))
-    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("vec"))
+    r = shared_ratings(spark, sf)
+    # The trainer takes whole numbers of 32 bits, so ids are numbered first, whatever they are.
+    of_user, of_item = index_items(r, "user", "u"), index_items(r, "item", "i")
+    coded = r.join(of_user, "user").join(of_item, "item").select(F.col("u").cast("int"), F.col("i").cast("int"), "rating")
+    model = rc.fit_als(coded, "u", "i", "rating", rank=8, iterations=3)
+    users = model.userFactors.join(of_user, F.col("id") == F.col("u")).select("user", F.col("features").alias("vec"))
+    items = model.itemFactors.join(of_item, F.col("id") == F.col("i")).select("item", F.col("features").alias("vec"))
     return rk.topk_products(users, items, 10, "user", "item", "vec", r)
 
 
