@@ -60,26 +60,33 @@ def frequent_itemsets(df: DataFrame, by: str, item: str, support: float) -> Data
 def rules(itemsets: DataFrame, confidence: float = 0.0, max_size: int | None = None) -> DataFrame:
     """Rules with any number of items on either side: support, confidence, lift.
 
-    Each itemset is split into all its proper subsets, whose supports are looked up by join.
+    Right sides grow by one item at a time, in order of the items. What a rule loses on the left
+    can only lower its confidence, so a rule below the level has no longer right sides to try.
     """
     sets = itemsets.filter(F.size("items") >= 2)
     if max_size:
         sets = sets.filter(F.size("items") <= max_size)
-    mask = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("items")) - 2).cast("int")))
-    picked = lambda bit: F.filter(
-        F.col("items"), lambda x, i: F.getbit(F.col("_mask").cast("long"), i) == bit
-    )
-    split = sets.withColumn("_mask", mask).select(
-        picked(1).alias("antecedents"), picked(0).alias("consequents"), "freq", "support"
-    )
-    known = itemsets.select("items", "freq", "support")
-    left = known.select(F.col("items").alias("antecedents"), F.col("freq").alias("_fa"))
-    right = known.select(F.col("items").alias("consequents"), F.col("support").alias("_sc"))
-    out = split.join(left, "antecedents").join(right, "consequents")
-    conf = F.col("freq") / F.col("_fa")
-    return out.filter(conf >= confidence).select(
-        "antecedents", "consequents", "support", conf.alias("confidence"), (conf / F.col("_sc")).alias("lift")
-    )
+    largest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    known = itemsets.select(F.col("items").alias("antecedents"), F.col("freq").alias("_fa"))
+    whole = F.array_distinct("items")
+    tried = sets.select(whole.alias("antecedents"), F.slice(whole, 1, 0).alias("consequents"), "freq", "support")
+    found = None
+    for length in range(1, max(largest, 2)):
+        later = F.filter("antecedents", lambda x: (F.size("consequents") == 0) | (x > F.element_at("consequents", F.lit(-1))))
+        grown = tried.filter(F.size("antecedents") > 1).withColumn("_x", F.explode(later if length > 1 else F.col("antecedents")))
+        grown = grown.select(
+            F.array_remove("antecedents", F.col("_x")).alias("antecedents"), F.array_append("consequents", F.col("_x")).alias("consequents"),
+            "freq", "support",
+        )
+        tried = grown.join(known, "antecedents").withColumn("confidence", F.col("freq") / F.col("_fa"))
+        tried = tried.filter(F.col("confidence") >= confidence).drop("_fa")
+        if length + 1 < largest:
+            tried = cut(tried)
+        found = tried if found is None else found.unionByName(tried)
+        tried = tried.drop("confidence")
+    right = itemsets.select(F.col("items").alias("consequents"), F.col("support").alias("_sc"))
+    out = found.join(right, "consequents")
+    return out.select("antecedents", "consequents", "support", "confidence", (F.col("confidence") / F.col("_sc")).alias("lift"))
 
 
 def rule_grid(itemsets: DataFrame, supports: Sequence[float], confidences: Sequence[float], max_size: int | None = None) -> DataFrame:

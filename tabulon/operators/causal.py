@@ -12,7 +12,7 @@ from tabulon.functions.tails import normal_sf, p_t
 from tabulon.operators.reshape import levels
 from tabulon.operators.rows import uniform
 from tabulon.operators.windows import avg_rank, demean
-from tabulon.plans.gram import Fit, Terms, all_present, as_terms, complete, fit_moments, moments
+from tabulon.plans.gram import Fit, Moments, Terms, all_present, as_terms, complete, fit_moments, inverse, moments
 from tabulon.plans.ordered import Order
 from tabulon.plans.shared import cut
 from tabulon.plans.sizes import join_groups
@@ -50,34 +50,70 @@ def _panel(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None) -> t
         base = base.withColumns({d: (F.col(time) == F.lit(v)).cast("double") for d, v in zip(dummies, levels(base, time)[1:])})
         flat = demean(base, [entity], [*names, "_y", *dummies])
         return flat, {**terms, **{d: F.col(d) for d in dummies}}, times - 1
-    flat = base
-    for _ in range(200):
-        step = demean(demean(flat, [entity], [*names, "_y"]), [time], [*names, "_y"])
-        step = cut(step)
-        left = step.groupBy(entity).agg(*[F.abs(F.avg(c)).alias(c) for c in [*names, "_y"]])
-        worst = left.agg(F.greatest(*[F.max(c) for c in [*names, "_y"]])).first()[0]
-        flat = step
-        if worst < 1e-10:
+    return _two_way(base, entity, time, [*names, "_y"]), terms, times - 1
+
+
+# Rounds of alternating means before a panel counts as not solvable this way, and how small the means must get
+# beside the spread of their column.
+ROUNDS, NEAR_ZERO = 500, 1e-9
+
+
+def _two_way(base: DataFrame, entity: str, time: str, names: Sequence[str]) -> DataFrame:
+    """Take entity and time means off until both are zero.
+
+    Only the means of the (entity, time) cells are worked on; rows are touched once, at the end.
+    """
+    cells = base.groupBy(entity, time).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in names])
+    start = cells = cut(cells)
+    spread = base.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
+    scale = {c: float(spread[c] or 0.0) or 1.0 for c in names}
+
+    def less_means(table: DataFrame, by: str) -> DataFrame:
+        means = table.groupBy(by).agg(*[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"_m{i}") for i, c in enumerate(names)])
+        return join_groups(table, means, [by]).select(entity, time, "_n", *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(names)])
+
+    for _ in range(ROUNDS):
+        cells = cut(less_means(less_means(cells, entity), time))
+        left = cells.groupBy(entity).agg(*[F.abs(F.sum(F.col("_n") * F.col(c)) / F.sum("_n") / scale[c]).alias(c) for c in names])
+        worst = left.agg(F.greatest(*[F.max(c) for c in names], F.lit(0.0))).first()[0] or 0.0
+        if worst < NEAR_ZERO:
             break
-    return flat, terms, times - 1
+    else:
+        raise RuntimeError(f"two-way means have not settled after {ROUNDS} rounds: {worst:.3g} of a standard deviation is left")
+    ends = cells.select(entity, time, *[F.col(c).alias(f"_e{i}") for i, c in enumerate(names)])
+    shift = join_groups(start, ends, [entity, time]).select(entity, time, *[(F.col(c) - F.col(f"_e{i}")).alias(f"_s{i}") for i, c in enumerate(names)])
+    rows = join_groups(base, shift, [entity, time])
+    return rows.withColumns({c: F.col(c) - F.col(f"_s{i}") for i, c in enumerate(names)}).drop(*[f"_s{i}" for i in range(len(names))])
+
+
+def _without(m: Moments, k: int) -> Moments:
+    """Moments of the first k columns and the last, after the columns between them (time dummies) are taken out."""
+    keep, out = [*range(k), len(m.mean) - 1], list(range(k, len(m.mean) - 1))
+    cross = m.cross[np.ix_(keep, keep)]
+    if out:
+        across = m.cross[np.ix_(keep, out)]
+        cross = cross - across @ inverse(m.cross[np.ix_(out, out)]) @ across.T
+    return Moments(m.n, np.zeros(len(keep)), cross, m.entities)
 
 
 def fixed_effects(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None = None) -> Fit:
-    """Within estimator with entity effects, and time effects if a time column is named."""
+    """Within estimator with entity effects, and time effects if a time column is named.
+
+    The fit is of the named terms alone, with both effects taken out, however many time levels there are.
+    """
     flat, terms, times = _panel(df, y, xs, entity, time)
-    hidden = 0 if len(terms) > len(as_terms(xs)) else times
-    names = [*as_terms(xs), *list(terms)[len(as_terms(xs)):]]
+    wanted = list(as_terms(xs))
     m = moments(complete(flat, "_y", terms, [entity]), len(terms), centred=True, entity=entity)
-    return fit_moments(m, names, False, lost=m.entities + hidden)
+    return fit_moments(_without(m, len(wanted)), wanted, False, lost=m.entities + times)
 
 
 def clustered(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None = None) -> DataFrame:
     """Fixed effects with clustered errors: by entity, or by entity and time (Ve + Vt - Vet).
 
     Score sums are taken per cluster on the cluster; only k x k products come back. Errors are
-    scaled by n / (n - k).
+    scaled by n / (n - k), k being the terms and the time effects.
     """
-    flat, terms, _ = _panel(df, y, xs, entity, time)
+    flat, terms, times = _panel(df, y, xs, entity, time)
     keys = [entity, *([time] if time else [])]
     design = complete(flat, "_y", terms, keys)
     k = len(terms)
@@ -93,8 +129,8 @@ def clustered(df: DataFrame, y: str, xs: Terms, entity: str, time: str | None =
     b = meat([entity])
     if time is not None:
         b = b + meat([time]) - meat(keys)
-    v = fit.core @ b @ fit.core * fit.n / (fit.n - k)
     wanted = list(as_terms(xs))
+    v = fit.core @ b @ fit.core * fit.n / (fit.n - len(wanted) - times)
     rows = []
     for i, n in enumerate(wanted):
         se = float(np.sqrt(max(v[i, i], 0.0)))

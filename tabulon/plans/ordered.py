@@ -48,19 +48,13 @@ def _sorted_position(df: DataFrame, by: Sequence[str], order: Order, name: str)
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn(
         "_local", F.col("_id").bitwiseAND((1 << 33) - 1)
     )
-    # One row per sort partition.
-    offsets = (
-        placed.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_off", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
-        .drop("_n")
-    )
-    whole = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_local") + 1)
-    whole = whole.drop("_id", "_part", "_local", "_off")
-    if not by:
-        return whole
-    starts = whole.groupBy(*by).agg((F.min(name) - 1).alias("_start"))
-    return join_groups(whole, starts, by).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
+    # A group lies together in a sort partition: where it begins there, and how many of its rows lie in
+    # earlier partitions. One row per partition and group, so a hot group never meets in one place.
+    pieces = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
+    earlier = F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = pieces.select("_part", *by, (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias("_start"))
+    whole = join_groups(placed, starts, ["_part", *by])
+    return whole.withColumn(name, F.col("_start") + F.col("_local") + 1).drop("_id", "_part", "_local", "_start")
 
 
 def neighbours(

@@ -22,7 +22,7 @@ def baskets(spark, sf):
 
 
 def pair_rules(spark, sf, confidence=0.0):
-    return bk.rules(bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT), confidence, 2)
+    return bk.rules(bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT), confidence)
 
 
 @query(
@@ -31,7 +31,7 @@ def pair_rules(spark, sf, confidence=0.0):
     select items, cast(c as bigint) as freq, {R('c / n')} as support from f, n where c >= ceil({SUPPORT} * n)""",
 )
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT).filter("size(items) <= 2")
+    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT)
     return sets.select(F.array_join("items", " + ").alias("items"), "freq", rnd("support").alias("support"))
 
 
@@ -42,7 +42,7 @@ k as (select items, c from f, n where c >= ceil(0.002 * n.n)) """
 
 @query("c01_frequent_itemsets_to_three", TRIPLES + "select items, cast(c as bigint) as freq from k")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002).filter("size(items) <= 3")
+    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
     return sets.select(F.array_join("items", " + ").alias("items"), "freq")
 
 
@@ -57,7 +57,7 @@ select v.x as antecedents, v.y as consequents, case when contains(v.x, ' + ') th
 @query("c02_association_rules_of_three", THREES)
 def _(spark, sf):
     sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
-    r = bk.label_rules(bk.rules(sets, 0.05, 3)).filter("combo <> '1 - 1'")
+    r = bk.label_rules(bk.rules(sets, 0.05)).filter("combo <> '1 - 1'")
     return r.select("antecedents", "consequents", "combo", *[rnd(c).alias(c) for c in ("support", "confidence", "lift")])
 
 
@@ -105,7 +105,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT)
-    return bk.rule_grid(sets, [0.01, 0.02, 0.025], [0.1, 0.13, 0.15, 0.16], 2)
+    return bk.rule_grid(sets, [0.01, 0.02, 0.025], [0.1, 0.13, 0.15, 0.16])
 
 
 @query(

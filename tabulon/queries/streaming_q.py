@@ -47,6 +47,37 @@ def _(spark, sf):
     return out.select("user_id", _stamp("start"), "n")
 
 
+@query(
+    "g01_stream_tumbling_all",
+    f"""select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, {R('avg(value)')} as mean from events group by 1, 2""",
+)
+def _(spark, sf):
+    """Update mode: windows still open at the end are there, too."""
+    out = st.run_updates(st.stream_tumbling(_events(spark, sf), "ts", ["event_type"], "value"), "tumbling", ["start", "event_type"])
+    return out.select(_stamp("start"), "event_type", "n", rnd("mean").alias("mean"))
+
+
+@query(
+    "g02_stream_sliding_all",
+    f"""with w as (select date_trunc('day', ts) - to_days(cast(k as integer)) as start, value from events, range(7) t(k))
+    select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, {R('avg(value)')} as mean from w group by 1""",
+)
+def _(spark, sf):
+    out = st.run_updates(st.stream_sliding(_events(spark, sf), "ts", "value"), "sliding", ["start"])
+    return out.select(_stamp("start"), "n", rnd("mean").alias("mean"))
+
+
+@query(
+    "g03_stream_sessions_all",
+    """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
+    s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+    select user_id, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, s""",
+)
+def _(spark, sf):
+    out = st.run_complete(st.stream_sessions(_events(spark, sf), "ts", "user_id"), "sessions")
+    return out.select("user_id", _stamp("start"), "n")
+
+
 @query(
     "g04_stream_running_ctr",
     f"""select user_id % 2 as arm, count(*) as shown, cast(count(*) filter (event_type = 'click') as bigint) as clicks,

@@ -68,6 +68,21 @@ def run_to_table(sdf: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(sdf.schema).parquet(out)
 
 
+def run_complete(sdf: DataFrame, name: str) -> DataFrame:
+    """Run a query over all available files and return its whole result, open windows and sessions included."""
+    spark = sdf.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    q = sdf.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    # Every micro-batch writes the whole result so far; the last one stands.
+    return rows.filter(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch")
+
+
 def run_updates(sdf: DataFrame, name: str, key: Sequence[str]) -> DataFrame:
     """Run an update-mode query, keep every micro-batch's changed rows, and return the last per key."""
     spark = sdf.sparkSession

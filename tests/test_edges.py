@@ -123,3 +123,66 @@ def test_folds_go_by_key(spark):
     runs = [md.grid_search(est, md.assemble(d, ["x"]), {"regParam": [0.0, 5.0]}, "y", ["id"]).collect() for d in (df, df.repartition(7))]
     assert [r["regParam"] for r in runs[0]] == [0.0, 5.0]
     assert runs[0][0]["rmse"] == pytest.approx(runs[1][0]["rmse"], rel=1e-9)
+
+
+def _unbalanced(spark, n=240, scale=1.0):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(n):
+        e, t = int(rng.integers(0, 12)), int(rng.integers(0, 8))
+        x = float(rng.normal() + 0.3 * e - 0.2 * t)
+        rows.append((e, t, x, scale * (1.5 * x + e - 0.5 * t + float(rng.normal()))))
+    return spark.createDataFrame(rows, "e long, t long, x double, y double")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_two_way_errors_on_both_sides_of_the_switch(spark, monkeypatch, scale):
+    from tabulon.operators import causal as cs
+
+    df = _unbalanced(spark, scale=scale)
+    dummies = cs.clustered(df, "y", ["x"], "e", "t").first(), cs.fixed_effects(df, "y", ["x"], "e", "t")
+    monkeypatch.setattr(cs, "TIME_DUMMIES", 2)
+    means = cs.clustered(df, "y", ["x"], "e", "t").first(), cs.fixed_effects(df, "y", ["x"], "e", "t")
+    assert means[0]["coef"] == pytest.approx(dummies[0]["coef"], rel=1e-6) and means[0]["se"] == pytest.approx(dummies[0]["se"], rel=1e-6)
+    assert means[1].names == dummies[1].names == ["x"] and means[1].dof == dummies[1].dof
+    assert means[1].r2 == pytest.approx(dummies[1].r2, rel=1e-6) and means[1].se[0] == pytest.approx(dummies[1].se[0], rel=1e-6)
+
+
+def test_two_way_means_that_do_not_settle(spark, monkeypatch):
+    from tabulon.operators import causal as cs
+
+    monkeypatch.setattr(cs, "TIME_DUMMIES", 2)
+    monkeypatch.setattr(cs, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        cs.fixed_effects(_unbalanced(spark), "y", ["x"], "e", "t")
+
+
+def test_rules_of_a_large_set(spark):
+    from tabulon.operators import baskets as bk
+
+    # One basket type of 32 items: 2^32 splits, but one left side is rare enough to pass.
+    items = [f"i{k:02d}" for k in range(32)]
+    sets = [(items, 2, 0.02), ([items[0]], 2, 0.02), (items[1:], 100, 1.0), *[([i], 100, 1.0) for i in items[1:]]]
+    df = spark.createDataFrame(sets, "items array<string>, freq long, support double")
+    got = bk.rules(df, 0.5).collect()
+    assert [(r["antecedents"], r["confidence"]) for r in got] == []
+    low = bk.rules(df, 0.01).collect()
+    assert {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in low} == {(tuple(items[1:]), (items[0],))}
+
+
+def test_rules_level_by_level_equal_all_splits(spark):
+    from itertools import combinations
+
+    from tabulon.operators import baskets as bk
+
+    rng = np.random.default_rng(5)
+    baskets = [set(rng.choice(list("abcde"), rng.integers(1, 6), replace=False)) for _ in range(60)]
+    freq = {c: n for k in range(1, 6) for c in combinations("abcde", k) if (n := sum(set(c) <= b for b in baskets))}
+    df = spark.createDataFrame([(list(c), n, n / 60) for c, n in freq.items()], "items array<string>, freq long, support double")
+    for level in (0.0, 0.4, 0.7):
+        want = {
+            (left, tuple(x for x in c if x not in left))
+            for c, n in freq.items() if len(c) > 1 for k in range(1, len(c)) for left in combinations(c, k) if n / freq[left] >= level
+        }
+        got = [(tuple(r["antecedents"]), tuple(r["consequents"])) for r in bk.rules(df, level).collect()]
+        assert set(got) == want and len(got) == len(want)
