@@ -20,13 +20,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-_LOWER = str.maketrans(UPPER, UPPER.lower())
-
-
-def lower_az(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the table once in the shared folder and go on from there.
 

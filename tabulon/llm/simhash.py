@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.llm.components import components
-from tabulon.llm.shared import lower_az, null_safe, runs, stored, text_of
+from tabulon.llm.shared import null_safe, runs, stored, text_of
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 # Words hashed at a time, whatever the length of the text.
 BLOCK_WORDS = 100_000
-# Beyond this many characters the words of a text are not held as a list.
+# Beyond this many bytes the words of a text are not held as a list.
 LONG_TEXT = 4_000_000
 # A bucket of more fingerprints is cut into blocks of this many, and every two blocks meet.
 BUCKET = 8_192
@@ -32,21 +32,22 @@ BUCKET = 8_192
 SMALL = 12
 
 
-def _bit_counts(words: list[str], size: int) -> np.ndarray:
-    shingles = map(" ".join, zip(*(islice(words, i, None) for i in range(size)))) if size > 1 else iter(words)
+def _bit_counts(words: list[bytes], size: int) -> np.ndarray:
+    shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(size)))) if size > 1 else iter(words)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """64 bits; a bit is set if it is set in over half of the hashes of the word shingles, repeats included."""
-    text = lower_az(text)
-    words = iter(WORD.findall(text)) if len(text) <= LONG_TEXT else (m.group() for m in WORD.finditer(text))
+def fingerprint(text: bytes, size: int = 3) -> int:
+    """64 bits of a text in UTF-8; a bit is set if it is set in over half of the hashes of the word shingles, repeats included."""
+    # Of bytes only A-Z are lower-cased, and the blanks that split are those of ASCII.
+    text = text.lower()
+    words = iter(text.split()) if len(text) <= LONG_TEXT else (m.group() for m in WORD.finditer(text))
     block = list(islice(words, BLOCK_WORDS))
     if not block:
         return 0
     if len(block) <= size:
-        n, counts = 1, _bit_counts([" ".join(block)], 1)
+        n, counts = 1, _bit_counts([b" ".join(block)], 1)
     else:
         n, counts = len(block) - size + 1, _bit_counts(block, size)
         while len(block) >= BLOCK_WORDS and (more := list(islice(words, BLOCK_WORDS))):
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3) ->
         values = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
         return pd.Series(values.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), fp(text_of(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), fp(text_of(text_col).cast("binary")).alias("fp"))
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -214,6 +215,8 @@ def simhash_components(
     labels = members.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = members.join(labels, "root").select(F.col("fp").alias("_fp"), "component_id")
     every = nodes.join(joined, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the join below has plain shuffles on both sides and a hot fingerprint can be split.
+    every = stored(every, "labels")
     found = fps.join(every, F.col("fp") == F.col("_fp"))
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
