@@ -81,6 +81,27 @@ def ucb1_steps(
     return out.withColumn("choice", _argmax(arms, [F.col(c) for c in scores])).drop(*[f"_{x}{i}" for x in "sk" for i in range(len(arms))])
 
 
+def thompson_steps(
+    df: DataFrame, arm: str, click: str, order: Sequence[str], seed: int, arms: Sequence | None = None, group_rows: int | None = None
+) -> DataFrame:
+    """The arm with the highest posterior draw at every step, from what was seen before it.
+
+    The beta posterior is drawn by its normal approximation, from two hashes of the row's order
+    key and the arm, so a step's draws are the same wherever it runs.
+    """
+    arms = list(arms or arms_of(df, arm))
+    h = _history(df, arm, click, order, arms, group_rows)
+    scores = []
+    for i in range(len(arms)):
+        a, b = 1.0 + F.col(f"_k{i}"), 1.0 + F.col(f"_s{i}") - F.col(f"_k{i}")
+        u, v = (uniform([*order, F.lit(i)], seed + j) for j in (0, 1))
+        normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+        scores.append(a / (a + b) + normal * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
+    out = h.withColumns({f"_d{i}": s for i, s in enumerate(scores)})
+    out = out.withColumn("choice", _argmax(arms, [F.col(f"_d{i}") for i in range(len(arms))]))
+    return out.drop(*[f"_{x}{i}" for x in "skd" for i in range(len(arms))])
+
+
 def greedy_arm(df: DataFrame, arm: str, click: str, order: Sequence[str], warmup: int) -> DataFrame:
     """The arm of highest click rate over the first ``warmup`` impressions."""
     first = df.orderBy(*order).limit(warmup)

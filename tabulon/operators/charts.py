@@ -1,11 +1,14 @@
 """The tables behind common charts: bins, box numbers, intervals, densities. Nothing is drawn here."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.aggregates import value_counts
+from tabulon.operators.rows import uniform
 from tabulon.plans.quantiles import quantile_table, quantiles_wide
 from tabulon.plans.sizes import join_groups, with_scalars
 
@@ -51,6 +54,30 @@ def mean_ci(df: DataFrame, by: Sequence[str], c: str, z: float = 1.96) -> DataFr
     return stats.select(*by, "mean", (F.col("mean") - F.col("_h")).alias("low"), (F.col("mean") + F.col("_h")).alias("high"))
 
 
+# A Poisson count of mean one is at least 1, 2, 3, .. beyond these chances.
+POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def bootstrap_ci(
+    df: DataFrame, by: Sequence[str], c: str, key: Sequence[str], replicates: int = 200, seed: int = 1, level: float = 0.95
+) -> DataFrame:
+    """Group mean with a percentile interval over resampled means.
+
+    In each replicate a row counts as often as a Poisson draw of mean one says, which for many rows
+    is drawing with replacement. Draws go by hash of the row's key, so one aggregate, partial in
+    every task, makes all replicates and no row is moved.
+    """
+    present = df.filter(F.col(c).isNotNull()).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = uniform([*key, "_r"], seed)
+    weight = reduce(add, [(u >= F.lit(p)).cast("int") for p in POISSON_ONE])
+    sums = present.withColumn("_w", weight).groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col(c)).alias("_s"), F.sum("_w").alias("_n"))
+    # One row per group and replicate is left.
+    means = sums.withColumn("_m", F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double")))
+    tail = (1 - level) / 2
+    ends = means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+    return join_groups(df.groupBy(*by).agg(F.avg(c).alias("mean")), ends, by, "left")
+
+
 def binned_mean(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Mean of y in equal-width bins of x."""
     return _binned(df, x, bins).groupBy("bin").agg(

@@ -93,6 +93,8 @@ def search_adstock(
 
     Every (channel, rate) series is built once. The cross products of all of them are taken in one
     pass for the three parts; a combination's fit and its errors are blocks of those products.
+    ``rssd`` is the distance between the channels' shares of effect and of spend on training rows, a
+    second goal beside the error.
     """
     wide, names = df, {}
     for c, rates in grid.items():
@@ -102,7 +104,14 @@ def search_adstock(
     wide = adstock(wide, {n: a for (c, a), n in names.items()}, order)
     cols = [*[f"{n}_adstock" for n in names.values()], *controls]
     parts = split_by_time(wide, ts, t1, t2)
-    each = moments(complete(parts, y, as_terms(cols), ["part"]), len(cols), "part")
+    design = complete(parts, y, as_terms(cols), ["part", *grid])
+    each = moments(design, len(cols), "part")
+    # Mean distance of every series from its mean, and what was spent, for the shares.
+    train = design.filter("part = 'train'")
+    wide_mean = {i: float(m) for i, m in enumerate(each["train"].mean[: len(names)])}
+    sizes = train.agg(*[F.avg(F.abs(F.col(f"_x{i}") - F.lit(m))).alias(f"d{i}") for i, m in wide_mean.items()], *[F.sum(c).cast("double").alias(f"s_{c}") for c in grid]).first()
+    spend = np.array([sizes[f"s_{c}"] or 0.0 for c in grid])
+    spend = spend / (spend.sum() or 1.0)
     rows = []
     for combo in itertools.product(*grid.values()):
         use = [f"{names[c, a]}_adstock" for c, a in zip(grid, combo)] + list(controls)
@@ -118,14 +127,35 @@ def search_adstock(
                 continue
             t = part(each[name])
             bias = float(b @ t.mean - fit.coef[0])
-            errors.append(float(np.sqrt(b @ t.cross @ b / t.n + bias * bias)))
-        rows.append((*[float(a) for a in combo], float(np.sqrt(fit.sse / fit.n)), *errors))
-    schema = ", ".join(f"{c}_rate double" for c in grid) + ", train_rmse double, valid_rmse double, test_rmse double"
+            # Rounding can take an error of nothing just below zero.
+            errors.append(float(np.sqrt(max(0.0, b @ t.cross @ b / t.n + bias * bias))))
+        effect = np.abs(fit.coef[1 : len(grid) + 1]) * np.array([sizes[f"d{i}"] or 0.0 for i in at[: len(grid)]])
+        rssd = float(np.linalg.norm(effect / (effect.sum() or 1.0) - spend))
+        rows.append((*[float(a) for a in combo], rssd, float(np.sqrt(fit.sse / fit.n)), *errors))
+    schema = ", ".join(f"{c}_rate double" for c in grid) + ", rssd double, train_rmse double, valid_rmse double, test_rmse double"
     # The test rows only report; they have no say in the choice. Without validation rows the fit itself decides.
     judge = -2 if "valid" in each else -3
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[judge]), schema)
 
 
+def search_model_size(
+    df: DataFrame, y: str, order: Order, rates: Mapping[str, float], controls: Sequence[str], sizes: Sequence[tuple[int, int]], ts: str, t1, t2
+) -> DataFrame:
+    """Boosted trees on carried-over channels: (trees, depth) by validation error, best first, with the test error."""
+    names = {c: f"{c}_adstock" for c in rates}
+    parts = split_by_time(adstock(df, dict(rates), order), ts, t1, t2)
+    xs, rows = [*names.values(), *controls], []
+    parts = assemble(parts.select("part", y, *xs), xs)
+    gap = F.pow(F.col(y) - F.col("prediction"), F.lit(2.0))
+    for trees, depth in sizes:
+        model = GBTRegressor(labelCol=y, maxIter=trees, maxDepth=depth, seed=1).fit(parts.filter("part = 'train'"))
+        errors = {r["part"]: float(r["e"]) for r in model.transform(parts).groupBy("part").agg(F.sqrt(F.avg(gap)).alias("e")).collect()}
+        rows.append((trees, depth, errors.get("train"), errors.get("valid"), errors.get("test")))
+    judge = 3 if any(r[3] is not None for r in rows) else 2
+    schema = "trees int, depth int, train_rmse double, valid_rmse double, test_rmse double"
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[judge]), schema)
+
+
 def kmeans(df: DataFrame, features: str, k: int, seed: int = 1):
     """K-means; returns the model and the rows with a ``cluster`` column."""
     model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df)

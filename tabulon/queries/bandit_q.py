@@ -131,3 +131,24 @@ def _(spark, sf):
         "arm", "click",
     )
     return out.select("policy", "matched", "reward", rnd("regret").alias("regret"), rnd("reward_rate").alias("reward_rate"))
+
+
+def _draw(i: int) -> str:
+    """SQL of one posterior draw, as thompson_steps makes it."""
+    a, b = f"(1.0::double + k{i})", f"(1.0::double + n{i} - k{i})"
+    normal = f"sqrt(-2 * ln(1 - {U('event_id', str(i), seed=21)})) * cos(2 * pi() * {U('event_id', str(i), seed=22)})"
+    return f"{a} / ({a} + {b}) + {normal} * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
+
+
+@query(
+    "b06_replay_thompson",
+    STEPS[: STEPS.index("s as (select event_id, step, case")]
+    + f"""c as (select event_id, case when {_draw(0)} >= {_draw(1)} then 0 else 1 end as choice from h),
+    w as (select arm, avg(click) as r from l group by 1)
+    select 'thompson' as policy, count(*) as matched, cast(sum(click) as bigint) as reward, {R('avg((select max(r) from w) - w.r)')} as regret, {R('sum(click) / count(*)')} as reward_rate
+    from l join c using (event_id) join w using (arm) where choice = arm""",
+)
+def _(spark, sf):
+    steps = bd.thompson_steps(log(spark, sf), "arm", "click", ["event_id"], 21, [0, 1])
+    out = bd.replay(steps, {"thompson": F.col("choice").cast("long")}, "arm", "click")
+    return out.select("policy", "matched", "reward", rnd("regret").alias("regret"), rnd("reward_rate").alias("reward_rate"))

@@ -3,7 +3,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from tabulon.operators import charts as ch
-from tabulon.queries.registry import R, query, rnd, table
+from tabulon.queries.registry import R, U, query, rnd, table
 
 BINNED = """with r as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer),
 b as (select c_mktsegment, c_acctbal, c_nationkey, lo, (hi - lo) / {n} as w, hi,
@@ -48,6 +48,20 @@ def _(spark, sf):
     return df.select("o_orderpriority", *[rnd(c, 3).alias(c) for c in ("mean", "low", "high")])
 
 
+@query(
+    "v04_bootstrap_interval_bars",
+    f"""with w as (select o_orderpriority, r, o_totalprice as y, {U('o_orderkey', 'r', seed=3)} as u from orders, range(1, 101) t(r)),
+    k as (select *, {" + ".join(f"(u >= {p!r})::int" for p in ch.POISSON_ONE)} as n from w),
+    m as (select o_orderpriority, r, sum(n * y) / sum(n) as m from k group by 1, 2),
+    e as (select o_orderpriority, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by 1)
+    select o_orderpriority, {R('avg(o_totalprice)', 3)} as mean, {R('any_value(low)', 3)} as low, {R('any_value(high)', 3)} as high
+    from orders join e using (o_orderpriority) group by 1""",
+)
+def _(spark, sf):
+    df = ch.bootstrap_ci(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"], 100, 3)
+    return df.select("o_orderpriority", *[rnd(c, 3).alias(c) for c in ("mean", "low", "high")])
+
+
 @query(
     "v05_binned_mean",
     BINNED.format(n=15) + f"select bin, {R('avg(c_acctbal)', 4)} as x, {R('avg(c_nationkey)')} as y, count(c_nationkey) as n from b group by 1",

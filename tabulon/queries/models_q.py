@@ -1,5 +1,6 @@
 import datetime
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -87,6 +88,14 @@ def _(spark, sf):
     )
 
 
+@query("m08_search_model_size")
+def _(spark, sf):
+    return md.search_model_size(
+        _series(spark, sf), "revenue", ["day"], {"tv": 0.3, "search": 0.2}, ["control"], [(5, 2), (5, 4), (15, 2)], "day",
+        datetime.date(1999, 1, 1), datetime.date(2000, 1, 1),
+    )
+
+
 @query("m09_kmeans")
 def _(spark, sf):
     return md.kmeans(_vectors(spark, sf), "features", 5)[1].select("vec_id", "label", "cluster")
@@ -204,3 +213,53 @@ def _(spark, sf):
 def _(spark, sf):
     out = md.fit_per_group(_li(spark, sf), "l_returnflag", "l_extendedprice", ["l_quantity"])
     return out.select("l_returnflag", rnd("intercept", 2).alias("intercept"), rnd(F.col("weights")[0], 3).alias("slope"))
+
+
+# A fit is right where its equations hold; what is left of them, beside their own size, must round to zero.
+
+
+def _left(df, residual, xs, y, digits):
+    """Sum of residual times column over the sum of their sizes, per column."""
+    size = lambda x: F.sum(F.abs(F.col(x)) * F.greatest(F.abs(F.col(y)), F.lit(1.0)))
+    return df.agg(*[rnd(F.sum(residual * F.col(x)) / size(x), digits).alias(x) for x in xs])
+
+
+@query("m01_normal_equations", "select 0e0 as one, 0e0 as l_quantity, 0e0 as l_discount, 0e0 as l_tax")
+def _(spark, sf):
+    model, _ = md.fit_linear(_li(spark, sf), "l_extendedprice", XS, 0.2, 1, KEY)
+    train = md.assemble(split(_li(spark, sf), {"train": 0.8, "test": 0.2}, 1, KEY).filter("part = 'train'"), XS)
+    fitted = model.transform(train).withColumn("one", F.lit(1.0))
+    return _left(fitted, F.col("l_extendedprice") - F.col("prediction"), ["one", *XS], "l_extendedprice", 7)
+
+
+@query("m02_score_equations", "select 0e0 as one, 0e0 as k_chars, 0e0 as english")
+def _(spark, sf):
+    model, data = md.fit_logistic(_docs(spark, sf), "quality", ["k_chars", "english"])
+    fitted = model.transform(data).withColumn("one", F.lit(1.0))
+    return _left(fitted, F.col("quality") - vector_to_array("probability")[1], ["one", "k_chars", "english"], "one", 4)
+
+
+@query("m09_nearest_centres", "select 5 as clusters, 0 as elsewhere, count(*) as n from embeddings")
+def _(spark, sf):
+    model, rows = md.kmeans(_vectors(spark, sf), "features", 5)
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    x = vector_to_array("features")
+    far = F.transform(centres, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    own = F.get(far, F.col("cluster"))
+    rows = rows.withColumn("elsewhere", (own > F.array_min(far) + 1e-6).cast("int"))
+    return rows.agg(F.count_distinct("cluster").cast("int").alias("clusters"), F.sum("elsewhere").cast("int").alias("elsewhere"), F.count("*").alias("n"))
+
+
+@query("m12_component_moments", "select 0e0 as mean1, 0e0 as mean2, 0e0 as correlation, true as in_order, count(*) as n from embeddings")
+def _(spark, sf):
+    df = md.pca(_vectors(spark, sf), "features", 2).select(F.col("components")[0].alias("a"), F.col("components")[1].alias("b"))
+    return df.agg(
+        rnd(F.avg("a")).alias("mean1"), rnd(F.avg("b")).alias("mean2"), rnd(F.corr("a", "b")).alias("correlation"),
+        (F.var_pop("a") >= F.var_pop("b")).alias("in_order"), F.count("*").alias("n"),
+    )
+
+
+@query("m13_importance_total", "select 3 as features, 1e0 as total")
+def _(spark, sf):
+    model, _ = md.fit_gbt(_li(spark, sf), "l_extendedprice", XS, trees=3, depth=3)
+    return md.importance(model, XS, spark).agg(F.count("*").cast("int").alias("features"), rnd(F.sum("importance")).alias("total"))

@@ -186,3 +186,31 @@ def test_rules_level_by_level_equal_all_splits(spark):
         }
         got = [(tuple(r["antecedents"]), tuple(r["consequents"])) for r in bk.rules(df, level).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_decay_search_reports_shares(spark):
+    import datetime
+
+    rng = np.random.default_rng(3)
+    start, rows = datetime.date(2020, 1, 1), []
+    for i in range(300):
+        a, b = float(rng.random()), float(rng.random())
+        rows.append((start + datetime.timedelta(days=i), a, b, 3 * a + b))
+    df = spark.createDataFrame(rows, "day date, a double, b double, y double")
+    cuts = datetime.date(2020, 7, 1), datetime.date(2020, 9, 1)
+    best = md.search_adstock(df, "y", ["day"], {"a": [0.0, 0.5], "b": [0.0, 0.5]}, [], "day", *cuts).first()
+    assert (best["a_rate"], best["b_rate"]) == (0.0, 0.0) and best["valid_rmse"] == pytest.approx(0.0, abs=1e-6)
+    a, b = np.array([r[1:3] for r in rows if r[0] < cuts[0]]).T
+    effect, spend = np.array([3 * np.abs(a - a.mean()).mean(), np.abs(b - b.mean()).mean()]), np.array([a.sum(), b.sum()])
+    assert best["rssd"] == pytest.approx(np.linalg.norm(effect / effect.sum() - spend / spend.sum()), abs=1e-9)
+    sizes = md.search_model_size(df, "y", ["day"], {"a": 0.0, "b": 0.0}, [], [(1, 1), (10, 3)], "day", *cuts).collect()
+    assert [(r["trees"], r["depth"]) for r in sizes] == [(10, 3), (1, 1)] and sizes[0]["valid_rmse"] < sizes[1]["valid_rmse"]
+
+
+def test_resampled_interval_is_near_the_normal_one(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, "g", float(v)) for i, v in enumerate(rng.normal(10, 2, 800))] + [(900, "none", None)], "id long, g string, y double")
+    got = {r["g"]: r for r in ch.bootstrap_ci(df, ["g"], "y", ["id"], 300).collect()}
+    normal = {r["g"]: r for r in ch.mean_ci(df, ["g"], "y").collect()}
+    assert got["g"]["low"] == pytest.approx(normal["g"]["low"], abs=0.05) and got["g"]["high"] == pytest.approx(normal["g"]["high"], abs=0.05)
+    assert got["none"]["mean"] is None and got["none"]["low"] is None
