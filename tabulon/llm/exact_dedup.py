@@ -2,15 +2,15 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.shared import ascii_lower, fresh, null_safe, stored, text_of
+from tabulon.llm.shared import ascii_lower, stored, text_of
 
 SALTS = 16
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, normalised text and its digest; no other column goes on, so no name can clash."""
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_of(text_col)).alias("norm"))
-    return rows.select("id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    """id, normalised text, its digest and a mark of the text itself; no other column goes on, so no name can clash."""
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_of(text_col)).alias("norm"), F.xxhash64(text_of(text_col)).alias("mark"))
+    return rows.select("id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"), "mark")
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -38,6 +38,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows (same id, same text) are one document and share their decision. An empty table gives no
     rows. Other columns are not read.
     """
+    return _groups(docs, id_col, text_col, salts).drop("text_mark")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """The groups, beside a hash of each row's text as it is."""
     texts = text_classes(docs, id_col, text_col, salts)
     digests = stored(
         texts.groupBy("digest").agg(
@@ -46,7 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "digests",
     )
     rows = _texts(docs, id_col, text_col)
-    found = rows.select("id", "digest").join(digests.filter("texts = 1").drop("texts"), "digest")
+    found = rows.select("id", "digest", "mark").join(digests.filter("texts = 1").drop("texts"), "digest")
     shared_digests = digests.filter("texts > 1").select("digest")
     if not shared_digests.isEmpty():
         # Different texts under one digest: these few are matched by their whole text.
@@ -59,18 +64,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("mark").alias("text_mark"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only the ids of rows to be dropped are written and joined; where they are few the planner
-    broadcasts them and no text moves again.
+    Only the ids of rows to be dropped are written, beside a short mark of their texts, and joined;
+    where they are few the planner broadcasts them and no text moves again.
     """
-    groups = exact_groups(docs, id_col, text_col, salts).filter("not kept")
-    dropped = stored(groups.select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_digest")).distinct(), "dropped")
-    own = fresh(docs, "digest")
-    with_digest = docs.withColumn(own, F.unhex(F.sha2(ascii_lower(text_of(text_col)), 256)))
-    cond = null_safe(with_digest, dropped, {id_col: "_gone", own: "_digest"})
-    return with_digest.join(dropped, cond, "left_anti").drop(own)
+    gone = _groups(docs, id_col, text_col, salts).filter("not kept").select(F.col(id_col).alias("_gone"), "text_mark").distinct()
+    gone = stored(gone, "dropped")
+    same_text = F.xxhash64(text_of(text_col)) == gone["text_mark"]
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & same_text, "left_anti")
