@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.shared import null_safe, stored, text_of
+from tabulon.llm.shared import null_safe, small_batches, stored, text_of
 
 # In UTF-8 every byte of a character beyond ASCII lies above 0x7f, so bytes can stand for characters:
 # A-Z become a-z, and whatever is neither digit, letter nor beyond ASCII becomes a blank.
@@ -142,9 +142,9 @@ class Prefixes:
 
 
 def _search(docs: DataFrame, prefixes) -> DataFrame:
-    """docs with n_words, the merged spans that windows cover, and the windows found."""
+    """docs with n_words, n_hit, the merged spans that windows cover, and the windows found."""
 
-    @F.pandas_udf("n_words long, starts array<long>, ends array<long>, windows array<string>")
+    @F.pandas_udf("n_words long, n_hit long, starts array<long>, ends array<long>, windows array<string>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = prefixes.value
         for texts in batches:
@@ -153,8 +153,8 @@ def _search(docs: DataFrame, prefixes) -> DataFrame:
                 ids = _numbers(text, index.number)
                 found = index.find(ids)
                 starts, ends = merged([(a, b) for a, b, _ in found])
-                rows.append((len(ids), starts, ends, sorted({w for _, _, w in found})))
-            yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "windows"])
+                rows.append((len(ids), sum(ends) - sum(starts), starts, ends, sorted({w for _, _, w in found})))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "starts", "ends", "windows"])
 
     return docs.withColumn("s", search(F.col("text").cast("binary"))).select("id", "mark", "s.*")
 
@@ -203,6 +203,7 @@ def contamination(
     A task holds one part of the windows, of about ``part_windows``; each further part reads the
     documents again.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
@@ -225,8 +226,9 @@ def contamination(
             *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "windows")],
         )
         found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
-    covered = F.pandas_udf(_covered, "long")("starts", "ends")
-    found = stored(found.select("id", "mark", "n_words", covered.alias("n_hit"), "windows"), "contamination")
+        # Spans of different parts may overlap.
+        found = found.withColumn("n_hit", F.pandas_udf(_covered, "long")("starts", "ends"))
+    found = stored(found.select("id", "mark", "n_words", "n_hit", "windows"), "contamination", compact=True)
     hits = found.filter("n_hit > 0").select("id", "mark", F.explode("windows").alias("window")).distinct()
     lists = hits.join(pairs, "window").groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
     lists = lists.withColumnsRenamed({"id": "_id", "mark": "_mark"})

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulon.llm.shared import stored, text_of
+from tabulon.llm.shared import small_batches, stored, text_of
 from tabulon.llm.tokens import ids_of
 
 CAPACITY, END = 2048, 0
@@ -112,8 +112,9 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def numbered(pieces: DataFrame) -> DataFrame:
     """Pieces with ``rank`` 0, 1, .. among those of their length, however many have the same length."""
-    spread = pieces.withColumn("row", F.monotonically_increasing_id())
-    spread = stored(spread, "pieces")
+    spread = stored(pieces, "pieces", compact=True)
+    # Equal rows are told apart by where they were written.
+    spread = spread.withColumn("row", F.monotonically_increasing_id())
     # Sorted by range; ids and row numbers split a common length over many tasks.
     ordered = spread.orderBy(F.col("length").desc(), F.col("id"), "piece", "row").drop("row")
     ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
@@ -135,6 +136,7 @@ def pack(
     texts are the single id ``end``; repeated rows are packed each; null ids are kept; no documents
     give no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     ranked = stored(numbered(cut_pieces(docs, path, id_col, text_col, capacity, end)), "ranked")
     # At most one row per length up to the capacity.

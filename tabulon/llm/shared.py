@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulon.plans.shared import scratch_path
 
@@ -20,17 +20,30 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write the table once in the shared folder and go on from there.
 
     Lineage ends here, so a lost executor costs a read, and the size of the files tells the
-    planner which joins may broadcast.
+    planner which joins may broadcast. ``compact`` is for a few bytes made of each document: they
+    are put together first, so that many map tasks do not leave as many tiny files.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a batch that a Python worker holds at a time: they are whole documents.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's batches for Python workers to BATCH_ROWS rows, or fewer if it asks for that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     while name in df.columns:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.llm.components import components
-from tabulon.llm.shared import null_safe, runs, stored, text_of
+from tabulon.llm.shared import null_safe, runs, small_batches, stored, text_of
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -208,7 +208,8 @@ def simhash_components(
     other. Null ids are kept and count as no id; repeated rows are one node. Equal fingerprints are
     one node, so copies are never paired. An empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    small_batches(docs.sparkSession)
+    fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints", compact=True)
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     linked = components(near_links(nodes, max_bits, bucket))
     members = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least")

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulon.llm.shared import stored, text_of
+from tabulon.llm.shared import small_batches, stored, text_of
 from tabulon.llm.words import kmer_hashes, minimisers, word_hashes
 
 LEAST_WORDS, KMER = 50, 8
@@ -223,6 +223,7 @@ def repeated_passages(
     tasks by document, each compared with ``NEIGHBOURS`` others on either side, across the borders
     of tasks too. Words are compared by 24 bits of their hashes.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).cast("binary").alias("text"))
     kept = texts.mapInArrow(_suffixes(least_words, kmer), _ROWS)
     ordered = kept.orderBy("right", "left", "id", "at").withColumn("part", F.spark_partition_id())

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.shared import text_of
+from tabulon.llm.shared import small_batches, text_of
 from tabulon.llm.tokens import LATIN_SPLIT, encoder, ids_of, latin, tokenizer
 
 # The table has at most this many pre-tokens of at most this many characters: under 8 MB.
@@ -127,6 +127,7 @@ def token_counts(
     with characters beyond U+024F or a special string is encoded whole, without the table. Other
     columns are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     words = frequent_pre_tokens(docs, text_col, frequent)
     table = {w: len(encoder(path).encode_ordinary(w)) for w in words}
     shipped = docs.sparkSession.sparkContext.broadcast(table)

@@ -6,14 +6,14 @@ of rows they had not seen (out-of-fold), so at prediction it may trust them as f
 """
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.llm.shared import fresh, stored, text_of
+from tabulon.llm.shared import fresh, small_batches, stored, text_of
 
 # At most so many labelled documents are fitted on: those whose ids have the smallest hashes.
 LABELLED = 20_000
@@ -166,6 +166,7 @@ def fit_chain(
     smallest hash of their id, so the sample is bounded and does not depend on partitions. An id
     labelled twice has a category if one of its labels has it; labels with a null are left out.
     """
+    small_batches(docs.sparkSession)
     names = list(categories)
     given = labels.select(F.col(id_col).alias("id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
     given = given.dropna().groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
@@ -177,7 +178,7 @@ def fit_chain(
 
     # At most ``labelled`` rows are broadcast, so the texts stay where they are.
     rows = texts.join(F.broadcast(given), "id").withColumn("words", F.pandas_udf(words, "array<string>")("text")).drop("text")
-    rows = stored(rows, "labelled")
+    rows = stored(rows, "labelled", compact=True)
     ys = [f"y{i}" for i in range(len(names))]
     total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = total["n"]
@@ -222,6 +223,7 @@ def fit_chain(
 
 
 def _score(docs: DataFrame, chain: Chain, text_col: str) -> Column:
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(chain)
     fields = [f"p_{n}" for n in chain.names]
 
