@@ -34,21 +34,27 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
+    from tabulon.plans.shared import remove_scratch
     from tabulon.queries import QUERIES, load_all
 
     load_all()
     names = sys.argv[1:] or list(HEADLINE)
     # The first job pays for class loading; it is not part of any query.
     spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").count().collect()
-    times = {}
-    for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
+    times: dict[str, list[float]] = {name: [] for name in names}
+    # Twice over: the first run of a query compiles its code, the second shows what remains.
+    for _ in range(2):
+        for name in names:
+            start = time.perf_counter()
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            times[name].append(round(time.perf_counter() - start, 3))
+    first, again = ({n: t[i] for n, t in times.items()} for i in (0, 1))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(first.values()), 3), "unit": "sec", "queries": first, "again": again, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
+    remove_scratch(spark)
     spark.stop()
 
 

@@ -7,7 +7,6 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.plans.quantiles import quantile_edges
-from tabulon.plans.sizes import DRIVER_ROWS
 
 
 def _c(c: Column | str) -> Column:
@@ -204,13 +203,6 @@ def context_slice(arr: Column | str, i: Column | str, w: int) -> Column:
     return F.concat(F.slice(arr, start, i - start), F.slice(arr, i + 1, F.lit(w)))
 
 
-def to_map(df: DataFrame, k: str, v: str, limit: int = DRIVER_ROWS) -> Column | None:
-    """A small table as one map value (a scalar subquery), or None if it has too many rows."""
-    if df.limit(limit + 1).count() > limit:
-        return None
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias("m")).scalar()
-
-
 def map_lookup(df: DataFrame, dim: DataFrame, key: str, k: str, v: str) -> DataFrame:
     """Add ``v`` by key, NULL for an unknown key. Of entries that repeat a key the smallest value counts."""
     entries = dim.groupBy(F.col(k).alias(key)).agg(F.min(v).alias(v))

@@ -128,6 +128,42 @@ def studentized_range_sf(q: float, k: int, dof: float) -> float:
     return float(min(1.0, max(0.0, 1 - np.sum(w * np.array([below(q * x) for x in s])) / np.sum(w))))
 
 
+def betainc_many(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``betainc`` of a whole batch: the fraction goes on for the rows that have not settled."""
+    a, b, x = (np.asarray(v, float).copy() for v in np.broadcast_arrays(a, b, x))
+    out = np.where(x <= 0, 0.0, 1.0)
+    at = np.flatnonzero((x > 0) & (x < 1))
+    a, b, x = a[at], b[at], x[at]
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) if len(at) else x
+    swap = x >= (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    big = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c = np.ones(len(at))
+    d = 1 / big(1 - (a + b) * x / (a + 1))
+    h, todo = d.copy(), np.arange(len(at))
+    for m in range(1, 1000):
+        p, q, y = a[todo], b[todo], x[todo]
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[todo] = 1 / big(1 + num * d[todo])
+            c[todo] = big(1 + num / c[todo])
+            h[todo] *= d[todo] * c[todo]
+        todo = todo[np.abs(d[todo] * c[todo] - 1) >= 1e-15]
+        if not len(todo):
+            break
+    value = front * h / a
+    out[at] = np.where(swap, 1 - value, value)
+    return out
+
+
+def t_sf_many(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """P(T > t) of a batch."""
+    t, dof = (np.asarray(v, float) for v in np.broadcast_arrays(t, dof))
+    half = 0.5 * betainc_many(dof / 2, 0.5, dof / (dof + t * t))
+    exact = np.where(t >= 0, half, 1 - half)
+    return np.where(dof > MANY, 0.5 * np.vectorize(math.erfc, otypes=[float])(t / math.sqrt(2)), exact) if len(t) else exact
+
+
 def _column(fn, *args: Column) -> Column:
     """Apply a scalar tail function to a few finished statistics."""
 
@@ -139,9 +175,16 @@ def _column(fn, *args: Column) -> Column:
 
 
 def p_t(t: Column, dof: Column, alternative: str = "two-sided") -> Column:
+    @F.pandas_udf("double")
+    def run(t: pd.Series, dof: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=t.index, dtype="float64")
+        known = t.notna() & dof.notna()
+        out[known] = t_sf_many(t[known].to_numpy(float), dof[known].to_numpy(float))
+        return out.where(known, None)
+
     if alternative == "two-sided":
-        return 2 * _column(t_sf, F.abs(t), dof)
-    return _column(t_sf, t if alternative == "greater" else -t, dof)
+        return 2 * run(F.abs(t).cast("double"), dof.cast("double"))
+    return run((t if alternative == "greater" else -t).cast("double"), dof.cast("double"))
 
 
 def p_f(f: Column, d1: Column, d2: Column) -> Column:

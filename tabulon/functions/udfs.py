@@ -5,6 +5,7 @@ beside the rows, so that no function ever needs a whole group in one place.
 """
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,12 +58,18 @@ def make_binner(train: DataFrame, c: str, q: int) -> Callable[[Column | str], Co
     return lambda col: digitize(col, edges)
 
 
+# Rows that one row has become, held at a time.
+EXPANDED = 10_000
+
+
 def expand_rows(df: DataFrame, fn: Callable[[tuple], Iterator[tuple]], schema: str) -> DataFrame:
-    """Generator from one row to many, run batch by batch."""
+    """Generator from one row to many, run batch by batch and sent on in pieces of EXPANDED rows."""
     names = [p.strip().split()[0] for p in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([out for row in b.itertuples(index=False) for out in fn(row)], columns=names)
+            out = (made for row in b.itertuples(index=False) for made in fn(row))
+            while piece := list(islice(out, EXPANDED)):
+                yield pd.DataFrame(piece, columns=names)
 
     return df.mapInPandas(run, schema)

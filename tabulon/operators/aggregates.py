@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.plans.ordered import Order, with_position
 from tabulon.plans.quantiles import quantile_table, quantiles_wide
-from tabulon.plans.sizes import join_groups
 
 _FUNCTIONS = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp,
@@ -164,11 +163,6 @@ def daily_sum(df: DataFrame, ts: str, cols: Sequence[str], unit: str = "day") ->
     return df.groupBy(bucket).agg(*[F.sum(c).alias(c) for c in cols])
 
 
-def with_total(df: DataFrame, by: Sequence[str], measures: Sequence[Column]) -> DataFrame:
-    """Every row with aggregates of its group, aggregated before any shuffle."""
-    return join_groups(df, df.groupBy(*by).agg(*measures), by)
-
-
 def audit_assignment(
     df: DataFrame, worker: str, day: str, slot: str, need: Mapping[str, int], load: int
 ) -> DataFrame:

@@ -1,7 +1,5 @@
 from statistics import NormalDist
 
-from pyspark.sql import functions as F
-
 from tabulon.operators import charts as ch
 from tabulon.queries.registry import R, U, query, rnd, table
 

@@ -214,3 +214,20 @@ def test_resampled_interval_is_near_the_normal_one(spark):
     normal = {r["g"]: r for r in ch.mean_ci(df, ["g"], "y").collect()}
     assert got["g"]["low"] == pytest.approx(normal["g"]["low"], abs=0.05) and got["g"]["high"] == pytest.approx(normal["g"]["high"], abs=0.05)
     assert got["none"]["mean"] is None and got["none"]["low"] is None
+
+
+def test_batch_tails_equal_single_ones():
+    rng = np.random.default_rng(6)
+    t, dof = rng.normal(0, 3, 400), np.exp(rng.uniform(0, 16, 400))
+    assert tails.t_sf_many(t, dof) == pytest.approx([tails.t_sf(a, b) for a, b in zip(t, dof)], rel=1e-9)
+    a, b, x = rng.uniform(0.2, 40, (2, 300)).tolist() + [rng.uniform(-0.1, 1.1, 300)]
+    assert tails.betainc_many(np.array(a), np.array(b), x) == pytest.approx([tails.betainc(*r) for r in zip(a, b, x)], rel=1e-9, abs=1e-12)
+    assert len(tails.t_sf_many(np.empty(0), np.empty(0))) == 0
+
+
+def test_expanded_rows_come_in_pieces(spark):
+    from tabulon.functions import udfs
+
+    df = spark.createDataFrame([(25_000,), (0,), (3,)], "n long")
+    got = udfs.expand_rows(df, lambda r: ((r[0], i) for i in range(r[0])), "n long, i long")
+    assert {r["n"]: r["count"] for r in got.groupBy("n").count().collect()} == {25_000: 25_000, 3: 3}
