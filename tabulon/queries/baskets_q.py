@@ -15,97 +15,90 @@ ITEMS = """with raw as (select distinct l_orderkey as b, p_brand as i from linei
 SUPPORT = 0.01
 
 
+def mined(support: float) -> str:
+    """SQL of the frequent itemsets k (items, c) of any size: all subsets of every basket, counted."""
+    base = ITEMS[: ITEMS.index(" s as (")].replace("with raw", "with recursive raw", 1)
+    return base + f""" sub as (select b, [i] as items, i as last from t
+  union all select sub.b, list_append(sub.items, t.i), t.i from sub join t on sub.b = t.b and t.i > sub.last),
+ k as (select items, count(*) as c from sub group by items having count(*) >= (select ceil({support} * n) from n)) """
+
+
+def ruled(support: float) -> str:
+    """SQL of the rules r over all proper splits of the frequent itemsets."""
+    return mined(support) + """, m as (select items, c, unnest(range(1, (1 << len(items)) - 1)) as mask from k where len(items) >= 2),
+ v as (select list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 1) as a, list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 0) as z, c from m),
+ r as (select array_to_string(v.a, ' + ') as antecedents, array_to_string(v.z, ' + ') as consequents, len(v.a) || ' - ' || len(v.z) as combo,
+  v.c / n.n as support, v.c / l.c as confidence, (v.c / l.c) / (q.c / n.n) as lift from v join k l on l.items = v.a join k q on q.items = v.z, n) """
+
+
+FIGURES = ", ".join(f"{R(c)} as {c}" for c in ("support", "confidence", "lift"))
+
+
 def baskets(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
     return bk.filter_baskets(df, "l_orderkey", "p_brand")
 
 
-def pair_rules(spark, sf, confidence=0.0):
-    return bk.rules(bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT), confidence)
+def itemsets(spark, sf, support=SUPPORT):
+    return bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", support)
 
 
-@query(
-    "c01_frequent_itemsets",
-    ITEMS + f""", f as (select i as items, c, 1 as size from s union all select least(a, z) || ' + ' || greatest(a, z), c, 2 from p where a < z)
-    select items, cast(c as bigint) as freq, {R('c / n')} as support from f, n where c >= ceil({SUPPORT} * n)""",
-)
-def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT)
-    return sets.select(F.array_join("items", " + ").alias("items"), "freq", rnd("support").alias("support"))
+def labelled(spark, sf, support=SUPPORT, confidence=0.0):
+    return bk.label_rules(bk.rules(itemsets(spark, sf, support), confidence))
 
 
-TRIPLES = ITEMS + """, q as (select x.i as a, y.i as b, z.i as z, count(*) as c from t x join t y on x.b = y.b and x.i < y.i join t z on y.b = z.b and y.i < z.i group by 1, 2, 3),
-f as (select i as items, c from s union all select a || ' + ' || z, c from p where a < z union all select a || ' + ' || b || ' + ' || z, c from q),
-k as (select items, c from f, n where c >= ceil(0.002 * n.n)) """
+def _rounded(df, *first):
+    return df.select(*first, *[rnd(c).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query("c01_frequent_itemsets_to_three", TRIPLES + "select items, cast(c as bigint) as freq from k")
+@query("c01_frequent_itemsets", mined(SUPPORT) + f"select array_to_string(items, ' + ') as items, cast(c as bigint) as freq, {R('c / n')} as support from k, n")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
-    return sets.select(F.array_join("items", " + ").alias("items"), "freq")
+    return itemsets(spark, sf).select(F.array_join("items", " + ").alias("items"), "freq", rnd("support").alias("support"))
 
 
-SIDES = [("a", "b + z"), ("b", "a + z"), ("z", "a + b"), ("b + z", "a"), ("a + z", "b"), ("a + b", "z")]
-THREES = TRIPLES + ", v as (" + " union all ".join(
-    "select {} as x, {} as y, c from q".format(*[side.replace(" + ", " || ' + ' || ") for side in pair]) for pair in SIDES
-) + f""")
-select v.x as antecedents, v.y as consequents, case when contains(v.x, ' + ') then '2 - 1' else '1 - 2' end as combo, {R('v.c / n.n')} as support, {R('v.c / l.c')} as confidence,
-{R('(v.c / l.c) / (r.c / n.n)')} as lift from v join k l on l.items = v.x join k r on r.items = v.y, n where v.c >= ceil(0.002 * n.n) and v.c / l.c >= 0.05"""
+@query("c01_frequent_itemsets_any_size", mined(0.002) + "select array_to_string(items, ' + ') as items, cast(c as bigint) as freq from k")
+def _(spark, sf):
+    return itemsets(spark, sf, 0.002).select(F.array_join("items", " + ").alias("items"), "freq")
 
 
-@query("c02_association_rules_of_three", THREES)
+@query("c01_frequent_itemsets_to_three", mined(0.004) + "select array_to_string(items, ' + ') as items, len(items) as size, cast(c as bigint) as freq from k")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
-    r = bk.label_rules(bk.rules(sets, 0.05)).filter("combo <> '1 - 1'")
-    return r.select("antecedents", "consequents", "combo", *[rnd(c).alias(c) for c in ("support", "confidence", "lift")])
+    """Itemsets of any size at a support where the test tables have some of three items."""
+    return itemsets(spark, sf, 0.004).select(F.array_join("items", " + ").alias("items"), F.size("items").cast("long").alias("size"), "freq")
 
 
-@query("c01_frequent_itemsets_any_size")
+@query("c02_association_rules_of_three", ruled(0.002) + f"select antecedents, consequents, combo, {FIGURES} from r where combo <> '1 - 1' and confidence >= 0.05")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.002)
-    return sets.select(F.array_join("items", " + ").alias("items"), "freq")
+    """Rules of three items and more."""
+    return _rounded(labelled(spark, sf, 0.002, 0.05).filter("combo <> '1 - 1'"), "antecedents", "consequents", "combo")
 
 
-@query(
-    "c02_association_rules",
-    ITEMS + f"select a as antecedent, z as consequent, {R('support')} as support, {R('confidence')} as confidence, {R('lift')} as lift from r, n where r.c >= ceil({SUPPORT} * n.n)",
-)
+@query("c02_association_rules", ruled(SUPPORT) + f"select antecedents as antecedent, consequents as consequent, {FIGURES} from r")
 def _(spark, sf):
-    return pair_rules(spark, sf).select(
-        F.col("antecedents")[0].alias("antecedent"), F.col("consequents")[0].alias("consequent"), rnd("support").alias("support"),
-        rnd("confidence").alias("confidence"), rnd("lift").alias("lift"),
-    )
+    return _rounded(labelled(spark, sf), F.col("antecedents").alias("antecedent"), F.col("consequents").alias("consequent"))
 
 
-@query(
-    "c02_association_rules_top",
-    ITEMS + f"""select a as item_a, z as item_b, {R('support')} as support, {R('confidence')} as confidence, {R('lift')} as lift
-    from r, n where a < z and r.c >= ceil({SUPPORT} * n.n) order by lift desc, a, z limit 20""",
-)
+@query("c02_association_rules_top", ruled(SUPPORT) + f"select antecedents, consequents, {FIGURES} from r order by lift desc, antecedents, consequents limit 20")
 def _(spark, sf):
-    r = pair_rules(spark, sf).select(
-        F.col("antecedents")[0].alias("item_a"), F.col("consequents")[0].alias("item_b"), rnd("support").alias("support"),
-        rnd("confidence").alias("confidence"), rnd("lift").alias("lift"),
-    )
-    return r.filter("item_a < item_b").orderBy(F.col("lift").desc(), "item_a", "item_b").limit(20)
+    r = _rounded(labelled(spark, sf), "antecedents", "consequents")
+    return r.orderBy(F.col("lift").desc(), "antecedents", "consequents").limit(20)
 
 
-@query("c02_association_rules_any_size")
+@query("c02_association_rules_any_size", ruled(0.003) + f"select antecedents, consequents, combo, {FIGURES} from r where confidence >= 0.1")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.003)
-    return bk.label_rules(bk.rules(sets, 0.1))
+    return _rounded(labelled(spark, sf, 0.003, 0.1), "antecedents", "consequents", "combo")
 
 
 @query(
     "c03_rule_counts",
-    ITEMS + """, g as (select s.s as support_level, c.c as confidence_level from (values (0.01e0), (0.02e0), (0.025e0)) s(s), (values (0.1e0), (0.13e0), (0.15e0), (0.16e0)) c(c))
+    ruled(SUPPORT)
+    + """, g as (select s.s as support_level, c.c as confidence_level from (values (0.01e0), (0.02e0), (0.025e0)) s(s), (values (0.1e0), (0.13e0), (0.15e0), (0.16e0)) c(c))
     select support_level, confidence_level, count(*) filter (support >= support_level and confidence >= confidence_level) as no_rules
-    from g, (select r.* from r, n where r.c >= ceil(0.01 * n.n) and confidence >= 0.1) group by 1, 2""",
+    from g, (select * from r where confidence >= 0.1) group by 1, 2""",
 )
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", SUPPORT)
-    return bk.rule_grid(sets, [0.01, 0.02, 0.025], [0.1, 0.13, 0.15, 0.16])
+    return bk.rule_grid(itemsets(spark, sf), [0.01, 0.02, 0.025], [0.1, 0.13, 0.15, 0.16])
 
 
 @query(
@@ -122,34 +115,27 @@ def _(spark, sf):
     return df.withColumn("value", rnd("value", 8))
 
 
-@query(
-    "c05_rule_labels",
-    ITEMS + f"select a as antecedents, z as consequents, '1 - 1' as combo, {R('lift')} as lift from r, n where r.c >= ceil({SUPPORT} * n.n) and confidence >= 0.15",
-)
+@query("c05_rule_labels", ruled(SUPPORT) + f"select antecedents, consequents, combo, {R('lift')} as lift from r where confidence >= 0.15")
 def _(spark, sf):
-    return bk.label_rules(pair_rules(spark, sf, 0.15)).select("antecedents", "consequents", "combo", rnd("lift").alias("lift"))
+    return labelled(spark, sf, SUPPORT, 0.15).select("antecedents", "consequents", "combo", rnd("lift").alias("lift"))
 
 
-@query("c05_rule_size_counts")
+@query("c05_rule_size_counts", ruled(0.003) + "select combo, count(*) as n from r group by 1")
 def _(spark, sf):
-    sets = bk.frequent_itemsets(baskets(spark, sf), "l_orderkey", "p_brand", 0.003)
-    return bk.combo_counts(bk.label_rules(bk.rules(sets, 0.0)))
+    return bk.combo_counts(labelled(spark, sf, 0.003))
 
 
 @query(
     "c06_rule_graph_nodes",
-    ITEMS + f", k as (select a, z from r, n where r.c >= ceil({SUPPORT} * n.n) and confidence >= 0.16) select a as node from k union select z from k",
+    ruled(SUPPORT) + "select antecedents as node from r where confidence >= 0.16 union select consequents from r where confidence >= 0.16",
 )
 def _(spark, sf):
-    return bk.rule_graph(bk.label_rules(pair_rules(spark, sf, 0.16)))[0]
+    return bk.rule_graph(labelled(spark, sf, SUPPORT, 0.16))[0]
 
 
-@query(
-    "c06_rule_graph_edges",
-    ITEMS + f"select a as src, z as dst, {R('lift')} as weight from r, n where r.c >= ceil({SUPPORT} * n.n) and confidence >= 0.16",
-)
+@query("c06_rule_graph_edges", ruled(SUPPORT) + f"select antecedents as src, consequents as dst, {R('lift')} as weight from r where confidence >= 0.16")
 def _(spark, sf):
-    edges = bk.rule_graph(bk.label_rules(pair_rules(spark, sf, 0.16)))[1]
+    edges = bk.rule_graph(labelled(spark, sf, SUPPORT, 0.16))[1]
     return edges.withColumn("weight", rnd("weight"))
 
 
