@@ -307,6 +307,24 @@ def test_gap_alignment_is_shortest():
         assert sum(i < 0 or j < 0 or a[i] != b[j] for i, j in columns) == cost[len(a), len(b)]
 
 
+def test_similar_parts_against_all_parts():
+    """Every part that qualifies has its equal columns in a part given, whatever its sum is beside others."""
+    rng = random.Random(7)
+    cases = [([1] * 45 + [0] * 4 + [1] * 12, 50), ([1] * 3 + [0] + [1] * 44 + [0] + [1] * 3, 50), ([0, 1, 1, 1, 1], 5), ([1] * 48 + [0] * 2, 50), ([], 5), ([0] * 60, 50)]
+    for _ in range(300):
+        share = rng.choice([0.5, 0.75, 0.8, 0.9])
+        cases.append(([int(rng.random() < share) for _ in range(rng.randint(0, 60))], rng.choice([3, 10, 20])))
+    for equal, least in cases:
+        got = chaining.similar_parts(np.array(equal, bool), least)
+        assert all(b - a >= least and 5 * sum(equal[a:b]) >= 4 * (b - a) for a, b in got)
+        assert not any(x != y and y[0] <= x[0] and x[1] <= y[1] for x in got for y in got)
+        for a in range(len(equal)):
+            for b in range(a + least, len(equal) + 1):
+                if 5 * sum(equal[a:b]) >= 4 * (b - a):
+                    ones = [i for i in range(a, b) if equal[i]]
+                    assert any(x <= ones[0] and ones[-1] < y for x, y in got), (equal, least, a, b)
+
+
 def test_fuzzy_passages(spark, awkward, nothing):
     rng = random.Random(9)
     passage = sentence(rng, 80).split(" ")
