@@ -8,7 +8,7 @@ word to the right and to the left, and what they cover together is joined into p
 
 The neighbour that shares most to the right need not share most to the left. So where more
 suffixes begin alike than a suffix is compared with, those of its passages that no neighbour has
-covered are looked up by the hash of their words.
+covered are looked up by the hash of their words among all passages of such suffixes.
 """
 
 from collections.abc import Iterator
@@ -138,23 +138,51 @@ def _open(rows: _Rows, kmer: int, first: bool, last: bool) -> np.ndarray:
     return back | ahead
 
 
-def _uncovered(rows: _Rows, chosen: np.ndarray, least_words: int, kmer: int) -> dict:
-    """Passages of the chosen rows that lie outside what their neighbours have matched, by hash."""
+def _passages(rows: _Rows, chosen: np.ndarray, least_words: int, kmer: int) -> dict:
+    """Passages of the chosen rows by hash.
+
+    Those that lie outside what the row's neighbours have matched, one by one. The covered ones
+    too, since another row's uncovered passage may be among them, but each once: without a place,
+    from its smallest document (id) to its largest (least_other).
+    """
+    if not len(chosen):
+        return {"id": []}
     before, after, _ = _compare(rows, least_words, kmer)
-    own, back, hashes = [], [], []
-    for o in range(int(rows.lefts[chosen].max(initial=0)) + 1):
+    before, after, ids = before[chosen], after[chosen], rows.id[chosen]
+    # Equal surroundings lie together and are hashed once.
+    i, j = chosen[1:], chosen[:-1]
+    new = (rows.right[i] != rows.right[j]).any(axis=1) | (rows.left[i] != rows.left[j]).any(axis=1)
+    new |= (rows.rights[i] != rows.rights[j]) | (rows.lefts[i] != rows.lefts[j])
+    first, kind = np.append(0, np.flatnonzero(new) + 1), np.append(0, np.cumsum(new))
+    one, low, high = chosen[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+    own, back, hashes, covered = [], [], [], []
+    for o in range(int(rows.lefts[one].max()) + 1):
         ahead = least_words - o
-        fits = (rows.lefts[chosen] >= o) & (rows.rights[chosen] >= ahead)
-        i = chosen[fits & ((before[chosen] < o) | (after[chosen] < ahead))]
-        if len(i):
-            words = np.concatenate([rows.left[i, :o][:, ::-1], rows.right[i, :ahead]], axis=1).astype(np.uint64)
-            own.append(i)
-            back.append(np.full(len(i), o))
-            hashes.append(kmer_hashes(words.T, least_words)[0])
+        fits = (rows.lefts[one] >= o) & (rows.rights[one] >= ahead)
+        if not fits.any():
+            continue
+        words = np.concatenate([rows.left[one[fits], :o][:, ::-1], rows.right[one[fits], :ahead]], axis=1).astype(np.uint64)
+        h = np.zeros(len(one), np.int64)
+        h[fits] = kmer_hashes(words.T, least_words)[0].view(np.int64)
+        outside = (before < o) | (after < ahead)
+        i = np.flatnonzero(fits[kind] & outside)
+        own.append(i)
+        back.append(np.full(len(i), o))
+        hashes.append(h[kind[i]])
+        c = np.unique(kind[fits[kind] & ~outside])
+        covered.append(np.stack([h[c], low[c], high[c]]))
     if not own:
         return {"id": []}
-    i, back, hashes = map(np.concatenate, (own, back, hashes))
-    return {"id": rows.id[i], "at": [rows.at[k] for k in i], "before": back, "after": least_words - back, "least_other": rows.id[i], "passage": hashes.view(np.int64)}
+    i, back, hashes, (h, low, high) = np.concatenate(own), np.concatenate(back), np.concatenate(hashes), np.concatenate(covered, axis=1)
+    if len(h):
+        order = np.argsort(h, kind="stable")
+        first = np.append(0, np.flatnonzero(np.diff(h[order])) + 1)
+        h, low, high = h[order][first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+    none = np.zeros(len(h), np.int64)
+    return {
+        "id": np.append(ids[i], low), "at": [rows.at[k] for k in chosen[i]] + [None] * len(h), "before": np.append(back, none),
+        "after": np.append(least_words - back, none), "least_other": np.append(ids[i], high), "passage": np.append(hashes, h),
+    }
 
 
 def _neighbours(least_words: int, kmer: int):
@@ -179,7 +207,7 @@ def _neighbours(least_words: int, kmer: int):
         i = np.flatnonzero(_open(rows, kmer, first, last))
         # The first and last rows held are seen with all their neighbours in the batch before or after.
         inside = (first | (i >= NEIGHBOURS)) & (last | (i < len(rows) - NEIGHBOURS))
-        return batch_of(_uncovered(rows, i[inside], least_words, kmer))
+        return batch_of(_passages(rows, i[inside], least_words, kmer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[tuple] = []
@@ -238,12 +266,12 @@ def repeated_passages(
     borders = found.filter("edge is not null").groupBy("edge").applyInPandas(across, "id long, at binary, before int, after int, least_other long")
     fields = ["id", "at", "before", "after", "least_other"]
     matches = found.filter("edge is null and passage is null").select(*fields).unionByName(borders)
-    # Open passages that two documents have: an aggregate that is partial in each task, then a look-up.
+    # Uncovered passages that two documents have, the other's covered or not: an aggregate that is partial in each task, then a look-up.
     open_ = found.filter("passage is not null")
-    shared = open_.groupBy("passage").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    shared = stored(shared, "shared")
+    owners = open_.groupBy("passage").agg(F.min("id").alias("low"), F.max("least_other").alias("high"), F.max(F.col("at").isNotNull()).alias("uncovered"))
+    shared = stored(owners.filter("uncovered and low < high").drop("uncovered"), "shared")
     other = F.when(F.col("low") < F.col("id"), F.col("low")).otherwise(F.col("high"))
-    looked_up = open_.drop("least_other").join(shared, "passage").withColumn("least_other", other)
+    looked_up = open_.filter("at is not null").drop("least_other").join(shared, "passage").withColumn("least_other", other)
     matches = matches.unionByName(looked_up.select(*fields))
 
     def places(at: pd.Series) -> pd.Series:

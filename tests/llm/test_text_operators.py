@@ -272,6 +272,24 @@ def test_repeated_passages_of_many(spark):
     assert got == exact_passages(docs, 16)
 
 
+def test_repeated_passages_of_copies_and_a_third(spark):
+    """Two copies cover each other; a third document shares with them a rare beginning and a frequent line, and sorts far off."""
+    rng = random.Random(11)
+    line = sentence(rng, 10)
+    around = lambda middle: f"{sentence(rng, 12)} {middle} {sentence(rng, 12)}"
+    texts = [around(line) for _ in range(80)]
+    for _ in range(12):
+        rare = f"{sentence(rng, 8)} {line}"
+        copy = around(rare)
+        texts += [copy, copy, around(rare)]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = repeated_passages(df, least_words=16, kmer=4).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in rows} == exact_passages(docs, 16)
+    assert all(r["other_id"] != r["doc_id"] for r in rows)
+
+
 def test_chains_match_the_quadratic_sum():
     rng = random.Random(1)
     for _ in range(60):
