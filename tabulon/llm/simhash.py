@@ -59,15 +59,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
-    """id and fp, a signed 64-bit number, for every row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3, *more: Column) -> DataFrame:
+    """id and fp, a signed 64-bit number, for every row, and what more is asked for."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         values = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
         return pd.Series(values.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), fp(text_of(text_col).cast("binary")).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), fp(text_of(text_col).cast("binary")).alias("fp"), *more)
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -208,29 +208,54 @@ def simhash_components(
     other. Null ids are kept and count as no id; repeated rows are one node. Equal fingerprints are
     one node, so copies are never paired. An empty table gives no rows.
     """
+    found = _members(docs, id_col, text_col, size, max_bits, bucket, [])
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, size: int, max_bits: int, bucket: int, more: list[Column]) -> DataFrame:
+    """id, fp and component_id for every row; where more columns are asked for, these and a name of the component."""
     small_batches(docs.sparkSession)
-    fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints", compact=True)
+    fps = stored(fingerprints(docs, id_col, text_col, size, *more), "fingerprints", compact=True)
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     linked = components(near_links(nodes, max_bits, bucket))
     members = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least")
     labels = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = members.join(labels, "root").select(F.col("fp").alias("_fp"), "component_id")
-    every = nodes.join(joined, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
+    root = ["root"] if more else []
+    joined = members.join(labels, "root").select(F.col("fp").alias("_fp"), "component_id", *root)
+    named = [F.coalesce("root", "fp").alias("component")] if more else []
+    every = nodes.join(joined, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"), *named)
     # Written, so that the join below has plain shuffles on both sides and a hot fingerprint can be split.
     every = stored(every, "labels")
-    found = fps.join(every, F.col("fp") == F.col("_fp"))
-    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(every, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 3
 ) -> DataFrame:
-    """The rows of ``docs`` that stay: in every component the one with the smallest id.
+    """The rows of ``docs`` that stay: exactly one in every component.
 
-    Rows are known by their id, so ids should be unique; rows without id stay if nothing in their
-    component has one.
+    It is the one with the smallest id; rows without id come last. Rows are known by their id and a
+    64-bit mark of their text. Of several texts with that id the one with the smallest mark stays,
+    and of rows with that id and text any one.
     """
-    found = simhash_components(docs, id_col, text_col, size, max_bits)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = stored(gone, "near-copies")
-    return docs.join(gone, null_safe(docs, gone, {id_col: "_gone"}), "left_anti")
+    mark = F.xxhash64(text_of(text_col))
+    found = _members(docs, id_col, text_col, size, max_bits, BUCKET, [mark.alias("mark")])
+    found = found.select("component", F.col("id").alias("_gone"), "mark", F.col("id").eqNullSafe(F.col("component_id")).alias("first"))
+    # More rows than one with the id that stays; mostly there are none.
+    firsts = found.filter("first")
+    ties = firsts.groupBy("component").agg(F.min("mark").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    tied = firsts.join(stored(ties, "ties"), "component").groupBy("_gone", "mark", "keep").agg(F.count(F.lit(1)).alias("n"))
+    tied = stored(tied, "tied")
+    gone = found.filter("not first").select("_gone", "mark").distinct()
+    gone = stored(gone.unionByName(tied.filter("mark <> keep").select("_gone", "mark")), "near-copies")
+    repeated = tied.filter("mark = keep and n > 1").select("_gone", "mark")
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(rows, null_safe(docs, rows, {id_col: "_gone"}) & (mark == rows["mark"]), how)
+
+    if repeated.isEmpty():
+        return among(gone, "left_anti")
+    # Any one of equal rows: an aggregate that is partial in each task.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = among(repeated, "left_semi").groupBy(F.col(id_col), mark).agg(F.first(whole).alias("_row")).select("_row.*")
+    return among(gone.unionByName(repeated), "left_anti").unionByName(one)

@@ -97,6 +97,21 @@ def test_simhash(awkward, nothing):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] not in (None, 500)) == sorted(i for i in set(want.values()) if i != 500)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows without id and ids with several texts: a copy that goes takes no other row with it."""
+    rng = random.Random(13)
+    a, b, c, d, alone, lone = (sentence(rng, 40) for _ in range(6))
+    docs = [
+        (3, a), (8, a.upper()), (None, a), (None, alone), (None, lone), (None, b), (None, b.upper()), (None, b.title()),
+        (8, sentence(rng, 30)), (9, c), (9, c.upper()), (9, c), (2, d), (2, d),
+    ]
+    df = spark.createDataFrame([(*r, f"n{i}") for i, r in enumerate(docs)], "doc_id long, text string, mark string").repartition(4)
+    kept = sim.drop_near_copies(df)
+    assert kept.columns == df.columns
+    got = Counter((r["doc_id"], az(r["text"])) for r in kept.collect())
+    assert got == Counter({(3, a): 1, (None, alone): 1, (None, lone): 1, (None, b): 1, (8, docs[8][1]): 1, (9, c): 1, (2, d): 1})
+
+
 @pytest.mark.parametrize("max_bits,bucket", [(3, 8192), (3, 5), (2, 8192), (5, 6)])
 def test_near_links_lose_nothing(spark, max_bits, bucket):
     """Clusters of fingerprints a few bits apart, some in buckets that are cut into blocks."""
