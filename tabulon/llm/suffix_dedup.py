@@ -107,7 +107,7 @@ def _compare(rows: _Rows, least_words: int, kmer: int) -> tuple[np.ndarray, np.n
     # Only rows that begin with the same k words can match.
     head = rows.right[:, :kmer]
     group = np.append(0, np.cumsum((head[1:] != head[:-1]).any(axis=1))) if n else np.zeros(0, int)
-    for step in range(1, NEIGHBOURS + 1):
+    for step in range(1, min(NEIGHBOURS, n - 1) + 1):
         j = np.flatnonzero((group[step:] == group[: n - step]) & (rows.id[step:] != rows.id[: n - step]))
         if not len(j):
             continue

@@ -287,6 +287,29 @@ def test_repeated_passages_of_many(spark):
     assert got == exact_passages(docs, 16)
 
 
+@pytest.mark.parametrize("n", range(9))
+def test_repeated_passages_of_few(spark, n):
+    """Tasks with few suffixes or none: n words in each of two documents, over one task and over four."""
+    passage = sentence(random.Random(n), 40 + 3 * n)
+    docs = spark.createDataFrame([(1, passage), (2, passage), (3, passage + " more")][: 1 + n % 3], "doc_id long, text string")
+    for tasks in (1, 4):
+        got = {(r["doc_id"], r["start"], r["end"]) for r in repeated_passages(docs.repartition(tasks)).collect()}
+        assert got == exact_passages(rows_of(docs), 50)
+
+
+def test_few_suffixes_in_a_task():
+    """0 to 20 suffixes, all alike, of documents of their own."""
+    from tabulon.llm import suffix_dedup as sd
+
+    word = bytes(sd.CODE)
+    for n in range(21):
+        rows = sd._Rows(range(n), [word * 60] * n, [b""] * n, [b""] * n, 60)
+        before, after, other = sd._compare(rows, 60, 8)
+        assert (after == (60 if n > 1 else 0)).all() and (before == 0).all()
+        if n > 1:
+            assert list(other[:3]) == [1, 0, 0][: min(n, 3)]
+
+
 def test_repeated_passages_of_copies_and_a_third(spark):
     """Two copies cover each other; a third document shares with them a rare beginning and a frequent line, and sorts far off."""
     rng = random.Random(11)
