@@ -9,6 +9,7 @@ from tabulon.llm.packing import pack
 from tabulon.llm.passage_dedup import fuzzy_passages
 from tabulon.llm.secret_scan import scan_secrets
 from tabulon.llm.simhash import simhash_components
+from tabulon.llm.spelling import spelling_variants
 from tabulon.llm.suffix_dedup import repeated_passages
 from tabulon.llm.token_counts import token_counts
 from tabulon.llm.toxicity import fit_chain, label_categories, score_toxicity
@@ -161,3 +162,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     judged = judge_urls(table(spark, sf, "pages"), rules, page_outcomes(table(spark, sf, "labels")))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
