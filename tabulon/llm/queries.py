@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm.decontamination import contamination
 from tabulon.llm.exact_dedup import exact_groups
+from tabulon.llm.negatives import hard_negatives
 from tabulon.llm.packing import pack
 from tabulon.llm.passage_dedup import fuzzy_passages
 from tabulon.llm.secret_scan import scan_secrets
@@ -164,6 +165,30 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query(
+    "op11_hard_negatives",
+    """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+      list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    pairs as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+      cast(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), i -> a.q[i] * b.q[i])) as bigint) as score
+      from v as a join v as b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    pos as (select anchor_id, other as positive_id, score as positive_score from pairs where same
+      qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+    neg as (select anchor_id, positive_id, other as negative_id, positive_score, score as negative_score,
+      row_number() over (partition by anchor_id, positive_id order by score desc, other) as place
+      from pos join pairs using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+    select anchor_id, positive_id, cast(place as int) as rank, negative_id, positive_score, negative_score from neg where place <= 5""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, x = table(spark, sf, "embeddings"), F.col("embedding")
+    finite = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
+    whole = F.transform(x, lambda c: F.floor(c.cast("double") * 256))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.filter(finite).select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("vector")))
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_variants(table(spark, sf, "documents"))

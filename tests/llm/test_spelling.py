@@ -82,7 +82,7 @@ def test_variants_against_all_pairs(spark):
 def test_awkward_texts(awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     assert found(sp.spelling_variants(awkward)) == brute(rows)
-    assert found(sp.spelling_variants(awkward, least_letters=2, least_count=1)) == brute(rows, 2, 1)
+    assert found(sp.spelling_variants(awkward, least_letters=4, least_count=2)) == brute(rows, 4, 2)
     assert sp.spelling_variants(nothing).count() == 0
 
 
