@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm.decontamination import contamination
 from tabulon.llm.exact_dedup import exact_groups
+from tabulon.llm.license_rules import BASE, LEFT, RIGHT, rules
+from tabulon.llm.license_scan import scan_licenses
 from tabulon.llm.negatives import hard_negatives
 from tabulon.llm.packing import pack
 from tabulon.llm.passage_dedup import fuzzy_passages
@@ -168,11 +170,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "op11_hard_negatives",
     """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-      list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+      list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
       where vec_id is not null and label is not null and embedding is not null
-        and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     pairs as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
-      cast(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), i -> a.q[i] * b.q[i])) as bigint) as score
+      cast(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])) as bigint) as score
       from v as a join v as b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
     pos as (select anchor_id, other as positive_id, score as positive_score from pairs where same
       qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
@@ -192,3 +194,33 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_variants(table(spark, sf, "documents"))
+
+
+_LICENSE_ROWS = ", ".join(f"('{r.label}', '{r.keyword}', '{r.pattern}', {r.priority}, {r.weight}::double, {k})" for k, r in enumerate(rules()))
+
+
+@query(
+    "op13_license_scan",
+    f"""with d as (select row_number() over () as r, doc_id, {WORDS} as ws from documents),
+    rules(label, keyword, pattern, priority, weight, place) as (values {_LICENSE_ROWS}),
+    words as (select r, unnest(ws) as word, unnest(range(0, len(ws))) as i from d),
+    around as (select r, i, word, ' ' || array_to_string(list_transform(ws[greatest(i - {LEFT} + 1, 1):i], lambda w: w || ' '), '') || '@'
+        || array_to_string(ws[i + 1:i + {RIGHT} + 1], ' ') || ' ' as win
+      from words join d using (r) where word in (select keyword from rules)),
+    tried as (select r, i, rules.*, regexp_extract(win, pattern) as m from around join rules on keyword = word),
+    cuts as (select *, i - (length(split_part(m, '@', 1)) - length(replace(split_part(m, '@', 1), ' ', ''))) + 1 as start from tried where m <> ''),
+    spans as (select *, start + length(m) - length(replace(m, ' ', '')) - 1 as stop from cuts),
+    kept as (select * from spans as a where not exists (select 1 from spans as b where b.r = a.r and b.start <= a.start and b.stop >= a.stop
+      and b.priority >= a.priority and (b.start < a.start or b.stop > a.stop or b.priority > a.priority or b.place < a.place))),
+    base as (select r, count(*) as n_base, min(start) as first_word, max(start) as last_word,
+      string_agg(distinct label, ',' order by label) as base_labels from spans where priority = {BASE} group by r),
+    every as (select r, string_agg(distinct label, ',' order by label) as labels
+      from (select r, label from kept union select r, label from spans where priority = {BASE}) as u group by r),
+    best as (select r, max(weight) as score, count(*) as n_detections from kept group by r)
+    select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
+      cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+      coalesce(score, 0::double) as score, coalesce(n_detections, 0) as n_detections
+    from d left join base using (r) left join every using (r) left join best using (r)""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
