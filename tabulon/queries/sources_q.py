@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tabulon.plans.shared import scratch_path
 from tabulon.queries.registry import R, day, query, rnd, table
 from tabulon.sources import files
+from tabulon.sources.arrow_files import read_arrow, write_arrow
 
 SUMMARY = f"""select o_orderstatus, count(*) as n, {R('sum(o_totalprice)', 2)} as total,
   cast(max(o_custkey) as bigint) as max_cust from orders group by o_orderstatus"""
@@ -145,3 +146,20 @@ def _(spark, sf):
         "p_partkey", F.lower(F.trim("p_name")).alias("name"), F.lower("p_type").alias("kind")
     )
     return files.read_columnar(spark, files.write_table(clean, scratch_path(spark, "part")))
+
+
+@query(
+    "s07_read_arrow",
+    f"""select lang, count(*) as n, sum(n_chars) as chars, {R('avg(length(source))')} as mean_source from documents group by lang""",
+)
+def _(spark, sf):
+    path = write_arrow(table(spark, sf, "documents").repartition(4), scratch_path(spark, "arrow"))
+    df = read_arrow(spark, path, ["lang", "n_chars", "source"])
+    return df.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("chars"), rnd(F.avg(F.char_length("source"))).alias("mean_source")
+    )
+
+
+@query("s13_write_arrow", "select doc_id, text, lang, source, n_chars from documents")
+def _(spark, sf):
+    return read_arrow(spark, write_arrow(table(spark, sf, "documents"), scratch_path(spark, "arrow"), compression="zstd"))
