@@ -150,7 +150,7 @@ def _(spark, sf):
 
 @query(
     "s07_read_arrow",
-    f"""select lang, count(*) as n, sum(n_chars) as chars, {R('avg(length(source))')} as mean_source from documents group by lang""",
+    f"""select lang, count(*) as n, cast(sum(n_chars) as bigint) as chars, {R('avg(length(source))')} as mean_source from documents group by lang""",
 )
 def _(spark, sf):
     path = write_arrow(table(spark, sf, "documents").repartition(4), scratch_path(spark, "arrow"))

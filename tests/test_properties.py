@@ -115,19 +115,52 @@ def test_quantiles_against_numpy(numbers):
             assert r["value"] == pytest.approx(np.quantile(p["x"], r["prob"]), rel=1e-12)
 
 
-def test_topk_products_against_brute_force(spark):
+@pytest.mark.parametrize("how", [{}, {"shard_items": 7}, {"centres": 1, "shard_items": 5, "user_block": 4}, {"centres": 40, "shard_items": 2}])
+def test_topk_products_against_brute_force(spark, how):
     rng = np.random.default_rng(2)
     u, v = rng.normal(size=(23, 4)).round(2), rng.normal(size=(31, 4)).round(2)
-    users = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(u)], "u long, vec array<double>")
-    items = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "i long, vec array<double>")
-    seen = {(int(a), int(b)) for a, b in zip(rng.integers(0, 23, 200), rng.integers(0, 31, 200))} | {(5, j) for j in range(29)}
-    pairs = spark.createDataFrame(sorted(seen), "u long, i long")
-    got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in rk.topk_products(users, items, 4, "u", "i", "vec", pairs, block=5).collect()}
+    # Equal items tie, a zero vector scores 0 everywhere, and half of the items are one vector.
+    v = np.vstack([v, v[3], v[3] * 0, *[v[7]] * 30])
+    users = spark.createDataFrame([(f"u{i}", [float(x) for x in r]) for i, r in enumerate(u)] + [("none", None)], "u string, vec array<double>")
+    items = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(-1, None)], "i long, vec array<double>").repartition(3)
+    n = len(v)
+    seen = {(int(a), int(b)) for a, b in zip(rng.integers(0, 23, 400), rng.integers(0, n, 400))} | {(5, j) for j in range(n - 2)}
+    pairs = spark.createDataFrame([(f"u{a}", b) for a, b in sorted(seen)] + [("u1", 99), (None, 1), ("gone", 2), ("u2", None)], "u string, i long")
+    rows = rk.topk_products(users, items, 4, "u", "i", "vec", pairs, **how).collect()
+    got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in rows}
+    assert len(rows) == len(got)
     for a in range(23):
-        left = sorted([(-float(u[a] @ v[b]), b) for b in range(31) if (a, b) not in seen])[:4]
+        left = sorted([(-np.einsum("i,i", u[a], v[b]).round(9), b) for b in range(n) if (a, b) not in seen])[:4]
         for rank, (s, b) in enumerate(left, 1):
-            assert got[a, rank][1] == pytest.approx(-s)
-        assert (a, len(left) + 1) not in got
+            assert got[f"u{a}", rank] == (b, pytest.approx(-s))
+        assert (f"u{a}", len(left) + 1) not in got
+    assert not [key for key in got if key[0] == "none"]
+    assert rk.topk_products(users, items.limit(0), 4, "u", "i", "vec", pairs).count() == 0 and rk.topk_products(users.limit(0), items, 4, "u", "i", "vec").count() == 0
+
+
+def test_blocks_that_cannot_win_are_skipped():
+    from tabulon.operators import best_k as bk
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 3000)] * 5 + rng.normal(size=(3000, 12)) * 0.3
+    centres = bk.fit_centres(x[:500], 24)
+    own = bk.nearest_centre(x, centres)
+    at = [np.flatnonzero(own == b) for b in range(24)]
+    radius = np.array([np.sqrt(((x[i] - c) ** 2).sum(axis=1)).max(initial=0) for i, c in zip(at, centres)])
+    length = np.array([np.sqrt((x[i] ** 2).sum(axis=1)).max(initial=0) for i in at])
+    ones = np.array([int(len(i) > 0) for i in at])
+    blocks = bk.Blocks(centres, radius, length, np.arange(24), ones, 24)
+    shard = bk.Shard(blocks, list(range(3000)), own, x)
+    for _ in range(30):
+        u, hidden = rng.normal(size=12), rng.integers(0, 3000, 200).tolist()
+        found, visited = shard.best(u, 5, None, hidden)
+        want = sorted((-s, i) for i, s in enumerate(x @ u) if i not in hidden)[:5]
+        assert [i for i, _ in found] == [i for _, i in want] and visited < ones.sum() / 2
+        # With the k-th score known, only blocks that reach it are visited, and shards that hold none are not asked.
+        again, fewer = shard.best(u, 5, found[-1][1], hidden)
+        assert again == found and fewer <= visited
+        home, others = blocks.wanted(u, found[-1][1])
+        assert {int(own[i]) for i, _ in found} <= {home, *others} and len(others) < ones.sum() / 2
 
 
 def test_nearest_leaves_out_itself(spark):
