@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import models as md, regression as rg
 from tabulon.operators.rows import split
+from tabulon.operators.trees import tree_contributions
 
 from tabulon.queries.regression_q import ols2
 from tabulon.queries.registry import R, query, rnd, table
@@ -143,6 +144,24 @@ def _(spark, sf):
     return md.mean_contribution(md.contributions(fit, _li(spark, sf), xs), xs).withColumn("mean_abs", rnd("mean_abs", 4))
 
 
+@query("m14_tree_contributions", f"select count(*) as n, 0e0 as gap, 0e0 as left_over, {R('avg(l_extendedprice)', 2)} as base from lineitem")
+def _(spark, sf):
+    """Effects add up to the prediction less the base; over the training rows they balance, and the base is the mean."""
+    model, data = md.fit_gbt(_li(spark, sf), "l_extendedprice", XS, trees=5, depth=3)
+    df = tree_contributions(model, model.transform(data), XS, data)
+    total = sum(F.col(f"{x}_effect") for x in XS)
+    return df.agg(
+        F.count("*").alias("n"), rnd(F.max(F.abs(total - (F.col("prediction") - F.col("base")))), 4).alias("gap"),
+        rnd(F.avg(total), 4).alias("left_over"), rnd(F.first("base"), 2).alias("base"),
+    )
+
+
+@query("m14_mean_tree_contribution")
+def _(spark, sf):
+    model, data = md.fit_gbt(_li(spark, sf), "l_extendedprice", XS, trees=5, depth=3)
+    return md.mean_contribution(tree_contributions(model, data, XS, data), XS)
+
+
 @query(
     "m15_effect_and_spend_shares",
     CONTRIB + f""", s as (select sum(abs(b1 * (l_quantity - m1))) as e1, sum(abs(b2 * (l_discount - m2))) as e2, sum(l_quantity) as s1, sum(l_discount) as s2 from lineitem, e),
