@@ -222,7 +222,7 @@ def _sum(ms):
     return type(ms[0])(n, mean, cross)
 
 
-def _slope(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def slope(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Residual slope with a heteroskedasticity-robust error."""
     g = df.groupBy(*by).agg(
         F.sum(F.col("_rt") * F.col("_ry")).alias("ty"), F.sum(F.col("_rt") * F.col("_rt")).alias("tt"),
@@ -247,14 +247,14 @@ def treatment_effects(
     parts = []
     for t in treatments:
         controls = {**as_terms(xs), **as_terms([o for o in treatments if o != t])}
-        parts.append(_slope(residual_pairs(df, y, t, controls, folds, seed, key)).withColumn("treatment", F.lit(t)))
+        parts.append(slope(residual_pairs(df, y, t, controls, folds, seed, key)).withColumn("treatment", F.lit(t)))
     return reduce(DataFrame.unionByName, parts)
 
 
 def effect_by_segment(
     df: DataFrame, y: str, t: str, xs: Terms, segments: Sequence[str], folds: int, seed: int, key: Sequence[str]
 ) -> DataFrame:
-    return _slope(residual_pairs(df, y, t, xs, folds, seed, key), segments)
+    return slope(residual_pairs(df, y, t, xs, folds, seed, key), segments)
 
 
 def policy(df: DataFrame, effect: str, cost: float, top: int | None = None, tie: Order = ()) -> DataFrame:

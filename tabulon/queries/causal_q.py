@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import digitize
 from tabulon.operators import causal as cs, regression as rg
-from tabulon.queries.registry import R, query, rnd, table
+from tabulon.operators.segments import grown_segments
+from tabulon.queries.registry import R, U, query, rnd, table
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = ", ".join(KEY)
@@ -165,6 +166,47 @@ def _tee(spark, sf):
     return table(spark, sf, "lineitem").withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
 
 
+def _residual_sql(y: str, t: str, xs: tuple[str, str], seed: int, keep: str = "") -> str:
+    """Out-of-fold residuals (ry, rt) on two controls, by the closed form of two regressors."""
+    x, z = xs
+    one = lambda v: f"covar_pop({v}, x) as cx_{v}, covar_pop({v}, z) as cz_{v}, avg({v}) as m_{v}"
+    b1 = lambda v: f"((czz * cx_{v} - cxz * cz_{v}) / (cxx * czz - cxz * cxz))"
+    b2 = lambda v: f"((cxx * cz_{v} - cxz * cx_{v}) / (cxx * czz - cxz * cxz))"
+    rest = lambda v: f"({v} - m_{v} - {b1(v)} * (x - mx) - {b2(v)} * (z - mz))"
+    source = "(select *, cast(l_linestatus = 'O' as int) as open from lineitem)"
+    return f"""(select {keep} {rest('y')} as ry, {rest('t')} as rt from (select *, {y} as y, {t} as t, {x} as x, {z} as z, cast(floor({U(*KEY, seed=seed)} * 5) as int) as fold from {source}) as u
+      join (select f.fold, avg(x) as mx, avg(z) as mz, var_pop(x) as cxx, var_pop(z) as czz, covar_pop(x, z) as cxz, {one('y')}, {one('t')}
+        from (select distinct cast(floor({U(*KEY, seed=seed)} * 5) as int) as fold from lineitem) as f
+        join (select {y} as y, {t} as t, {x} as x, {z} as z, cast(floor({U(*KEY, seed=seed)} * 5) as int) as fold from {source}) as o on o.fold <> f.fold group by f.fold) using (fold))"""
+
+
+def _slope_sql(pairs: str, by: str = "") -> str:
+    group = f"group by {by}" if by else ""
+    by = f"{by}, " if by else ""
+    return f"""(select {by}n, ty / tt as effect, sqrt(a - 2 * (ty / tt) * b + (ty / tt) * (ty / tt) * c) / tt as se from (
+      select {by}count(*) as n, sum(rt * ry) as ty, sum(rt * rt) as tt, sum(power(rt * ry, 2)) as a, sum(power(rt, 3) * ry) as b, sum(power(rt, 4)) as c from {pairs} {group}))"""
+
+
+@query(
+    "t30_effects_of_one_treatment",
+    f"select 'l_quantity' as treatment, {R('effect', 4)} as effect, {R('se', 4)} as se, n from "
+    + _slope_sql(_residual_sql("l_extendedprice", "l_quantity", ("l_discount", "l_tax"), 123)),
+)
+def _(spark, sf):
+    out = cs.treatment_effects(_tee(spark, sf), "l_extendedprice", ["l_quantity"], ["l_discount", "l_tax"], 5, 123, KEY)
+    return out.select("treatment", rnd("effect", 4).alias("effect"), rnd("se", 4).alias("se"), "n")
+
+
+@query(
+    "t31_effect_by_return_flag",
+    f"select l_returnflag, {R('effect', 4)} as effect, {R('se', 4)} as se, n from "
+    + _slope_sql(_residual_sql("l_extendedprice", "l_quantity", ("l_discount", "l_tax"), 123, "l_returnflag,"), "l_returnflag"),
+)
+def _(spark, sf):
+    out = cs.effect_by_segment(_tee(spark, sf), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], ["l_returnflag"], 5, 123, KEY)
+    return out.select("l_returnflag", rnd("effect", 4).alias("effect"), rnd("se", 4).alias("se"), "n")
+
+
 @query("t30_double_residual_effects")
 def _(spark, sf):
     return cs.treatment_effects(_tee(spark, sf), "l_extendedprice", ["l_quantity", "open"], ["l_discount", "l_tax"], 5, 123, KEY)
@@ -193,3 +235,35 @@ def _(spark, sf):
 def _(spark, sf):
     df = cs.what_if(table(spark, sf, "lineitem"), F.col("l_discount") == 0, "l_extendedprice", 250 * F.col("l_tax"))
     return df.select(*[rnd(c, 4).alias(c) for c in df.columns])
+
+
+# Residuals on one control across folds, the moments of every value as running sums, and the best split of each node.
+GROWN = f"""with u as (select *, cast(floor({U(*KEY, seed=7)} * 5) as int) as fold, {U(*KEY, seed=8)} < 0.5 as grows from lineitem),
+fits as (select f.fold, regr_slope(l_extendedprice, l_tax) as sy, regr_intercept(l_extendedprice, l_tax) as iy, regr_slope(l_quantity, l_tax) as st,
+  regr_intercept(l_quantity, l_tax) as it from (select distinct fold from u) as f join u on u.fold <> f.fold group by f.fold),
+pairs as (select grows, l_discount, l_shipdate, cast(l_suppkey as double) as l_suppkey, l_extendedprice - iy - sy * l_tax as ry, l_quantity - it - st * l_tax as rt from u join fits using (fold)),
+grid as (select *, case when grows then 1 end as g from pairs),
+{{level1}},
+{{level2}}
+select node, {R('effect', 4)} as effect, {R('sqrt(meat) / tt', 4)} as se, n from (
+  select node, n, tt, ty / tt as effect, a - 2 * (ty / tt) * b + (ty / tt) * (ty / tt) * c as meat from (
+    select node, count(*) as n, sum(rt * ry) as ty, sum(rt * rt) as tt, sum(power(rt * ry, 2)) as a, sum(power(rt, 3) * ry) as b, sum(power(rt, 4)) as c
+    from nodes2 where not grows group by node))"""
+
+
+def _level(k: int, source: str) -> str:
+    return f"""cells{k} as (select node, f, v, sum(rt * ry) as ty, sum(rt * rt) as tt, count(*) as n from (
+    select node, rt, ry, unnest(['l_discount', 'l_suppkey']) as f, unnest([l_discount, l_suppkey]) as v from {source} where grows) group by all),
+  runs{k} as (select *, sum(ty) over w as lty, sum(tt) over w as ltt, sum(n) over w as ln, sum(ty) over a as aty, sum(tt) over a as att, sum(n) over a as an
+    from cells{k} window w as (partition by node, f order by v), a as (partition by node, f)),
+  best{k} as (select node, f, v from runs{k} where least(ln, an - ln) >= 50 and lty * lty / ltt + (aty - lty) * (aty - lty) / (att - ltt) > aty * aty / att
+    qualify row_number() over (partition by node order by lty * lty / ltt + (aty - lty) * (aty - lty) / (att - ltt) - aty * aty / att desc, f, v) = 1),
+  nodes{k} as (select s.* exclude (node), case when b.f is null then s.node when case b.f when 'l_discount' then l_discount else l_suppkey end <= b.v then 2 * s.node else 2 * s.node + 1 end as node
+    from {source} as s left join best{k} as b on s.node = b.node)"""
+
+
+@query("t31_grown_segments", GROWN.format(level1="nodes0 as (select *, 1 as node from grid), " + _level(1, "nodes0"), level2=_level(2, "nodes1")))
+def _(spark, sf):
+    df = table(spark, sf, "lineitem")
+    out = grown_segments(df, "l_extendedprice", "l_quantity", ["l_tax"], ["l_discount", "l_suppkey"], 2, 5, 7, KEY, bins=128)
+    return out.select("node", rnd("effect", 4).alias("effect"), rnd("se", 4).alias("se"), "n")
