@@ -1,6 +1,9 @@
 from statistics import NormalDist
 
+from pyspark.sql import functions as F
+
 from tabulon.operators import charts as ch
+from tabulon.operators.lowess import lowess
 from tabulon.queries.registry import R, U, query, rnd, table
 
 BINNED = """with r as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer),
@@ -110,14 +113,41 @@ def _(spark, sf):
     return ch.smooth(li, "l_quantity", "l_extendedprice", 40, 0.3).select("point", rnd("x").alias("x"), rnd("trend", 4).alias("trend"))
 
 
+PROFILED = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "toxic": "int"}
+
+
 @query(
     "v09_profile",
-    """select * from (values ('doc_id', 'bigint'), ('lang', 'string'), ('quality', 'int'), ('toxic', 'int')) t("column", type)
-    join (select 'doc_id' as "column", count(*) as n_rows, count(doc_id) as n_present from documents
-    union all select 'lang', count(*), count(lang) from documents
-    union all select 'quality', count(*), count(quality) from documents left join labels using (doc_id)
-    union all select 'toxic', count(*), count(toxic) from documents left join labels using (doc_id)) using ("column")""",
+    " union all ".join(f"""select '{c}' as "column", '{t}' as type, count(*) as n_rows, count({c}) as n_present from documents left join labels using (doc_id)""" for c, t in PROFILED.items()),
 )
 def _(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
-    return ch.profile(df)
+    return ch.profile(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"))
+
+
+def _lowess_sql(table_: str, x: str, y: str, share: float, rounds: int, anchors: int) -> str:
+    """Nearest rows by rank of distance, local lines, medians and bisquare weights, round by round."""
+    head = f"""r as (select row_number() over (order by {x}, {y}) as id, {x}::double as x, {y}::double as y from {table_} where {x} is not null and {y} is not null),
+    total as (select count(*) as n from r),
+    a as (select distinct x as spot from (select x, row_number() over (order by x) as k from r)
+      where k in (select 1 + cast(round_even(g * (n - 1) / {anchors - 1}.0::double, 0) as bigint) from total, range({anchors}) as t(g))),
+    h as (select spot, d as h from (select spot, abs(x - spot) as d, row_number() over (partition by spot order by abs(x - spot)) as k from a, r), total where k = ceil({share}::double * n)),
+    w0 as (select id, 1::double as w from r)"""
+    for k in range(rounds + 1):
+        head += f""",
+    s{k} as (select spot, sum(v) as s0, sum(v * z) as s1, sum(v * z * z) as s2, sum(v * y) as t0, sum(v * z * y) as t1 from (
+      select spot, (x - spot) / h as z, y, w * power(1 - power(abs(x - spot) / h, 3), 3) as v from h, r join w{k} using (id) where abs(x - spot) < h) group by spot),
+    f{k} as (select spot, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) as trend from s{k})"""
+        if k < rounds:
+            head += f""",
+    g{k} as (select spot, trend, lead(spot) over (order by spot) as spot1, lead(trend) over (order by spot) as trend1 from f{k}),
+    e{k} as (select id, abs(y - (trend + (trend1 - trend) * (x - spot) / (spot1 - spot))) as e from r join g{k} on spot1 is not null and x >= spot
+      and (x < spot1 or spot1 = (select max(spot) from a))),
+    w{k + 1} as (select id, case when e < 6 * m then power(1 - power(e / (6 * m), 2), 2) else 0 end as w from e{k}, (select median(e) as m from e{k}))"""
+    return f"with {head} select {R('spot', 4)} as x, {R('trend', 4)} as trend, {R('h', 4)} as width from f{rounds} join h using (spot)"
+
+
+@query("v08_robust_trend", _lowess_sql("customer", "c_acctbal", "c_nationkey + c_acctbal / 1000 + c_custkey % 7", 0.25, 2, 30))
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_acctbal", (F.col("c_nationkey") + F.col("c_acctbal") / 1000 + F.col("c_custkey") % 7).alias("y"))
+    out = lowess(c, "c_acctbal", "y", 0.25, 2, 30)
+    return out.select(rnd("x", 4).alias("x"), rnd("trend", 4).alias("trend"), rnd("width", 4).alias("width"))
