@@ -1,6 +1,5 @@
 """Models: Spark ML estimators on assembled columns, and linear searches on additive moments."""
 
-import itertools
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -20,6 +19,7 @@ from tabulon.operators.windows import adstock
 from tabulon.plans.gram import Fit, as_terms, complete, fit_moments, moments
 from tabulon.plans.ordered import Order, neighbours
 from tabulon.plans.quantiles import quantile_edges
+from tabulon.plans.shared import cut
 
 
 def assemble(df: DataFrame, xs: Sequence[str], name: str = "features") -> DataFrame:
@@ -86,15 +86,26 @@ def grid_search(
     return data.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[-1]), schema)
 
 
+def combinations(spark, grid: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Every combination of the values of a grid, as a table: the row number, read as a number with one digit per entry."""
+    total, out = 1, {}
+    for name, values in reversed(grid.items()):
+        digit = F.floor(F.col("id") / F.lit(total)) % F.lit(len(values))
+        out[name] = F.get(F.array(*[F.lit(float(v)) for v in values]), digit.cast("int"))
+        total *= len(values)
+    return spark.range(total).select("id", *[out[name].alias(name) for name in grid])
+
+
 def search_adstock(
     df: DataFrame, y: str, order: Order, grid: Mapping[str, Sequence[float]], controls: Sequence[str], ts: str, t1, t2
 ) -> DataFrame:
     """Decay rates by validation error: one row per combination, best first, with its test error.
 
     Every (channel, rate) series is built once. The cross products of all of them are taken in one
-    pass for the three parts; a combination's fit and its errors are blocks of those products.
-    ``rssd`` is the distance between the channels' shares of effect and of spend on training rows, a
-    second goal beside the error.
+    pass for the three parts; a combination's fit and its errors are blocks of those products. The
+    combinations are a table and are solved batch by batch in its tasks. ``rssd`` is the distance
+    between the channels' shares of effect and of spend on training rows, a second goal beside the
+    error (see ``pareto_front``).
     """
     wide, names = df, {}
     for c, rates in grid.items():
@@ -104,7 +115,7 @@ def search_adstock(
     wide = adstock(wide, {n: a for (c, a), n in names.items()}, order)
     cols = [*[f"{n}_adstock" for n in names.values()], *controls]
     parts = split_by_time(wide, ts, t1, t2)
-    design = complete(parts, y, as_terms(cols), ["part", *grid])
+    design = cut(complete(parts, y, as_terms(cols), ["part", *grid]))
     each = moments(design, len(cols), "part")
     # Mean distance of every series from its mean, and what was spent, for the shares.
     train = design.filter("part = 'train'")
@@ -112,30 +123,44 @@ def search_adstock(
     sizes = train.agg(*[F.avg(F.abs(F.col(f"_x{i}") - F.lit(m))).alias(f"d{i}") for i, m in wide_mean.items()], *[F.sum(c).cast("double").alias(f"s_{c}") for c in grid]).first()
     spend = np.array([sizes[f"s_{c}"] or 0.0 for c in grid])
     spend = spend / (spend.sum() or 1.0)
-    rows = []
-    for combo in itertools.product(*grid.values()):
-        use = [f"{names[c, a]}_adstock" for c, a in zip(grid, combo)] + list(controls)
-        at = [cols.index(u) for u in use]
-        pick = [*at, len(cols)]
-        part = lambda m: type(m)(m.n, m.mean[pick], m.cross[np.ix_(pick, pick)])  # noqa: B023, E731
-        fit = fit_moments(part(each["train"]), use)
-        b = np.append(-fit.coef[1:], 1.0)
-        errors = []
-        for name in ("valid", "test"):
-            if name not in each:
-                errors.append(None)
-                continue
-            t = part(each[name])
-            bias = float(b @ t.mean - fit.coef[0])
+    spread = np.array([sizes[f"d{i}"] or 0.0 for i in wide_mean])
+    first = {c: cols.index(f"{names[c, rates[0]]}_adstock") for c, rates in grid.items()}
+    held, k = [cols.index(c) for c in controls], len(grid)
+
+    def solve_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = [b[f"_{c}"].to_numpy(int) + first[c] for c in grid] + [np.full(len(b), i) for i in held] + [np.full(len(b), len(cols))]
+            pick = np.stack(at, axis=1)
+            block = lambda m: m.cross[pick[:, :, None], pick[:, None, :]]
+            train = block(each["train"])
+            sxx, sxy, syy = train[:, :-1, :-1], train[:, :-1, -1], train[:, -1, -1]
+            scale = np.sqrt(np.where((d := np.einsum("gii->gi", sxx)) > 0, d, 1.0))
+            coef = np.linalg.solve(sxx / scale[:, :, None] / scale[:, None, :], (sxy / scale)[:, :, None])[:, :, 0] / scale
+            mean = each["train"].mean[pick]
+            constant = mean[:, -1] - (mean[:, :-1] * coef).sum(axis=1)
+            away = np.concatenate([-coef, np.ones((len(b), 1))], axis=1)
+            out = {f"{c}_rate": b[c] for c in grid}
+            effect = np.abs(coef[:, :k]) * spread[pick[:, :k]]
+            total = effect.sum(axis=1, keepdims=True)
+            out["rssd"] = np.linalg.norm(effect / np.where(total > 0, total, 1.0) - spend, axis=1)
+            sse = syy - 2 * (coef * sxy).sum(axis=1) + np.einsum("gi,gij,gj->g", coef, sxx, coef)
             # Rounding can take an error of nothing just below zero.
-            errors.append(float(np.sqrt(max(0.0, b @ t.cross @ b / t.n + bias * bias))))
-        effect = np.abs(fit.coef[1 : len(grid) + 1]) * np.array([sizes[f"d{i}"] or 0.0 for i in at[: len(grid)]])
-        rssd = float(np.linalg.norm(effect / (effect.sum() or 1.0) - spend))
-        rows.append((*[float(a) for a in combo], rssd, float(np.sqrt(fit.sse / fit.n)), *errors))
+            out["train_rmse"] = np.sqrt(np.maximum(sse, 0.0) / each["train"].n)
+            for name in ("valid", "test"):
+                out[f"{name}_rmse"] = None
+                if name in each:
+                    m = each[name]
+                    bias = (away * m.mean[pick]).sum(axis=1) - constant
+                    out[f"{name}_rmse"] = np.sqrt(np.maximum(0.0, np.einsum("gi,gij,gj->g", away, block(m), away) / m.n + bias * bias))
+            yield pd.DataFrame(out)
+
     schema = ", ".join(f"{c}_rate double" for c in grid) + ", rssd double, train_rmse double, valid_rmse double, test_rmse double"
+    table = combinations(df.sparkSession, {c: range(len(rates)) for c, rates in grid.items()})
+    rated = {c: F.get(F.array(*[F.lit(float(a)) for a in rates]), F.col(c).cast("int")) for c, rates in grid.items()}
+    table = table.select(*[F.col(c).cast("int").alias(f"_{c}") for c in grid], *[r.alias(c) for c, r in rated.items()])
     # The test rows only report; they have no say in the choice. Without validation rows the fit itself decides.
-    judge = -2 if "valid" in each else -3
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[judge]), schema)
+    judge = "valid_rmse" if "valid" in each else "train_rmse"
+    return table.mapInPandas(solve_batch, schema).orderBy(judge, *[f"{c}_rate" for c in grid])
 
 
 def search_model_size(

@@ -1,9 +1,10 @@
 """Least squares from sums of products. The data stay on the cluster; k x k numbers come back."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.tails import f_sf, t_ppf, t_sf
@@ -47,6 +48,47 @@ class Moments:
         return Moments(n, mean, raw(self) - raw(other) - n * np.outer(mean, mean))
 
 
+# Up to so many columns the products are sums of their own; beyond, tasks multiply whole batches.
+NARROW = 12
+
+
+def _batch_sums(cols: list[str], centre: np.ndarray, keyed: bool):
+    """Count, sums and products of a task's rows per group, as rows (group, row of the matrix, its numbers).
+
+    The last row and column stand for a column of ones: sums and count.
+    """
+    k = len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(k).type
+            x = np.stack([batch.column(i).to_numpy() for i in range(k)], axis=1) - centre
+            codes = batch.column(k).dictionary_encode()
+            own = codes.indices.fill_null(-1).to_numpy() if keyed else np.zeros(len(x), int)
+            for g in np.unique(own):
+                some = np.column_stack([x[own == g], np.ones((own == g).sum())])
+                name = codes.dictionary[int(g)].as_py() if keyed and g >= 0 else None
+                held[name] = held.get(name, 0.0) + some.T @ some
+        for name, m in held.items():
+            yield pa.record_batch([pa.array([name] * (k + 1), kind), pa.array(range(k + 1), pa.int32()), pa.array(m.tolist(), pa.list_(pa.float64()))], ["g", "i", "m"])
+
+    return run
+
+
+def _wide_rows(design: DataFrame, cols: list[str], centre: np.ndarray, by: str | None) -> list[tuple[object, np.ndarray]]:
+    """Matrix of products of (cols, 1) per group, summed place by place."""
+    group = F.col(by).alias("g") if by else F.lit(0).alias("g")
+    kind = dict(design.dtypes)[by] if by else "int"
+    partial = design.select(*cols, group).mapInArrow(_batch_sums(cols, centre, by is not None), f"g {kind}, i int, m array<double>")
+    summed = partial.select("g", "i", F.posexplode("m").alias("j", "v")).groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
+    out: dict[object, np.ndarray] = {}
+    for r in summed.collect():
+        out.setdefault(r["g"], np.zeros((len(cols) + 1, len(cols) + 1)))[r["i"], r["j"]] = r["v"]
+    return list(out.items())
+
+
 def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
@@ -69,6 +111,13 @@ def moments(
             raise ValueError("no complete rows")
         centre = np.array([list(r) for r in some], dtype=float).mean(axis=0)
     d = {c: F.col(c) - F.lit(float(m)) for c, m in zip(cols, centre)}
+    if len(cols) > NARROW:
+        counts = {r[0]: r[1] for r in design.groupBy(F.col(by) if by else F.lit(0).alias("g")).agg(F.count_distinct(entity)).collect()} if entity else {}
+        out = {}
+        for g, m in _wide_rows(design, cols, centre, by):
+            n, shift = m[-1, -1], m[-1, :-1] / m[-1, -1]
+            out[g] = Moments(n, centre + shift, m[:-1, :-1] - n * np.outer(shift, shift), counts.get(g if by else 0, 0))
+        return out if by else next(iter(out.values()))
     sums = [F.count("*").alias("n"), *[F.sum(d[c]).alias(f"s{i}") for i, c in enumerate(cols)]]
     sums += [F.sum(d[cols[i]] * d[cols[j]]).alias(f"p{i}_{j}") for i, j in _pairs(len(cols))]
     if entity:
@@ -85,15 +134,42 @@ def moments(
     return {r[by]: unpack(r) for r in rows} if by else unpack(rows[0])
 
 
+# Up to so many unknowns LAPACK works in one thread. Its threaded form can hang beside a running JVM.
+ONE_THREAD = 32
+
+
+def _eliminate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of a x = b by elimination with row exchange, one rank-1 update per unknown."""
+    n = len(a)
+    if n <= ONE_THREAD:
+        return np.linalg.solve(a, b)
+    both = np.concatenate([a, b.reshape(n, -1)], axis=1).astype(float)
+    for i in range(n):
+        p = i + int(np.argmax(np.abs(both[i:, i])))
+        if both[p, i] == 0:
+            raise np.linalg.LinAlgError("Singular matrix")
+        both[[i, p]] = both[[p, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0.0
+        both -= factors[:, None] * both[i]
+    return both[:, n:].reshape(b.shape)
+
+
+def _scale(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+
+
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-    scaled = a / np.outer(scale, scale)
-    return (np.linalg.solve(scaled, (b.T / scale).T).T / scale).T
+    scale = _scale(a)
+    return (_eliminate(a / np.outer(scale, scale), (b.T / scale).T).T / scale).T
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
-    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-    return np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
+    scale = _scale(a)
+    if len(a) <= ONE_THREAD:
+        return np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
+    return _eliminate(a / np.outer(scale, scale), np.eye(len(a))) / np.outer(scale, scale)
 
 
 @dataclass

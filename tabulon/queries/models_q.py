@@ -5,6 +5,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabulon.operators import models as md, regression as rg
+from tabulon.operators.front import pareto_front
 from tabulon.operators.rows import split
 from tabulon.operators.trees import tree_contributions
 
@@ -81,6 +82,23 @@ def _series(spark, sf):
     return d
 
 
+@query("m08_search_front")
+def _(spark, sf):
+    """Of all rates, those that no other beats in both error and distance of the shares."""
+    cuts = datetime.date(1999, 1, 1), datetime.date(2000, 1, 1)
+    grid = {c: [i / 10 for i in range(10)] for c in ("tv", "search")}
+    return pareto_front(md.search_adstock(_series(spark, sf), "revenue", ["day"], grid, ["control"], "day", *cuts), "valid_rmse", "rssd")
+
+
+@query(
+    "m08_pareto_front",
+    """select p_partkey, p_retailprice, p_size from part as a where not exists (select 1 from part as b
+    where b.p_retailprice <= a.p_retailprice and b.p_size <= a.p_size and (b.p_retailprice < a.p_retailprice or b.p_size < a.p_size))""",
+)
+def _(spark, sf):
+    return pareto_front(table(spark, sf, "part"), "p_retailprice", "p_size").select("p_partkey", "p_retailprice", "p_size")
+
+
 @query("m08_search_adstock")
 def _(spark, sf):
     grid = {"tv": [0.1, 0.3, 0.5, 0.8], "search": [0.0, 0.2, 0.4]}
