@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from tabulon.queries.registry import R, query, rnd, table
+from tabulon.plans.shared import scratch_path
 from tabulon.streaming import twins as st
+from tabulon.streaming.state import latest, run_counting_late, run_state_updates, stream_ctr_state
 
 
 def _events(spark, sf):
@@ -93,3 +95,47 @@ def _(spark, sf):
     twice = _events(spark, sf).unionByName(_events(spark, sf))
     out = st.run_to_table(st.stream_dedup(twice, "ts", ["event_id"]), "dedup")
     return out.select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "g04_stream_ctr_state",
+    f"""select user_id % 2 as arm, count(*) as shown, cast(count(*) filter (event_type = 'click') as bigint) as clicks,
+    {R("count(*) filter (event_type = 'click') / count(*)")} as ctr, false as idle from events group by 1""",
+)
+def _(spark, sf):
+    """The log in three parts of files, each a micro-batch, with arms that expire after 60 days without rows."""
+    log = table(spark, sf, "events").select((F.col("user_id") % 2).alias("arm"), (F.col("event_type") == "click").cast("int").alias("click"), "ts", (F.col("event_id") % 3).alias("part"))
+    path = scratch_path(spark, "log")
+    for part in range(3):
+        log.filter(F.col("part") == part).drop("part").repartition(2).write.mode("append").parquet(path)
+    sdf = st.read_stream(spark, f"{path}/*.parquet", log.drop("part").schema, 2)
+    rows = stream_ctr_state(sdf, "arm", "click", "ts", "30 days", 60 * 24 * 3600 * 1000)
+    rows = run_state_updates(rows, scratch_path(spark, "ctr"), scratch_path(spark, "ctr-progress"))
+    return latest(rows, "arm").withColumn("ctr", rnd("ctr"))
+
+
+# The events come in three batches. What counts as late in a batch is what lies behind the watermark
+# with which the batch before it began: for the third, the latest time of the first less one hour,
+# in milliseconds.
+LATE = """with mark as (select date_trunc('millisecond', max(ts)) - interval 1 hour as mark from events where event_id % 3 = 1),
+e as (select events.*, event_id % 3 = 0 and ts <= mark as late from events, mark) """
+
+
+def _in_three_batches(spark, sf):
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "events")
+    for part in (1, 2, 0):
+        events.filter(F.col("event_id") % 3 == part).repartition(4).write.mode("append").parquet(path)
+    sdf = st.read_stream(spark, f"{path}/*.parquet", events.schema, 4)
+    return run_counting_late(st.stream_dedup(sdf, "ts", ["event_id"]), "late")
+
+
+@query("g05_stream_dedup_late", LATE + "select event_id, user_id, event_type, value from e where not late")
+def _(spark, sf):
+    return _in_three_batches(spark, sf)[0].select("event_id", "user_id", "event_type", "value")
+
+
+@query("g05_late_rows", LATE + "select count(*) filter (not late) as kept, count(*) filter (late) as dropped from e")
+def _(spark, sf):
+    out, dropped = _in_three_batches(spark, sf)
+    return out.agg(F.count("*").alias("kept")).withColumn("dropped", F.lit(dropped).cast("long"))
