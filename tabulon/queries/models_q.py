@@ -1,4 +1,5 @@
 import datetime
+import math
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import models as md, regression as rg
 from tabulon.operators.front import pareto_front
+from tabulon.operators.gradient import fit_layers, fit_perceptron
 from tabulon.operators.rows import split
 from tabulon.operators.trees import tree_contributions
 
@@ -54,6 +56,36 @@ def _(spark, sf):
     return model.transform(data).select("doc_id", "side", "prediction")
 
 
+# Parts on either side of a line, without those next to it.
+SIDES = "(select p_partkey, p_size / 50.0 + p_retailprice / 2000.0 - 1.1 as d from part)"
+
+
+@query("m04_perceptron_mistakes", f"select count(*) as n, count(*) filter (d > 0) as above, cast(0 as bigint) as mistakes, true as separates from {SIDES} where abs(d) > 0.05")
+def _(spark, sf):
+    d = F.col("p_size") / 50.0 + F.col("p_retailprice") / 2000.0 - 1.1
+    df = table(spark, sf, "part").withColumn("d", d).filter(F.abs("d") > 0.05).withColumn("side", F.signum("d").cast("int"))
+    df = df.withColumns({"size": F.col("p_size") / 50, "price": F.col("p_retailprice") / 2000})
+    fit = fit_perceptron(df, "side", ["size", "price"], 200)
+    wrong = F.count(F.when(fit.side(["size", "price"]) != F.col("side"), 1))
+    return df.agg(F.count("*").alias("n"), F.count(F.when(F.col("side") > 0, 1)).alias("above"), wrong.alias("mistakes")).withColumn("separates", F.lit(fit.separates))
+
+
+@query(
+    "m05_rectified_layers",
+    "select count(*) as n, true as better_than_guessing, 1e0 as total_probability, true as falls from embeddings where label is not null",
+)
+def _(spark, sf):
+    """The loss falls below that of even odds, and class probabilities add up to 1 for every row."""
+    e = table(spark, sf, "embeddings")
+    fit = fit_layers(e, "label", "embedding", [64, 16, 10], ["vec_id"], steps=25)
+    rows = fit.predict(e.filter("label is not null"), "embedding")
+    loss = F.avg(-F.log(F.get("probability", F.col("label"))))
+    return rows.agg(
+        F.count("*").alias("n"), (loss < math.log(10)).alias("better_than_guessing"),
+        rnd(F.avg(F.aggregate("probability", F.lit(0.0), lambda a, p: a + p))).alias("total_probability"),
+    ).withColumn("falls", F.lit(fit.losses[-1] < fit.losses[0]))
+
+
 @query("m05_perceptron_layers")
 def _(spark, sf):
     data = _vectors(spark, sf)
