@@ -69,12 +69,30 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFram
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: exactly one of equal texts.
 
-    Only the ids of rows to be dropped are written, beside a short mark of their texts, and joined;
-    where they are few the planner broadcasts them and no text moves again.
+    It has the largest id. Of several rows with that id, or of rows that all lack one, the one whose
+    text has the smallest 64-bit mark stays, and of rows with that id and text any one. Only the ids
+    and marks of rows that have copies are written and joined; where they are few the planner
+    broadcasts them and no text moves again.
     """
-    gone = _groups(docs, id_col, text_col, salts).filter("not kept").select(F.col(id_col).alias("_gone"), "text_mark").distinct()
+    copies = _groups(docs, id_col, text_col, salts).filter("group_size > 1").select(F.col(id_col).alias("_gone"), "text_mark", "kept", "text_sha256")
+    copies = stored(copies, "copies")
+    # More rows than one with the id that stays; mostly there are none.
+    firsts = copies.filter("kept")
+    ties = firsts.groupBy("text_sha256").agg(F.min("text_mark").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    tied = stored(firsts.join(ties, "text_sha256").groupBy("_gone", "text_mark", "keep").agg(F.count(F.lit(1)).alias("n")), "tied")
+    gone = copies.filter("not kept").unionByName(tied.filter("text_mark <> keep"), allowMissingColumns=True).select("_gone", "text_mark").distinct()
     gone = stored(gone, "dropped")
-    same_text = F.xxhash64(text_of(text_col)) == gone["text_mark"]
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & same_text, "left_anti")
+    repeated = tied.filter("text_mark = keep and n > 1").select("_gone", "text_mark")
+    mark = F.xxhash64(text_of(text_col))
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(rows, docs[id_col].eqNullSafe(rows["_gone"]) & (mark == rows["text_mark"]), how)
+
+    if repeated.isEmpty():
+        return among(gone, "left_anti")
+    # Any one of equal rows: an aggregate that is partial in each task.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = among(repeated, "left_semi").groupBy(F.col(id_col), mark).agg(F.first(whole).alias("_row")).select("_row.*")
+    return among(gone.unionByName(repeated), "left_anti").unionByName(one)
