@@ -12,7 +12,7 @@ from tabulon.operators.rows import split
 from tabulon.operators.trees import tree_contributions
 
 from tabulon.queries.regression_q import ols2
-from tabulon.queries.registry import R, query, rnd, table
+from tabulon.queries.registry import R, U, query, rnd, table
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 XS = ["l_quantity", "l_discount", "l_tax"]
@@ -328,7 +328,67 @@ def _(spark, sf):
     )
 
 
-@query("m13_importance_total", "select 3 as features, 1e0 as total")
+@query(
+    "m13_importance_total",
+    """select 3 as features, 1e0 as total, max_by(feature, size) as first from (
+      select unnest(['l_quantity', 'l_discount', 'l_tax']) as feature, unnest([abs(corr(l_quantity, l_extendedprice)), abs(corr(l_discount, l_extendedprice)), abs(corr(l_tax, l_extendedprice))]) as size from lineitem)""",
+)
 def _(spark, sf):
+    """Shares add up to 1, and the feature that moves most with the response comes first."""
     model, _ = md.fit_gbt(_li(spark, sf), "l_extendedprice", XS, trees=3, depth=3)
-    return md.importance(model, XS, spark).agg(F.count("*").cast("int").alias("features"), rnd(F.sum("importance")).alias("total"))
+    return md.importance(model, XS, spark).agg(
+        F.count("*").cast("int").alias("features"), rnd(F.sum("importance")).alias("total"), F.max_by("feature", "importance").alias("first")
+    )
+
+
+@query(
+    "m03_softmax_score",
+    f"""select 2 * quality + toxic as class, count(*) as n, {R('count(*) / sum(count(*)) over ()', 3)} as share from labels join documents using (doc_id) group by 1""",
+)
+def _(spark, sf):
+    """At the fit the mean probability of each class is its share of the rows."""
+    df = table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", "k_chars", "english"), "doc_id").withColumn("class", (2 * F.col("quality") + F.col("toxic")).cast("int"))
+    rows = md.fit_softmax(md.assemble(df, ["k_chars", "english"]), "class", iterations=300).transform(df.transform(lambda d: md.assemble(d, ["k_chars", "english"])))
+    p = vector_to_array("probability")
+    means = rows.agg(*[F.avg(F.get(p, F.lit(k))).alias(str(k)) for k in range(4)]).unpivot([], [str(k) for k in range(4)], "class", "share")
+    counts = rows.groupBy("class").agg(F.count("*").alias("n"))
+    return counts.join(means.withColumn("class", F.col("class").cast("int")), "class").select("class", "n", rnd("share", 3).alias("share"))
+
+
+@query("m06_leaf_means", f"select count(*) as n, 0e0 as gap, {R('avg(l_extendedprice)', 2)} as mean, true as at_most_eight from lineitem")
+def _(spark, sf):
+    """Every leaf of a first tree predicts the mean of its rows."""
+    model, data = md.fit_gbt(_li(spark, sf), "l_extendedprice", XS, trees=1, depth=3)
+    leaves = model.transform(data).groupBy("prediction").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean"))
+    return leaves.agg(
+        F.sum("n").alias("n"), rnd(F.max(F.abs(F.col("mean") - F.col("prediction"))), 4).alias("gap"),
+        rnd(F.sum(F.col("prediction") * F.col("n")) / F.sum("n"), 2).alias("mean"), (F.count("*") <= 8).alias("at_most_eight"),
+    )
+
+
+@query(
+    "m07_cross_validated_error",
+    f"""with u as (select *, cast(least(floor({U(*KEY, seed=1)} * 3), 2) as int) as fold from lineitem),
+    fits as (select f.fold, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a
+      from (select distinct fold from u) as f join u on u.fold <> f.fold group by f.fold),
+    errors as (select fold, sqrt(avg(power(l_extendedprice - a - b * l_quantity, 2))) as e from u join fits using (fold) group by fold)
+    select 0e0 as "regParam", {R('avg(e)', 2)} as rmse from errors""",
+)
+def _(spark, sf):
+    data = md.assemble(_li(spark, sf), ["l_quantity"])
+    est = LinearRegression(labelCol="l_extendedprice", solver="normal")
+    return md.grid_search(est, data, {"regParam": [0.0]}, "l_extendedprice", KEY).withColumn("rmse", rnd("rmse", 2))
+
+
+@query(
+    "m18_band_rows",
+    f"select count(*) as n, true as in_bands, true as rises from lineitem where {U(*KEY, seed=1)} >= 0.7",
+)
+def _(spark, sf):
+    """Every test row has a band from 1 to 5, and predictions rise with the band."""
+    parts = split(_li(spark, sf), {"train": 0.7, "test": 0.3}, 1, KEY)
+    out = md.model_bands(parts.filter("part = 'train'"), parts.filter("part = 'test'"), "l_extendedprice", XS, 5, trees=3, depth=3)
+    per = out.groupBy("band").agg(F.count("*").alias("n"), F.min("prediction").alias("low"), F.max("prediction").alias("high"))
+    rises = F.forall(F.array_sort(F.collect_list(F.struct("low", "high", "band"))), lambda x: (x["low"] <= x["high"]) & x["band"].between(1, 5))
+    later = F.array_sort(F.collect_list(F.struct("band", "low")))
+    return per.agg(F.sum("n").alias("n"), rises.alias("in_bands"), (F.transform(later, lambda x: x["low"]) == F.array_sort(F.collect_list("low"))).alias("rises"))

@@ -268,3 +268,49 @@ def _(spark, sf):
 def _(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return rk.nearest(emb, emb, 5, "vec_id", "vec_id", "vec").select("query", "vec_id", rnd("cosine").alias("cosine"))
+
+
+@query(
+    "c14_ridge_equations",
+    """select count(distinct o_custkey) as users, count(*) as pairs, 0e0 as bias, 0e0 as weights
+    from (select distinct o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey)""",
+)
+def _(spark, sf):
+    """Each user's fit: residuals add up to nothing, and beside an item's vector to the penalty times the weights."""
+    r = shared_ratings(spark, sf)
+    terms = part_terms(spark, sf).withColumnRenamed("p_partkey", "item")
+    vectors, models = rc.content_weights(r, terms, levels(terms, "term"), alpha=0.01)
+    rows = rc.recommend_content(r, vectors, models).join(vectors, "item").join(models.select("user", "weights"), "user")
+    e = F.col("rating") - F.col("predicted")
+    each = rows.select("user", e.alias("e"), F.posexplode("vec").alias("j", "x"), "weights", "rating")
+    sums = each.groupBy("user", "j").agg(
+        F.sum(F.col("e") * F.col("x")).alias("s"), F.sum(F.abs(F.col("rating"))).alias("size"), F.first(F.get("weights", "j")).alias("w"),
+        F.sum("e").alias("bias"), F.count("*").alias("n"),
+    )
+    return sums.agg(
+        F.count_distinct("user").alias("users"), F.sum(F.when(F.col("j") == 0, F.col("n"))).alias("pairs"),
+        rnd(F.max(F.abs("bias") / F.col("size"))).alias("bias"), rnd(F.max(F.abs(F.col("s") - 0.01 * F.col("w")) / F.col("size"))).alias("weights"),
+    )
+
+
+@query(
+    "c22_user_equations",
+    "select count(distinct o_custkey) as users, 0e0 as left_over from orders join lineitem on o_orderkey = l_orderkey",
+)
+def _(spark, sf):
+    """The last half step solves each user's weighted least squares given the items (penalty 0.1 a rating, confidence 1 + rating)."""
+    r = shared_ratings(spark, sf)
+    of_user, of_item = index_items(r, "user", "u"), index_items(r, "item", "i")
+    coded = cut(r.join(of_user, "user").join(of_item, "item").select(F.col("u").cast("int"), F.col("i").cast("int"), "rating"))
+    model = rc.fit_als(coded, "u", "i", "rating", rank=6, iterations=2)
+    wide = lambda df, name: df.select(F.col("id").alias(name), F.col("features").cast("array<double>").alias(f"f{name}"))
+    users, items = wide(model.userFactors, "u"), wide(model.itemFactors, "i")
+    gram = items.select([F.sum(F.col("fi")[a] * F.col("fi")[b]).alias(f"{a}_{b}") for a in range(6) for b in range(6)]).first()
+    dot = F.aggregate(F.zip_with("fu", "fi", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    met = coded.join(users, "u").join(items, "i").withColumn("d", dot)
+    push = [F.sum((F.col("rating") * (F.col("d") - 1) - 1) * F.col("fi")[a]).alias(f"p{a}") for a in range(6)]
+    size = F.sum((1 + F.col("rating")) * F.sqrt(F.aggregate("fi", F.lit(0.0), lambda s, v: s + v * v))).alias("size")
+    g = met.groupBy("u").agg(*push, size, F.count("*").alias("n"), F.first("fu").alias("fu"))
+    whole = [sum(F.lit(gram[f"{a}_{b}"]) * F.col("fu")[b] for b in range(6)) + F.col(f"p{a}") + 0.1 * F.col("n") * F.col("fu")[a] for a in range(6)]
+    gap = F.sqrt(sum(v * v for v in whole)) / F.col("size")
+    return g.agg(F.count("*").alias("users"), rnd(F.max(gap), 2).alias("left_over"))

@@ -142,3 +142,15 @@ def _(spark, sf):
 def _(spark, sf):
     df = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
     return rg.logit(df, "quality", {"k_chars": F.col("n_chars") / 1000, "english": (F.col("lang") == "en").cast("int")})
+
+
+@query("t22_logit_score", "select 0e0 as one, 0e0 as k_chars, 0e0 as english, count(*) as n from labels join documents using (doc_id)")
+def _(spark, sf):
+    """At the fit the residuals balance against every term."""
+    df = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    df = df.select("quality", F.lit(1.0).alias("one"), (F.col("n_chars") / 1000).alias("k_chars"), (F.col("lang") == "en").cast("int").alias("english"))
+    coef = {r["term"]: r["coef"] for r in rg.logit(df, "quality", ["k_chars", "english"]).collect()}
+    score = F.lit(coef["Intercept"]) + sum(F.lit(coef[x]) * F.col(x) for x in ("k_chars", "english"))
+    left = F.col("quality") - 1 / (1 + F.exp(-score))
+    sums = [rnd(F.sum(left * F.col(x)) / F.sum(F.abs(F.col(x))), 6).alias(x) for x in ("one", "k_chars", "english")]
+    return df.agg(*sums, F.count("*").alias("n"))
