@@ -1,9 +1,8 @@
 """Find secrets in text: fixed patterns, and literals that reach a name that says secret.
 
-The lexer reads assignments as source code and configuration files write them: a name, ``=``,
-``:``, ``:=`` or ``=>``, and a value of quoted literals, bare words and names joined by ``+``. A
-name that was given literals before stands for them (constant propagation), so a key that passes
-through a harmless constant is found where the literal stands. A literal is reported when the
+Assignments are read as source code and configuration files write them (``assignments``). A name
+that was given literals before stands for them (constant propagation), so a key that passes
+through harmless constants is found where the literal stands. A literal is reported when the
 sensitivity of the target's name times how much the literal looks like a secret is high enough.
 """
 
@@ -12,10 +11,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tabulon.llm.assignments import weighted_literals
 from tabulon.llm.shared import small_batches, text_of
 
 Span = tuple[int, int, str]
@@ -35,15 +36,6 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
-# A name, a sign of assignment, and where the value begins. Possessive, so no name is read twice.
-_TARGET = re.compile(
-    r"""(?<![\w$.\-])["']?+([A-Za-z_$][\w$.\-]*+)["']?+[ \t]*+(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*=(?!=)|:=|=>|=(?![=~])|:(?![:/]))[ \t]*+"""
-)
-_PART = re.compile(
-    r"""(?:[A-Za-z]{0,2}"((?:[^"\\\n]|\\.)*+)"|[A-Za-z]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9+/_.=\-$]++))"""
-)
-_PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+(?=[\"'`A-Za-z_$])")
-_NAME = re.compile(r"[A-Za-z_$][\w$.\-]*\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # How strongly a word, or two words in a row, of a name say that it holds a secret.
@@ -56,13 +48,16 @@ SENSITIVE = {
 # Literals that stand in for a secret.
 PLACEHOLDERS = {"changeme", "password", "example", "placeholder", "undefined", "required", "optional", "xxxxxxxx", "redacted"}
 LEAST_SCORE = 0.45
-# Values of one name and names of one text that are kept for propagation.
-PARTS_KEPT, LEAST_LITERAL = 16, 6
+LEAST_LITERAL = 6
+# What a name that says secret has somewhere in it.
+_ROOTS = sorted({key.split(" ")[-1] for key in SENSITIVE})
 
 
+@lru_cache(65_536)
 def name_weight(name: str) -> float:
-    """Sensitivity of a target name, from its words (snake, kebab, dotted or camel case)."""
+    """Sensitivity of a target name, from its words (snake, kebab, dotted or camel case), in the plural too."""
     words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w[:-1] if w.endswith("s") and w not in SENSITIVE and w[:-1] in _ROOTS else w for w in words]
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
     return max((SENSITIVE.get(w, 0.0) for w in [*words, *pairs]), default=0.0)
 
@@ -79,27 +74,11 @@ def literal_weight(text: str) -> float:
 
 def lexed_literals(text: str) -> list[Span]:
     """Spans of literals, without their quotes, that reach a sensitive name. Later code may use earlier names."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found: set[Span] = set()
-    if "=" not in text and ":" not in text:
+    low = text.lower()
+    if not any(root in low for root in _ROOTS):
         return []
-    for target in _TARGET.finditer(text):
-        at, parts = target.end(), []
-        while part := _PART.match(text, at):
-            group = part.lastindex
-            if group == 4 and part[4] in known:
-                parts += known[part[4]]
-            elif group != 4 or not _NAME.match(part[4]) or name_weight(target[1]):
-                parts.append(part.span(group))
-            at = part.end()
-            if not (plus := _PLUS.match(text, at)):
-                break
-            at = plus.end()
-        # A name is given anew, so what it stood for before is gone.
-        known[target[1]] = parts[:PARTS_KEPT]
-        if weight := name_weight(target[1]):
-            found.update((a, b, "literal") for a, b in parts if weight * literal_weight(text[a:b]) >= LEAST_SCORE)
-    return sorted(found)
+    found = weighted_literals(text, name_weight, LEAST_LITERAL)
+    return [(a, b, "literal") for a, b, weight in found if weight * literal_weight(text[a:b]) >= LEAST_SCORE]
 
 
 def base_spans(text: str) -> list[Span]:
