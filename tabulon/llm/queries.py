@@ -153,10 +153,11 @@ _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     {_strength("ps", "ksuf")},
     {_strength("pd", "kdom")},
     {_strength("ph", "known")},
-    suf as (select suffix, (ps.m * ps.k + sum(bad)) / (ps.k + sum(n)) as above from named, ps group by suffix, ps.m, ps.k),
-    dom as (select domain, (suf.above * pd.k + sum(bad)) / (pd.k + sum(n)) as above from named join suf using (suffix), pd
-      group by domain, suf.above, pd.k),
-    post as (select host, above * ph.k + bad as a, (1 - above) * ph.k + n - bad as b from named join dom using (domain), ph),
+    suf as (select suffix, sum(n) as sn, sum(bad) as sb from named group by suffix),
+    dom as (select domain, suffix, sum(n) as dn, sum(bad) as db from named group by domain, suffix),
+    domr as (select domain, dn, db, (ps.m * ps.k + sb - db) / (ps.k + sn - dn) as rate from dom join suf using (suffix), ps),
+    hostr as (select host, n, bad, (rate * pd.k + db - bad) / (pd.k + dn - n) as above from named join domr using (domain), pd),
+    post as (select host, above * ph.k + bad as a, (1 - above) * ph.k + n - bad as b from hostr, ph),
     rep as (select host, a / (a + b) as mean, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) as sd from post)
     select seen.page_id, seen.host, seen.path, best.rule as rule, coalesce(best.said, case when mean - 1.645 * sd > 0.5 then 'block' else 'allow' end) as verdict
     from seen left join fits on seen.page_id = fits.page_id and seen.host = fits.host and seen.path = fits.path join rep on seen.host = rep.host""",

@@ -2,7 +2,7 @@
 
 A host's rate of bad pages is shrunk towards that of its registered domain, this towards that of
 its suffix and this towards the whole, each through a beta-binomial prior whose strength is
-estimated from the spread at that level. A host is blocked when even the lower bound of its
+estimated from the spread at that level; its mean leaves out the group itself (the whole does not). A host is blocked when even the lower bound of its
 posterior lies above a limit.
 """
 
@@ -87,13 +87,17 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = BOUND_Z) -
     named = stored(named, "hosts")
     known = named.filter("n > 0")
     by_suffix, by_domain = _level(known, "suffix"), _level(known, "domain")
-    suffixes = _level(named, "suffix").withColumnRenamed("key", "suffix")
-    suffixes = _shrunk(with_scalars(suffixes, prior_strength(by_suffix)), F.col("m"))
-    suffixes = suffixes.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("above"))
+    # What a group is shrunk towards is its level above without the group itself, so no page counts twice.
+    suffixes = with_scalars(_level(named, "suffix"), prior_strength(by_suffix)).select(
+        F.col("key").alias("suffix"), F.col("n").alias("sn"), F.col("bad").alias("sb"), F.col("m").alias("m"), F.col("k").alias("sk")
+    )
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = _shrunk(with_scalars(domains, prior_strength(by_domain)), F.col("above"))
-    domains = domains.select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("above"))
-    each = _shrunk(with_scalars(named.join(domains, "domain"), prior_strength(known.select("n", "bad"))), F.col("above"))
+    above = (F.col("m") * F.col("sk") + F.col("sb") - F.col("bad")) / (F.col("sk") + F.col("sn") - F.col("n"))
+    domains = domains.select("domain", F.col("n").alias("dn"), F.col("bad").alias("db"), above.alias("rate"))
+    domains = with_scalars(domains, prior_strength(by_domain).select(F.col("k").alias("dk")))
+    near = named.join(domains, "domain")
+    above = (F.col("rate") * F.col("dk") + F.col("db") - F.col("bad")) / (F.col("dk") + F.col("dn") - F.col("n"))
+    each = _shrunk(with_scalars(near, prior_strength(known.select("n", "bad")).select("k")), above)
     weight = F.col("a") + F.col("b")
     mean = F.col("a") / weight
     half = z * F.sqrt(mean * (1 - mean) / (weight + 1))

@@ -398,6 +398,28 @@ def test_fuzzy_passages(spark, awkward, nothing):
     assert fuzzy_passages(nothing).count() == 0
 
 
+def test_fuzzy_passages_of_rows_that_ids_do_not_tell_apart(spark):
+    """Rows without id and repeated ids neither hide what others share nor go unreported."""
+    rng = random.Random(21)
+    passage, other = sentence(rng, 80), sentence(rng, 70)
+    pad = lambda: sentence(rng, 25)
+    base = [(5, pad() + " " + passage), (9, passage + " " + pad())]
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        return sorted((r["doc_id"], r["other_id"], r["n_words"]) for r in fuzzy_passages(df).collect() if r["doc_id"] is not None)
+
+    want = [(9, 5, 80)]
+    assert found(base) == want
+    alone = [(None, pad() + " " + passage + " " + pad()), (None, sentence(rng, 90))]
+    assert found(base + alone) == want and found(base + alone[:1] * 2) == want
+    rows = fuzzy_passages(spark.createDataFrame(base + alone, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["other_id"]) for r in rows) == [(0, 5), (9, 5)]
+    # Two texts under one id: both are looked at, and both go by that id.
+    twice = [(7, pad() + " " + other), (7, sentence(rng, 60)), (11, other + " " + pad()), (11, other + " " + pad())]
+    assert found(base + twice) in ([*want, (11, 7, 70), (11, 7, 70)], sorted([*want, (7, 11, 70), (11, 11, 70)]), sorted([*want, (11, 7, 70), (11, 11, 70)]), sorted([*want, (7, 11, 70), (7, 11, 70)]))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(4)
