@@ -1,7 +1,6 @@
 """Impression logs (order, arm, click 0/1): rates, regret and choice rules."""
 
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -124,9 +123,13 @@ def thompson(stats: DataFrame, arm: str) -> DataFrame:
     return stats.select(arm, a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
 
 
+# Numbers drawn at a time.
+DRAWN = 1_000_000
+
+
 def thompson_draws(posterior: DataFrame, arm: str, draws: int, seed: int) -> DataFrame:
     """Share of joint posterior draws that each arm wins. Draws are made in tasks, from one row per arm."""
-    arms = small_rows(posterior.select(arm, "alpha", "beta"), 100)
+    arms = small_rows(posterior.select(arm, "alpha", "beta"))
     arms = sorted(arms, key=lambda r: r[arm])
     names = [r[arm] for r in arms]
     a, b = np.array([float(r["alpha"]) for r in arms]), np.array([float(r["beta"]) for r in arms])
@@ -138,8 +141,12 @@ def thompson_draws(posterior: DataFrame, arm: str, draws: int, seed: int) -> Dat
             for block in batch["id"]:
                 # One generator per block of draws, seeded by its number, wherever it runs.
                 n = min(DRAW_BLOCK, draws - int(block) * DRAW_BLOCK)
-                best = np.random.default_rng([seed, int(block)]).beta(a, b, (n, len(names))).argmax(axis=1)
-                wins += np.bincount(best, minlength=len(names))
+                rng = np.random.default_rng([seed, int(block)])
+                # So many draws at a time that they stay small beside any number of arms.
+                some = max(1, DRAWN // len(names))
+                for done in range(0, n, some):
+                    best = rng.beta(a, b, (min(some, n - done), len(names))).argmax(axis=1)
+                    wins += np.bincount(best, minlength=len(names))
             yield pd.DataFrame({arm: names, "wins": wins})
 
     blocks = posterior.sparkSession.range(-(-draws // DRAW_BLOCK))
@@ -152,12 +159,15 @@ def replay(df: DataFrame, policies: Mapping[str, Column], arm: str, click: str)
     rates = df.groupBy(arm).agg(F.avg(F.col(click).cast("double")).alias("_r"))
     best = rates.select(F.max("_r")).scalar()
     rows = join_groups(df, rates, [arm])
-    parts = []
-    for name, choice in policies.items():
-        kept = rows.filter(choice == F.col(arm))
-        parts.append(
-            kept.agg(F.count("*").alias("matched"), F.sum(click).cast("long").alias("reward"), F.avg(best - F.col("_r")).alias("regret"))
-            .withColumn("reward_rate", F.try_divide(F.col("reward").cast("double"), F.col("matched").cast("double")))
-            .withColumn("policy", F.lit(name))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    # One scan for all policies: sums over the rows where a policy agrees with the log.
+    sums, cells = [], []
+    for i, (name, choice) in enumerate(policies.items()):
+        agrees = choice == F.col(arm)
+        sums += [
+            F.count(F.when(agrees, 1)).alias(f"_n{i}"), F.sum(F.when(agrees, F.col(click))).cast("long").alias(f"_k{i}"),
+            F.avg(F.when(agrees, best - F.col("_r"))).alias(f"_g{i}"),
+        ]
+        n, k = F.col(f"_n{i}"), F.col(f"_k{i}")
+        rate = F.try_divide(k.cast("double"), n.cast("double"))
+        cells.append(F.struct(n.alias("matched"), k.alias("reward"), F.col(f"_g{i}").alias("regret"), rate.alias("reward_rate"), F.lit(name).alias("policy")))
+    return rows.agg(*sums).select(F.explode(F.array(*cells)).alias("x")).select("x.*")

@@ -1,11 +1,13 @@
 """Covariance, tests and divergences. Figures come from built-in aggregates; p values from one number each."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.tails import p_chi2, p_f, p_t, studentized_range_sf
-from tabulon.plans.sizes import small_rows, with_scalars
+from tabulon.plans.sizes import join_groups, small_rows, with_scalars
 
 
 def _matrix(df: DataFrame, cols: Sequence[str], fn, name: str) -> DataFrame:
@@ -69,47 +71,75 @@ def anova(df: DataFrame, c: str, by: str) -> DataFrame:
     return out.withColumn("p", p_f(F.col("f"), F.col("dof_between"), F.col("dof_within")))
 
 
-def chi2_cells(df: DataFrame, a: str, b: str) -> DataFrame:
+def _observed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cells that occur, with the totals of their row and column."""
+    counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("observed"))
+    counts = join_groups(counts, counts.groupBy(a).agg(F.sum("observed").alias("_r")), [a])
+    return join_groups(counts, counts.groupBy(b).agg(F.sum("observed").alias("_c")), [b])
+
+
+def chi2_cells(df: DataFrame, a: str, b: str, absent: bool = True) -> DataFrame:
     """Observed and expected counts of each cell, absent cells as 0.
 
-    The level lists are small; every level of a meets every level of b through an array.
+    Every level of a meets every level of b through an array, so absent cells are given for small
+    level lists only; without them the levels have no limit.
     """
-    counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("observed"))
-    rows = counts.groupBy(a).agg(F.sum("observed").alias("_r"))
-    cols = [r[0] for r in small_rows(counts.select(b).distinct())]
+    seen = _observed(df, a, b)
+    total = seen.select(F.sum("observed").cast("double")).scalar()
+    expected = (F.col("_r") * F.col("_c") / total).alias("expected")
+    if not absent:
+        return seen.select(a, b, "observed", expected)
+    rows, totals = seen.select(a, "_r").distinct(), seen.select(b, "_c").distinct()
+    cols = [r[0] for r in small_rows(totals.select(b))]
     grid = rows.withColumn(b, F.explode(F.array(*[F.lit(v) for v in cols])))
-    full = grid.join(counts, [a, b], "left").fillna(0, ["observed"])
-    totals = counts.groupBy(b).agg(F.sum("observed").alias("_c"))
-    total = counts.select(F.sum("observed").cast("double")).scalar()
-    return full.join(totals, b).select(a, b, "observed", (F.col("_r") * F.col("_c") / total).alias("expected"))
+    full = grid.join(seen.select(a, b, "observed"), [a, b], "left").fillna(0, ["observed"])
+    return full.join(totals, b).select(a, b, "observed", expected)
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Independence test; the continuity correction applies to a two-by-two table only."""
-    cells = chi2_cells(df, a, b)
-    d = F.abs(F.col("observed") - F.col("expected"))
+    """Independence test; the continuity correction applies to a two-by-two table only.
+
+    The expected counts of all cells add up to the rows, so the absent cells' share is what the
+    others leave: they are never made, and either side may have any number of levels.
+    """
+    seen = chi2_cells(df, a, b, absent=False)
+    o, e = F.col("observed"), F.col("expected")
+    d = F.abs(o - e)
+    # In a two-by-two table all distances are equal.
     fixed = d - F.least(F.lit(0.5), d)
-    t = cells.agg(
-        F.sum(d * d / F.col("expected")).alias("plain"), F.sum(fixed * fixed / F.col("expected")).alias("yates"),
-        ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"),
+    t = seen.agg(
+        F.sum(d * d / e).alias("met"), F.sum(fixed * fixed / e).alias("yates"), (F.sum("observed") - F.sum("expected")).alias("absent"),
+        F.count("*").alias("cells"), F.max(d).alias("d"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"),
     )
-    out = t.select(F.when(F.col("dof") == 1, F.col("yates")).otherwise(F.col("plain")).alias("chi2"), "dof")
+    # The absent cells of a two-by-two table share what is left evenly, and lie as far off as every cell.
+    n, near = 4 - F.col("cells"), F.col("d") - F.least(F.lit(0.5), F.col("d"))
+    lost = F.when(n > 0, n * n * near * near / F.col("absent")).otherwise(0.0)
+    plain = F.col("met") + F.greatest(F.col("absent"), F.lit(0.0))
+    out = t.select(F.when(F.col("dof") == 1, F.col("yates") + lost).otherwise(plain).alias("chi2"), "dof")
     return out.withColumn("p", p_chi2(F.col("chi2"), F.col("dof")))
 
 
 def tukey(df: DataFrame, c: str, by: str) -> DataFrame:
-    """All pairwise mean differences with the studentized range, from the few group figures."""
-    g = sorted(small_rows(_group_stats(df, c, by), 500), key=lambda r: r[by])
-    n, k = sum(r["n"] for r in g), len(g)
-    mse = sum((r["n"] - 1) * (r["v"] or 0.0) for r in g) / (n - k)
-    rows = []
-    for i, x in enumerate(g):
-        for z in g[i + 1:]:
-            diff = z["m"] - x["m"]
-            q = abs(diff) / (mse / 2 * (1 / x["n"] + 1 / z["n"])) ** 0.5
-            rows.append((x[by], z[by], float(diff), float(q), studentized_range_sf(q, k, n - k)))
+    """All pairwise mean differences with the studentized range.
+
+    The group figures are small; the pairs are made in tasks, one group against all later ones.
+    """
     kind = dict(df.dtypes)[by]
-    return df.sparkSession.createDataFrame(rows, f"group1 {kind}, group2 {kind}, diff double, q double, p double")
+    g = sorted(small_rows(_group_stats(df, c, by)), key=lambda r: r[by])
+    names, k = [r[by] for r in g], len(g)
+    n, m = np.array([r["n"] for r in g], float), np.array([r["m"] for r in g], float)
+    mse = sum((r["n"] - 1) * (r["v"] or 0.0) for r in g) / (n.sum() - k) if n.sum() > k else float("nan")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                diff = m[i + 1 :] - m[i]
+                q = np.abs(diff) / np.sqrt(mse / 2 * (1 / n[i] + 1 / n[i + 1 :]))
+                p = [studentized_range_sf(float(x), k, int(n.sum()) - k) for x in q]
+                yield pd.DataFrame({"group1": [names[i]] * len(q), "group2": names[i + 1 :], "diff": diff, "q": q, "p": p})
+
+    later = df.sparkSession.range(max(k - 1, 0))
+    return later.mapInPandas(pairs, f"group1 {kind}, group2 {kind}, diff double, q double, p double")
 
 
 def kl(df: DataFrame, p: str, q: str) -> DataFrame:
