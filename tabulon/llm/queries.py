@@ -201,7 +201,7 @@ _LICENSE_ROWS = ", ".join(f"('{r.label}', '{r.keyword}', '{r.pattern}', {r.prior
 
 
 @query(
-    "op13_license_scan",
+    "license_scan_filled",
     f"""with d as (select row_number() over () as r, doc_id, {WORDS} as ws from documents),
     rules(label, keyword, pattern, priority, weight, place) as (values {_LICENSE_ROWS}),
     words as (select r, unnest(ws) as word, unnest(range(0, len(ws))) as i from d),
@@ -218,10 +218,16 @@ _LICENSE_ROWS = ", ".join(f"('{r.label}', '{r.keyword}', '{r.pattern}', {r.prior
     every as (select r, string_agg(distinct label, ',' order by label) as labels
       from (select r, label from kept union select r, label from spans where priority = {BASE}) as u group by r),
     best as (select r, max(weight) as score, count(*) as n_detections from kept group by r)
-    select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
-      cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+    select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, coalesce(first_word, -1) as first_word,
+      coalesce(last_word, -1) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
       coalesce(score, 0::double) as score, coalesce(n_detections, 0) as n_detections
     from d left join base using (r) left join every using (r) left join best using (r)""",
 )
+def license_scan_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of op13, with -1 where there is no base phrase: engines hand on missing whole numbers in different types."""
+    return op13(spark, sf).fillna(-1, ["first_word", "last_word"])
+
+
+@query("op13_license_scan")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
