@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.functions.scalars import digitize
 from tabulon.operators.causal import residual_pairs, slope
 from tabulon.operators.rows import uniform
 from tabulon.plans.gram import Terms
@@ -94,7 +93,7 @@ def _best(node: int, cells: dict, names: list[str], cuts: dict[str, list[float]]
     return best
 
 
-def node_of(splits: Sequence[Split], level: int | None = None) -> Column:
+def node_of(splits: Sequence[Split]) -> Column:
     """Number of the leaf that a row falls into: 1 for all rows, then 2n and 2n + 1. A missing value goes right."""
     by_node = {s.node: s for s in splits}
 
