@@ -255,8 +255,9 @@ def repeated_passages(
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).cast("binary").alias("text"))
     kept = texts.mapInArrow(_suffixes(least_words, kmer), _ROWS)
     # The bounds between tasks are drawn from the first words alone, since whole rows would make a large
-    # sample. Rows that begin alike may be dealt over several tasks; they all count as open there.
-    ranges = kept.repartitionByRange(F.substring("right", 1, kmer * CODE), F.xxhash64("right", "left", "id"))
+    # sample. Rows that begin alike may be dealt over several tasks, those with equal words side by side;
+    # they all count as open there.
+    ranges = kept.repartitionByRange(F.substring("right", 1, kmer * CODE), F.xxhash64("right", "left"), "id")
     ordered = ranges.sortWithinPartitions("right", "left", "id", "at").withColumn("part", F.spark_partition_id())
     found = stored(ordered.mapInArrow(_neighbours(least_words, kmer), _FOUND), "suffixes")
 
