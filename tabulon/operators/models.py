@@ -4,6 +4,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
@@ -20,6 +21,7 @@ from tabulon.plans.gram import Fit, as_terms, complete, fit_moments, moments
 from tabulon.plans.ordered import Order, neighbours
 from tabulon.plans.quantiles import quantile_edges
 from tabulon.plans.shared import cut
+from tabulon.plans.sizes import GROUP_ROWS, small_rows
 
 
 def assemble(df: DataFrame, xs: Sequence[str], name: str = "features") -> DataFrame:
@@ -259,46 +261,110 @@ def effect_vs_spend(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def ridge_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str] | str, alpha: float = 0.01, dims: int | None = None) -> DataFrame:
+def _group_moments(k: int):
+    """Moments of runs of rows (key, y, x, salt) that lie together: count, means and centred products of (x, y), upper half."""
+    upper = np.triu_indices(k + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last run of a batch may go on in the next one.
+        held, last = None, None
+
+        def out(keys: list, n: np.ndarray, mean: np.ndarray, cross: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array(keys, kind), pa.array(n), pa.array(list(mean), pa.list_(pa.float64())), pa.array(list(cross), pa.list_(pa.float64()))]
+            return pa.record_batch(columns, ["key", "n", "mean", "cross"])
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            codes = batch.column(0).dictionary_encode()
+            own, salt = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (salt[1:] != salt[:-1])]))
+            z = np.column_stack([batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k), batch.column(1).to_numpy(zero_copy_only=False)])
+            n = np.diff(np.append(starts, len(z))).astype(float)
+            # About the run's own mean, so a large mean costs no digits.
+            mean = np.add.reduceat(z, starts, axis=0) / n[:, None]
+            z = z - np.repeat(mean, n.astype(int), axis=0)
+            cross = np.stack([np.add.reduceat(z[:, i] * z[:, j], starts) for i, j in zip(*upper)], axis=1)
+            keys = [codes.dictionary[int(c)].as_py() if c >= 0 else None for c in own[starts]]
+            if held is not None and last == (keys[0], salt[0]):
+                m, gap = held[1][0], mean[0] - held[2][0]
+                both = m + n[0]
+                cross[0] += held[3][0] + m * n[0] / both * gap[upper[0]] * gap[upper[1]]
+                mean[0], n[0] = held[2][0] + gap * n[0] / both, both
+            elif held is not None:
+                yield out(*held, kind)
+            last, held = (keys[-1], salt[starts[-1]]), (keys[-1:], n[-1:], mean[-1:], cross[-1:])
+            if len(keys) > 1:
+                yield out(keys[:-1], n[:-1], mean[:-1], cross[:-1], kind)
+        if held is not None:
+            yield out(*held, kind)
+
+    return run
+
+
+def _solve_moments(k: int, alpha: float, salted: bool):
+    """A model per group, from its moments; with ``salted`` a group's rows follow each other and are merged first."""
+    upper = np.triu_indices(k + 1)
+
+    def merged(b: pd.DataFrame) -> pd.DataFrame:
+        n, mean, cross = float(b["n"].sum()), np.array(b["mean"].tolist()), np.array(b["cross"].tolist())
+        w = b["n"].to_numpy(float)[:, None]
+        centre = (w * mean).sum(axis=0) / n
+        gap = mean - centre
+        whole = (cross + w * gap[:, upper[0]] * gap[:, upper[1]]).sum(axis=0)
+        return pd.DataFrame({"key": b["key"].iloc[:1], "n": [n], "mean": [centre], "cross": [whole]})
+
+    def solved(b: pd.DataFrame) -> pd.DataFrame:
+        mean = np.array(b["mean"].tolist()).reshape(-1, k + 1)
+        whole = np.zeros((len(b), k + 1, k + 1))
+        vals = np.array(b["cross"].tolist()).reshape(len(b), -1)
+        whole[:, upper[0], upper[1]] = vals
+        whole[:, upper[1], upper[0]] = vals
+        a, r = whole[:, :k, :k], whole[:, :k, k]
+        if alpha:
+            w = np.linalg.solve(a + alpha * np.eye(k), r[:, :, None])[:, :, 0]
+        else:
+            # Columns that say nothing new in a group get no weight beyond the shortest solution.
+            scale = np.sqrt(np.where((d := np.einsum("gii->gi", a)) > 0, d, 1.0))
+            inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+            w = (inverse @ (r / scale)[:, :, None])[:, :, 0] / scale
+        return pd.DataFrame({"key": b["key"], "intercept": mean[:, k] - (mean[:, :k] * w).sum(axis=1), "weights": list(w)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield solved(b)
+
+    return (lambda b: solved(merged(b))) if salted else run
+
+
+def ridge_per_group(
+    df: DataFrame, by: str, y: str, xs: Sequence[str] | str, alpha: float = 0.01, dims: int | None = None, group_rows: int | None = None
+) -> DataFrame:
     """A ridge model per group, intercept not penalised: (by, intercept, weights).
 
-    ``xs`` are number columns, or the name of one array column of ``dims`` numbers. Sums of
-    products are aggregated per group by Spark, so a group of any length is one row when its
-    small system is solved.
+    ``xs`` are number columns, or the name of one array column of ``dims`` numbers. What is
+    shuffled are the rows, since sums of products are many times as wide and most groups have few
+    rows in a task. A group of more than ``group_rows`` is dealt to several tasks and its
+    moments are merged.
     """
     k = dims if isinstance(xs, str) else len(xs)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    x = F.col(xs).cast("array<double>") if isinstance(xs, str) else F.array(*[F.col(c).cast("double") for c in xs])
-    g = df.select(by, F.col(y).cast("double").alias("_y"), x.alias("_x"))
-    g = g.filter(F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull()))
-    at = [F.col("_x")[i] for i in range(k)]
-    # Covariances are updated about the running mean, so a large mean costs no digits.
-    sums = g.groupBy(by).agg(
-        F.count("*").alias("n"), F.avg("_y").alias("my"), F.array(*[F.avg(a) for a in at]).alias("mx"),
-        F.array(*[F.covar_pop(a, F.col("_y")) for a in at]).alias("cxy"),
-        F.array(*[F.covar_pop(at[i], at[j]) for i, j in pairs]).alias("cxx"),
-    )
-    upper = tuple(np.array([p[a] for p in pairs]) for a in (0, 1))
-
-    def solve_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, my = b["n"].to_numpy(float), b["my"].to_numpy(float)
-            mx = np.array(b["mx"].tolist()).reshape(-1, k)
-            a = np.zeros((len(b), k, k))
-            vals = np.array(b["cxx"].tolist()).reshape(-1, len(pairs)) * n[:, None]
-            a[:, upper[0], upper[1]] = vals
-            a[:, upper[1], upper[0]] = vals
-            r = np.array(b["cxy"].tolist()).reshape(-1, k) * n[:, None]
-            if alpha:
-                w = np.linalg.solve(a + alpha * np.eye(k), r[:, :, None])[:, :, 0]
-            else:
-                # Columns that say nothing new in a group get no weight beyond the shortest solution.
-                scale = np.sqrt(np.where((d := np.einsum("gii->gi", a)) > 0, d, 1.0))
-                inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
-                w = (inverse @ (r / scale)[:, :, None])[:, :, 0] / scale
-            yield pd.DataFrame({by: b[by], "intercept": my - (mx * w).sum(axis=1), "weights": list(w)})
-
-    return sums.mapInPandas(solve_batch, f"{by} {dict(df.dtypes)[by]}, intercept double, weights array<double>")
+    kind = dict(df.dtypes)[by]
+    x = F.slice(F.col(xs).cast("array<double>"), 1, k) if isinstance(xs, str) else F.array(*[F.col(c).cast("double") for c in xs])
+    g = df.select(F.col(by).alias("key"), F.col(y).cast("double").alias("y"), x.alias("x"))
+    g = g.filter(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    hot = small_rows(df.groupBy(F.col(by).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit))
+    salt = F.lit(0)
+    for r in hot:
+        salt = F.when(F.col("key").eqNullSafe(F.lit(r["key"]).cast(kind)), F.pmod(F.xxhash64("y", "x", F.monotonically_increasing_id()), F.lit(-(-r["n"] // limit)))).otherwise(salt)
+    dealt = g.withColumn("salt", salt.cast("long")).repartition("key", "salt") if hot else g.withColumn("salt", F.lit(0).cast("long")).repartition("key")
+    each = dealt.sortWithinPartitions("key", "salt").mapInArrow(_group_moments(k), f"key {kind}, n double, mean array<double>, cross array<double>")
+    schema = f"key {kind}, intercept double, weights array<double>"
+    out = each.groupBy("key").applyInPandas(_solve_moments(k, alpha, True), schema) if hot else each.mapInPandas(_solve_moments(k, alpha, False), schema)
+    return out.withColumnRenamed("key", by)
 
 
 def fit_per_group(df: DataFrame, by: str, y: str, xs: Sequence[str]) -> DataFrame:
