@@ -8,7 +8,7 @@ rows that go the path's way at its splits, feature j of a leaf of value v has
     v (o_j - w_j) * integral over t in 0..1 of prod over i != j of (w_i (1 - t) + o_i t)
 
 and the integrand is a polynomial of a degree below the path's features, which Gauss-Legendre
-points integrate without error. So every tree becomes one arithmetic expression per feature.
+points integrate without error. So every tree is arithmetic on a few columns, batch by batch.
 """
 
 from collections.abc import Sequence
@@ -17,6 +17,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -113,33 +114,46 @@ def _paths(root: Node) -> list[tuple[float, dict[int, tuple[list[tuple[Node, boo
     return out
 
 
-def _tree_effects(weight: float, root: Node, xs: Sequence[Column]) -> dict[int, Column]:
-    """Shapley values of one tree, feature by feature."""
-    sums: dict[int, list[Column]] = {}
+def _tree_effects(weight: float, root: Node, xs: Sequence[np.ndarray], out: np.ndarray) -> None:
+    """Add the Shapley values of one tree to ``out``, a row per feature, for a batch of rows."""
+    sides: dict[int, np.ndarray] = {}
+
+    def met_all(conditions: list[tuple[Node, bool]], f: int) -> np.ndarray:
+        for at, _ in conditions:
+            if id(at) not in sides:
+                sides[id(at)] = np.isin(xs[f], at.categories) if at.categories else xs[f] <= at.threshold
+        return np.logical_and.reduce([sides[id(at)] if left else ~sides[id(at)] for at, left in conditions])
+
     for value, parts in _paths(root):
         if not parts:
             continue
-        met = {f: reduce(and_, [at.goes_left(xs[f]) if left else ~at.goes_left(xs[f]) for at, left in conditions]) for f, (conditions, _) in parts.items()}
+        met = {f: met_all(conditions, f) for f, (conditions, _) in parts.items()}
         points, weights = np.polynomial.legendre.leggauss((len(parts) + 1) // 2)
         # From -1..1 to 0..1. Each factor takes one of two values, by whether the row meets the conditions.
         points, weights = (points + 1) / 2, weights / 2
         for j, (_, w_j) in parts.items():
-            others = [(met[i], w_i) for i, (_, w_i) in parts.items() if i != j]
-            integral = F.lit(0.0)
+            integral = np.zeros(out.shape[1])
             for t, c in zip(points, weights):
-                term = F.lit(float(c * value * weight))
-                for m, w in others:
-                    term = term * F.when(m, F.lit(float(w * (1 - t) + t))).otherwise(F.lit(float(w * (1 - t))))
-                integral = integral + term
-            sums.setdefault(j, []).append(F.when(met[j], F.lit(float(1 - w_j))).otherwise(F.lit(float(-w_j))) * integral)
-    return {j: _balanced(terms) for j, terms in sums.items()}
+                term = np.full(out.shape[1], c * value * weight)
+                for i, (_, w) in parts.items():
+                    if i != j:
+                        term *= np.where(met[i], w * (1 - t) + t, w * (1 - t))
+                integral += term
+            out[j] += np.where(met[j], 1 - w_j, -w_j) * integral
+
+
+def _effects(trees: list[tuple[float, Node]], k: int):
+    """Effects of the features, as an array. A task works on whole batches: as one expression the trees outgrow compiled code."""
 
+    @F.pandas_udf("array<double>")
+    def effects(features: pd.DataFrame) -> pd.Series:
+        xs = [features.iloc[:, j].to_numpy(float) for j in range(k)]
+        out = np.zeros((k, len(features)))
+        for w, root in trees:
+            _tree_effects(w, root, xs, out)
+        return pd.Series(list(out.T.copy()), index=features.index)
 
-def _balanced(terms: list[Column]) -> Column:
-    """Sum as a flat tree, so that many terms do not nest deeply."""
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
+    return effects
 
 
 def tree_contributions(model, df: DataFrame, xs: Sequence[str], background: DataFrame) -> DataFrame:
@@ -152,9 +166,7 @@ def tree_contributions(model, df: DataFrame, xs: Sequence[str], background: Data
     trees = counted_trees(model, background, xs)
     cols = [F.col(f"`{x}`").cast("double") for x in xs]
     known = reduce(and_, [c.isNotNull() for c in cols])
-    each = [_tree_effects(w, root, cols) for w, root in trees]
+    whole = df.withColumn("_effects", _effects(trees, len(xs))(F.struct(*[c.alias(f"x{j}") for j, c in enumerate(cols)])))
     out = {"base": F.lit(float(sum(w * root.mean() for w, root in trees)))}
-    for j, x in enumerate(xs):
-        terms = [e[j] for e in each if j in e]
-        out[f"{x}_effect"] = F.when(known, _balanced(terms) if terms else F.lit(0.0))
-    return df.withColumns(out)
+    out |= {f"{x}_effect": F.when(known, F.get("_effects", F.lit(j))) for j, x in enumerate(xs)}
+    return whole.withColumns(out).drop("_effects")
