@@ -9,8 +9,10 @@ their residual beside six times the exact median of all absolute residuals (bisq
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.scalars import digitize
@@ -46,19 +48,33 @@ def _anchors_and_widths(rows: DataFrame, anchors: int, share: float, group_rows:
     return places, [float(h) for h in windows.agg(*reach).first()]
 
 
+def _local_sums(places: list[float], widths: list[float]):
+    """Weighted sums of a task's rows (x, y, w) around every anchor, as rows (k, s0, s1, s2, t0, t1)."""
+    names = ["s0", "s1", "s2", "t0", "t1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(places), len(names)))
+        for batch in batches:
+            x, y, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k, (at, h) in enumerate(zip(places, widths)):
+                d = x - at
+                some = np.flatnonzero((np.abs(d) < h if h > 0 else d == 0) & (w > 0))
+                if not len(some):
+                    continue
+                # Distances beside the width keep the sums of one size.
+                z = d[some] / h if h > 0 else np.zeros(len(some))
+                near = w[some] * (1 - np.abs(z) ** 3) ** 3
+                total[k] += [near.sum(), near @ z, near @ (z * z), near @ y[some], near @ (z * y[some])]
+        met = np.flatnonzero(total[:, 0] > 0)
+        yield pa.record_batch([pa.array(met, pa.int32()), *[pa.array(total[met, i]) for i in range(len(names))]], ["k", *names])
+
+    return run
+
+
 def _fit(rows: DataFrame, places: list[float], widths: list[float]) -> list[float]:
     """The local line at each anchor; the weighted mean where the window has no spread."""
-    spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("at"), F.lit(h).alias("h")) for k, (p, h) in enumerate(zip(places, widths))])
-    d = F.col("_x") - F.col("_s.at")
-    u = F.abs(d) / F.col("_s.h")
-    near = F.when(F.col("_s.h") > 0, F.when(u < 1, F.pow(1 - F.pow(u, F.lit(3.0)), F.lit(3.0)))).when(d == 0, 1.0)
-    # Distances beside the width keep the sums of one size.
-    z = F.when(F.col("_s.h") > 0, d / F.col("_s.h")).otherwise(0.0)
-    met = rows.select("_x", "_y", "_w", F.explode(spots).alias("_s")).select("_s.k", "_y", z.alias("z"), (near * F.col("_w")).alias("w")).filter("w > 0")
-    w, y = F.col("w"), F.col("_y")
-    sums = met.groupBy("k").agg(
-        F.sum(w).alias("s0"), F.sum(w * F.col("z")).alias("s1"), F.sum(w * F.col("z") * F.col("z")).alias("s2"), F.sum(w * y).alias("t0"), F.sum(w * F.col("z") * y).alias("t1")
-    )
+    each = rows.select("_x", "_y", F.col("_w").cast("double")).mapInArrow(_local_sums(places, widths), "k int, s0 double, s1 double, s2 double, t0 double, t1 double")
+    sums = each.groupBy("k").agg(*[F.sum(c).alias(c) for c in each.columns[1:]])
     out = [float("nan")] * len(places)
     for r in sums.collect():
         det = r["s0"] * r["s2"] - r["s1"] * r["s1"]
