@@ -1,17 +1,18 @@
 """Models: Spark ML estimators on assembled columns, and linear searches on additive moments."""
 
 from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.functions.scalars import digitize, pct_error
@@ -64,10 +65,19 @@ def fit_mlp(data: DataFrame, y: str, layers: Sequence[int], features: str = "fea
     ).fit(data)
 
 
-def fit_gbt(df: DataFrame, y: str, xs: Sequence[str], trees: int = 20, depth: int = 4, step: float = 0.1, seed: int = 1):
+# Rows of a partition that trees are grown on.
+TREE_ROWS = 1_000_000
+
+
+def fit_gbt(df: DataFrame, y: str, xs: Sequence[str], trees: int = 20, depth: int = 4, step: float = 0.1, seed: int = 1, task_rows: int | None = None):
     """Gradient-boosted regression trees on squared loss."""
     data = assemble(df, xs)
-    return GBTRegressor(labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(data), data
+    known = data.select(y, "features")
+    # The trainer keeps each partition's rows in one piece through all rounds, so a partition has a bounded number.
+    tasks = -(-df.count() // (TREE_ROWS if task_rows is None else task_rows))
+    if tasks > known.rdd.getNumPartitions():
+        known = known.repartition(tasks)
+    return GBTRegressor(labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(known), data
 
 
 def grid_search(
@@ -75,15 +85,27 @@ def grid_search(
 ) -> DataFrame:
     """Cross-validated error of every parameter combination, best first. Folds go by hash of the row's key."""
     data = data.withColumn("_fold", F.least(F.floor(uniform(key, seed) * folds), F.lit(folds - 1)).cast("int"))
+    # Every fold is read many times, so folds are told once, beside those columns that the estimator names.
+    named = {est.getOrDefault(p) for p in est.params if p.name.endswith("Col") and est.isDefined(p)} | {y}
+    if est.hasParam("featuresCol"):
+        data = data.select(*[c for c in data.columns if c in named], "_fold")
+    data = cut(data)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), list(values))
     maps = builder.build()
-    cv = CrossValidator(
-        estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"),
-    ).fit(data)
-    rows = [(*[float(m[est.getParam(n)]) for n in grid], float(s)) for m, s in zip(maps, cv.avgMetrics)]
+    error = F.sqrt(F.avg(F.pow(F.col(y) - F.col("prediction"), F.lit(2.0))))
+
+    def scores(fold: int) -> list[float]:
+        train, rest = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
+        if train.isEmpty() or rest.isEmpty():
+            raise ValueError(f"no rows to fit or to judge in fold {fold}")
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            fits = dict(pool.imap_unordered(lambda at: (at, est.fit(train, maps[at])), range(len(maps))))
+            return pool.map(lambda at: fits[at].transform(rest).select(error).first()[0], range(len(maps)))
+
+    means = np.mean([scores(fold) for fold in range(folds)], axis=0)
+    rows = [(*[float(m[est.getParam(n)]) for n in grid], float(s)) for m, s in zip(maps, means)]
     schema = ", ".join(f"{n} double" for n in grid) + ", rmse double"
     return data.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[-1]), schema)
 
