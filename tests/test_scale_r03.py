@@ -38,3 +38,93 @@ def test_ridge_shuffles_rows_and_no_sums_of_products(spark):
     vectors = spark.createDataFrame([(7, [0.0, 1.0])], "item long, vec array<double>")
     models = spark.createDataFrame([(1, 0.5, [1.0, 2.0])], "user long, intercept double, weights array<double>")
     assert rc.recommend_content(ratings, vectors, models).select("predicted").first()[0] == pytest.approx(2.5)
+
+
+def test_many_users_at_once_find_what_all_pairs_find():
+    from tabulon.operators import best_k as bk
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9, 5))[rng.integers(0, 9, 2500)] + rng.normal(size=(2500, 5)).round(1) * 0.2
+    blocks = bk.Blocks(np.zeros((1, 5)), np.full(1, 99.0), np.full(1, 99.0), np.zeros(1, int), np.ones(1, int), 1)
+    ids = [f"i{(n * 7) % 2500:04d}" for n in range(2500)]
+    shard = bk.Shard(blocks, ids, np.zeros(2500, int), x)
+    assert np.diff(shard.ends).max() <= bk.LEAF and shard.ends[-1] == 2500
+    u = rng.normal(size=(40, 5))
+    whose, hidden = rng.integers(0, 40, 3000), rng.choice(ids, 3000)
+    import pyarrow as pa
+
+    who, place, score, visited = shard.best_of_many(u, 6, np.full(40, -np.inf), whose, shard.places_of(pa.array(hidden)))
+    items = shard.items.take(pa.array(place)).to_pylist()
+    out = set(zip(whose.tolist(), hidden.tolist()))
+    for a in range(40):
+        scores = np.einsum("ij,j->i", x, u[a])
+        want = sorted((-s, i) for s, i in zip(scores, ids) if (a, i) not in out)[:6]
+        got = [(-v, i) for w, v, i in zip(who, score, items) if w == a]
+        assert [i for _, i in got] == [i for _, i in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
+
+
+def test_users_and_items_that_come_twice_or_miss_numbers(spark):
+    from tabulon.operators import ranking as rk
+
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, None]), (None, [1.0, 1.0])], "u long, vec array<double>")
+    items = spark.createDataFrame([(7, [3.0, 1.0]), (8, [2.0, 2.0]), (9, [1.0, 3.0]), (6, [None, 9.0])], "i long, vec array<double>")
+    seen = spark.createDataFrame([(1, 7), (None, 8)], "u long, i long")
+    rows = rk.topk_products(users, items, 2, "u", "i", "vec", seen).collect()
+    assert {(r["u"], r["i"]) for r in rows} <= {(1, 8), (1, 9), (None, 7), (None, 9)} and {r["u"] for r in rows} == {1, None}
+
+
+def test_grid_search_reads_no_row_in_python(spark, monkeypatch):
+    from pyspark.ml import tuning
+    from pyspark.ml.regression import LinearRegression
+
+    def refuse(*_):
+        raise AssertionError("folds are checked row by row in Python")
+
+    monkeypatch.setattr(tuning.CrossValidator, "_kFold", refuse)
+    rows = [(i, float(i % 17), 3.0 * (i % 17) + (i % 5)) for i in range(200)]
+    data = md.assemble(spark.createDataFrame(rows, "id long, x double, y double"), ["x"])
+    out = md.grid_search(LinearRegression(labelCol="y"), data, {"regParam": [0.0, 50.0]}, "y", ["id"]).collect()
+    assert [r["regParam"] for r in out] == [0.0, 50.0] and out[0]["rmse"] < 2 < out[1]["rmse"]
+
+
+def test_trees_grow_on_partitions_of_bounded_rows(spark):
+    rows = [(float(i % 13), float(i % 7), float(i % 13 > 5) * 10 + i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+    model, data = md.fit_gbt(df, "y", ["a", "b"], trees=3, depth=2, task_rows=50)
+    plain, _ = md.fit_gbt(df, "y", ["a", "b"], trees=3, depth=2)
+    assert [r[0] for r in model.transform(data).select("prediction").collect()] == pytest.approx([r[0] for r in plain.transform(data).select("prediction").collect()])
+
+
+def test_tree_effects_come_in_batches(spark):
+    from tabulon.operators.trees import tree_contributions
+
+    rows = [(float(i % 13), float(i % 7) if i else None, float(i % 13 > 5) * 10 + i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model, data = md.fit_gbt(df, "y", ["a", "b"], trees=4, depth=3)
+    out = tree_contributions(model, model.transform(data), ["a", "b"], data)
+    assert "ArrowEvalPython" in _exchanged(out)
+    for r in out.collect():
+        assert r["base"] + r["a_effect"] + r["b_effect"] == pytest.approx(r["prediction"])
+    assert tree_contributions(model, df.filter("b is null"), ["a", "b"], data).first()["a_effect"] is None
+
+
+def test_local_fits_make_no_row_per_anchor(spark):
+    from tabulon.operators.lowess import _local_sums, lowess
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([0.0, 1.0, 2.0]), pa.array([1.0, 3.0, 5.0]), pa.array([1.0, 1.0, 0.0])], ["x", "y", "w"])
+    (sums,) = _local_sums([0.0, 1.0], [2.0, 0.0])(iter([batch]))
+    near = (1 - 0.5**3) ** 3
+    assert sums.column("s0").to_pylist() == pytest.approx([1 + near, 1.0]) and sums.column("t0").to_pylist() == pytest.approx([1 + 3 * near, 3.0])
+    line = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(60)], "x double, y double")
+    assert all(r["trend"] == pytest.approx(2 * r["x"] + 1) for r in lowess(line, "x", "y", 0.3, 1, 5).collect())
+
+
+def test_loss_of_pairs_by_hand(spark):
+    triples = spark.createDataFrame([(1, 11, 12), (2, 12, 11)], "user long, positive long, negative long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (11, [3.0, 1.0]), (12, [1.0, 1.0])], "id long, vec array<double>")
+    out = rc.bpr_loss(triples, vectors, "id", "vec")
+    assert out.first()["bpr"] == pytest.approx((np.log1p(np.exp(-2.0)) + np.log(2.0)) / 2)
+    assert out.first()["penalty"] == pytest.approx(1e-6 * ((1 + 10 + 2) + (4 + 10 + 2)) / 2)
+    # After the first join a row carries one vector of the items, not two.
+    assert "_gap" in _exchanged(out)
