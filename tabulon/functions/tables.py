@@ -94,9 +94,11 @@ def merged_states(
 
 
 def register_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
-    """A Python class as a table function of SQL text, fed by Arrow batches: ``eval`` per row (a generator), ``terminate`` at the end of a partition.
+    """A Python class as a table function of SQL text: ``eval`` per row (a generator), ``terminate`` at the end of a partition.
 
     It stands in ``lateral name(columns)``, or takes ``table(t) partition by .. order by ..``: then
     the rows of a partition pass one at a time, and the object holds no more than it keeps itself.
+    Rows come pickled in batches: with Arrow, Spark makes a table of its own for each call's result,
+    which costs far more than the row.
     """
-    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
+    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=False))
