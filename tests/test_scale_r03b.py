@@ -2,13 +2,33 @@
 
 import datetime
 
+import pytest
+
 from tabulon.functions import tables as tb
+from tabulon.operators import recommend as rc
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("group_rows", [None, 2])
+def test_negatives_read_their_edges_once(spark, group_rows):
+    seen = {1: [10, 12], 2: [10, 11, 12, 13, 14], 3: [14], 4: [11, 12, 13, 14]}
+    edges = spark.createDataFrame([(u, i) for u, items in seen.items() for i in items * 2], "user long, item long").repartition(3)
+    items = spark.createDataFrame([(i,) for i in range(10, 15)], "item long")
+    out = rc.sample_negatives(edges, items, 7, group_rows=group_rows)
+    assert "ExistingRDD" not in _plan(out)
+    rows = out.collect()
+    # A user who has seen everything gets no row.
+    assert sorted((r["user"], r["item"]) for r in rows) == sorted((u, i) for u in (1, 3, 4) for i in seen[u])
+    assert all(r["negative"] not in seen[r["user"]] and 10 <= r["negative"] < 15 for r in rows)
+    asked = edges.distinct().select("user", "item", rc.hashed(["user", "item"], 7).alias("h")).collect()
+    free = {u: [i for i in range(10, 15) if i not in s] for u, s in seen.items()}
+    want = {(r["user"], r["item"]): free[r["user"]][r["h"] % len(free[r["user"]])] for r in asked if free[r["user"]]}
+    assert {(r["user"], r["item"]): r["negative"] for r in rows} == want
+
+
 def test_rows_of_a_table_function_are_no_tables(spark):
     class Gap:
         def __init__(self):
