@@ -18,7 +18,8 @@ from tabulon.plans.shared import cut
 
 def filter_baskets(df: DataFrame, by: str, item: str) -> DataFrame:
     """Baskets with more than one distinct item, then items in more than one of those baskets."""
-    pairs = df.select(by, item).distinct()
+    # Read three times below, so written once.
+    pairs = cut(df.select(by, item).distinct())
     big = pairs.groupBy(by).agg(F.count("*").alias("_n")).filter("_n > 1")
     kept = pairs.join(big, by, "left_semi")
     often = kept.groupBy(item).agg(F.count("*").alias("_n")).filter("_n > 1")
@@ -39,20 +40,38 @@ def popular(df: DataFrame, item: str, n: int) -> DataFrame:
     return topn(df.groupBy(item).agg(F.count("*").alias("n")), "n", n, [item])
 
 
+# Where distinct baskets have at most this many subsets per basket read, and none more items than this,
+# subsets are counted one by one, equal baskets together. Else trees of prefixes are grown.
+SUBSETS, SHORT_BASKET = 16, 20
+
+
+def _counted_subsets(alike: DataFrame) -> DataFrame:
+    """(items, freq) of all subsets of the baskets (items sorted, _n times)."""
+    one = alike.withColumn("_mask", F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 1)")))
+    subset = F.expr("filter(items, (x, i) -> (shiftright(_mask, i) & 1) = 1)")
+    return one.select(subset.alias("items"), "_n").groupBy("items").agg(F.sum("_n").alias("freq"))
+
+
 def frequent_itemsets(df: DataFrame, by: str, item: str, support: float) -> DataFrame:
     """(items sorted, freq, support) of every itemset at or above the support."""
-    # Read four times below (counts, and twice by the miner), so written once.
+    # Read three times below, so written once.
     pairs = cut(df.select(by, item).distinct())
     total = pairs.select(F.count_distinct(by)).first()[0]
     least = max(1, math.ceil(support * total - 1e-9))
     often = pairs.groupBy(item).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    baskets = cut(pairs.join(often, item, "left_semi").groupBy(by).agg(F.collect_set(item).alias("items")).select("items"))
-    rows = baskets.count()
+    sets = pairs.join(often, item, "left_semi").groupBy(by).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    baskets = cut(sets.select("items"))
+    alike = cut(baskets.groupBy("items").agg(F.count("*").alias("_n")))
+    subsets = F.sum(F.pow(F.lit(2.0), F.size("items")))
+    rows, subsets, longest = alike.agg(F.sum("_n"), subsets, F.max(F.size("items"))).first()
     if not rows:
         return baskets.select("items", F.lit(0).cast("long").alias("freq"), F.lit(0.0).alias("support"))
-    tasks = max(baskets.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-    miner = FPGrowth(minSupport=min(1.0, (least - 0.5) / rows), minConfidence=1.0, numPartitions=tasks)
-    mined = miner.fit(baskets).freqItemsets
+    if longest <= SHORT_BASKET and subsets <= SUBSETS * rows:
+        mined = _counted_subsets(alike).filter(F.col("freq") >= least)
+    else:
+        tasks = max(baskets.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+        miner = FPGrowth(minSupport=min(1.0, (least - 0.5) / rows), minConfidence=1.0, numPartitions=tasks)
+        mined = miner.fit(baskets).freqItemsets
     # Mining is lazy and the itemsets are read several times by the rules, so they are written once.
     return cut(mined.select(F.sort_array("items").alias("items"), "freq", (F.col("freq") / F.lit(float(total))).alias("support")))
 
